@@ -23,9 +23,14 @@ from credline.functions.text import tokens
 from credline.operators.common import prev_match
 
 
-def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
-    """One row per token: id, pos, token, word, tag, bio, name, idx, n_parts."""
-    t = df.select(id_col, F.posexplode(tokens(tagged)).alias("pos", "token"))
+def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
+                 keep_empty: bool = False) -> DataFrame:
+    """One row per token: id, pos, token, word, tag, bio, name, idx, n_parts. With
+    ``keep_empty`` a row without tokens (or with a NULL text) keeps one row with NULL
+    token fields and ``_null_text`` telling the two apart."""
+    gen = F.posexplode_outer if keep_empty else F.posexplode
+    t = df.select(id_col, F.col(tagged).isNull().alias("_null_text"),
+                  gen(tokens(tagged)).alias("pos", "token"))
     parts = F.split(F.col("token"), "@")
     t = t.withColumn("n_parts", F.size(parts).cast("long"))
     t = t.withColumn("word", parts[0]).withColumn(
@@ -33,51 +38,47 @@ def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged")
     t = t.withColumn("bio", F.when(F.col("tag") != "", F.substring("tag", 1, 1)))
     t = t.withColumn("name", F.when(F.col("tag") != "", F.expr("substring(tag, 2)")))
     t = t.withColumn("idx", F.try_element_at(F.split(F.col("name"), ":"), F.lit(2)))
-    return t.withColumn("pos", F.col("pos").cast("long"))
+    t = t.withColumn("pos", F.col("pos").cast("long"))
+    return t if keep_empty else t.drop("_null_text")
 
 
 def _parse(df: DataFrame, id_col: str, tagged: str):
-    tok = explode_tags(df, id_col, tagged)
-    is_b = (F.col("tag") != "O") & (F.col("bio") == "B")
-    is_i = (F.col("tag") != "O") & (F.col("bio") == "I")
+    """(tokens with ``_bad``, phrases with ``_bad``, per-row errors)."""
+    tok = explode_tags(df, id_col, tagged, keep_empty=True)
+    real = F.col("token").isNotNull()
+    is_b = real & (F.col("tag") != "O") & (F.col("bio") == "B")
+    is_i = real & (F.col("tag") != "O") & (F.col("bio") == "I")
     tok = tok.withColumn("_is_b", F.coalesce(is_b, F.lit(False))) \
-             .withColumn("_is_i", F.coalesce(is_i, F.lit(False)))
-    tok = prev_match(tok, id_col, "pos", {"phrase_pos": (F.col("_is_b"), True)})
-    opens = tok.filter("_is_b").select(id_col, F.col("pos").alias("phrase_pos"),
-                                       F.col("name").alias("_open_name"))
-    tok = tok.join(opens, [id_col, "phrase_pos"], "left")
-    bad_token = (F.col("n_parts") != 2) | (F.col("tag") == "")
+             .withColumn("_is_i", F.coalesce(is_i, F.lit(False))) \
+             .withColumn("pos", F.coalesce(F.col("pos"), F.lit(-1).cast("long")))
+    # the open phrase of each token: the latest B at or before it, with its name
+    tok = prev_match(tok, id_col, "pos", {"_open": (F.col("_is_b"), True, ["name"])})
+    tok = tok.withColumn("phrase_pos", F.col("_open.pos")).withColumn("_open_name", F.col("_open.name"))
+    bad_token = real & ((F.col("n_parts") != 2) | (F.col("tag") == ""))
     bad_i = F.col("_is_i") & (F.col("_open_name").isNull() | (F.col("_open_name") != F.col("name")))
-    tok = tok.withColumn("_bad", F.coalesce(bad_token | bad_i, F.lit(True)))
+    tok = tok.withColumn("_bad", F.coalesce(bad_token | bad_i, F.lit(True)) | F.col("_null_text"))
     members = tok.filter(F.col("_is_b") | (F.col("_is_i") & ~F.col("_bad")))
-    phrases = members.groupBy(id_col, "phrase_pos").agg(
+    ph = members.groupBy(id_col, "phrase_pos").agg(
         F.max(F.when(F.col("_is_b"), F.col("name"))).alias("phrase_tag"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
                                  lambda x: x["word"]), " ").alias("phrase_text"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    phrases = phrases.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":"))
-    return tok, phrases
-
-
-def _errors(df: DataFrame, id_col: str, tagged: str, tok: DataFrame, ph: DataFrame) -> DataFrame:
-    bad = (tok.select(id_col, "_bad").unionByName(ph.select(id_col, "_bad"))
-           .groupBy(id_col).agg(F.bool_or("_bad").alias("_e")))
-    return (df.select(id_col, F.col(tagged).isNull().alias("_null"))
-            .join(bad, id_col, "left")
-            .select(id_col, (F.col("_null") | F.coalesce(F.col("_e"), F.lit(False))).alias("parse_error")))
+    ph = ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":"))
+    errs = (tok.select(id_col, "_bad").unionByName(ph.select(id_col, "_bad"))
+            .groupBy(id_col).agg(F.bool_or("_bad").alias("parse_error")))
+    return tok, ph, errs
 
 
 def parse_errors(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
     """``id, parse_error`` for every input row (a NULL text is unparsable)."""
-    tok, ph = _parse(df, id_col, tagged)
-    return _errors(df, id_col, tagged, tok, ph)
+    return _parse(df, id_col, tagged)[2]
 
 
 def phrases(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
     """Phrases of parsable rows: id, phrase_pos (token position of its ``B``), phrase_tag,
     phrase_text."""
-    tok, ph = _parse(df, id_col, tagged)
-    ok = _errors(df, id_col, tagged, tok, ph).filter(~F.col("parse_error")).select(id_col)
+    _, ph, errs = _parse(df, id_col, tagged)
+    ok = errs.filter(~F.col("parse_error")).select(id_col)
     return ph.join(ok, id_col, "left_semi").drop("_bad")
 
 

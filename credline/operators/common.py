@@ -47,43 +47,58 @@ def _chunk(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("long")
 
 
-def prev_match(df: DataFrame, keys, order: str, targets: Mapping[str, tuple[Column, bool]],
+def prev_match(df: DataFrame, keys, order: str, targets: Mapping[str, tuple],
                chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Add one column per target: the largest ``order`` of a row of the same key whose
     condition holds and whose ``order`` is below (``inclusive=False``) or at most
-    (``inclusive=True``) the current one. ``order`` must be unique within a key."""
+    (``inclusive=True``) the current one. ``order`` must be unique within a key.
+
+    A target is ``(cond, inclusive)`` or ``(cond, inclusive, payload_cols)``; with payload
+    columns the output is a struct ``(order, *payload)`` of the matched row, so the
+    matched row's values come along without a join back.
+
+    Plan: one shuffle by (key, chunk) feeds both the local running max and the per-chunk
+    summary (the summary's aggregate reuses that partitioning); only the small summary is
+    shuffled by key to compute the carry from earlier chunks.
+    """
     keys = _cols(keys)
     ch = "_pm_chunk"
     base = df.withColumn(ch, _chunk(order, chunk))
-    for out, (cond, _) in targets.items():
-        base = base.withColumn(f"_pm_c_{out}", F.when(cond, F.col(order)))
+    specs = {}
+    for out, t in targets.items():
+        cond, inclusive = t[0], t[1]
+        payload = list(t[2]) if len(t) > 2 else []
+        val = (F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in payload])
+               if payload else F.col(order))
+        base = base.withColumn(f"_pm_c_{out}", F.when(cond, val))
+        specs[out] = inclusive
     w = Window.partitionBy(*keys, ch).orderBy(order)
     local = base
-    for out, (_, inclusive) in targets.items():
+    for out, inclusive in specs.items():
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         local = local.withColumn(f"_pm_l_{out}", F.max(f"_pm_c_{out}").over(frame))
-    summary = base.groupBy(*keys, ch).agg(
-        *[F.max(f"_pm_c_{out}").alias(f"_pm_s_{out}") for out in targets])
+    summary = local.groupBy(*keys, ch).agg(
+        *[F.max(f"_pm_c_{out}").alias(f"_pm_s_{out}") for out in specs])
     ws = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, ch, *[F.max(f"_pm_s_{out}").over(ws).alias(f"_pm_k_{out}")
-                                        for out in targets])
+                                        for out in specs])
     res = local.join(carry, [*keys, ch], "left")
-    for out in targets:
+    for out in specs:
         res = res.withColumn(out, F.coalesce(F.col(f"_pm_l_{out}"), F.col(f"_pm_k_{out}")))
-    helpers = [ch] + [f"_pm_{p}_{o}" for o in targets for p in ("c", "l", "k")]
+    helpers = [ch] + [f"_pm_{p}_{o}" for o in specs for p in ("c", "l", "k")]
     return res.drop(*helpers)
 
 
 def rank_within(df: DataFrame, keys, order: str, out: str = "ord", size_out: str | None = None,
                 chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """0-based position of each row inside its key by ``order`` (unique within a key);
-    optionally the key's row count as ``size_out``."""
+    optionally the key's row count as ``size_out``. Same plan shape as ``prev_match``."""
     keys = _cols(keys)
     ch = "_rk_chunk"
     base = df.withColumn(ch, _chunk(order, chunk))
     local = base.withColumn("_rk_rn", F.row_number().over(
         Window.partitionBy(*keys, ch).orderBy(order)) - 1)
-    counts = base.groupBy(*keys, ch).agg(F.count(F.lit(1)).alias("_rk_n"))
+    counts = local.groupBy(*keys, ch).agg(F.count(F.lit(1)).alias("_rk_n"))
     wk = Window.partitionBy(*keys).orderBy(ch)
     offs = counts.select(
         *keys, ch,
@@ -98,16 +113,19 @@ def rank_within(df: DataFrame, keys, order: str, out: str = "ord", size_out: str
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx") -> DataFrame:
-    """0-based consecutive index of every row in the total order ``order_cols``.
-
-    A range-partitioned sort puts consecutive key ranges in consecutive partitions; the
-    generated id holds the partition number in its upper bits and the position inside the
-    partition in the lower bits. The sorted ids are checkpointed to the shared checkpoint
-    folder so that both uses below see the same ids; the offsets table has one row per
-    partition, which bounds the broadcast.
+    """0-based consecutive index of every row in the total order ``order_cols`` (which must
+    be a unique key of ``df``).
+
+    Only the key columns are sorted: a range-partitioned sort puts consecutive key ranges
+    in consecutive partitions, and the generated id holds the partition number in its
+    upper bits and the position inside the partition in the lower bits. The sorted keys
+    are checkpointed to the shared checkpoint folder so both uses below see the same ids;
+    the offsets table has one row per partition, which bounds its broadcast. The index is
+    joined back to the rows on the key.
     """
     checkpoint_dir(df.sparkSession)
-    s = (df.orderBy(*order_cols).withColumn("_gi_mid", F.monotonically_increasing_id())
+    keys = df.select(*order_cols)
+    s = (keys.orderBy(*order_cols).withColumn("_gi_mid", F.monotonically_increasing_id())
          .checkpoint(eager=True))
     pid = F.shiftrightunsigned(F.col("_gi_mid"), 33)
     counts = s.groupBy(pid.alias("_gi_pid")).agg(F.count(F.lit(1)).alias("_gi_n"))
@@ -115,7 +133,7 @@ def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx") ->
         "_gi_pid",
         F.coalesce(F.sum("_gi_n").over(Window.orderBy("_gi_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_gi_off"))
-    res = (s.withColumn("_gi_pid", pid).join(F.broadcast(offs), "_gi_pid")
-           .withColumn(out, (F.col("_gi_off") + F.col("_gi_mid")
-                             - F.shiftleft(F.col("_gi_pid"), 33)).cast("long")))
-    return res.drop("_gi_mid", "_gi_pid", "_gi_off")
+    idx = (s.withColumn("_gi_pid", pid).join(F.broadcast(offs), "_gi_pid")
+           .select(*order_cols, (F.col("_gi_off") + F.col("_gi_mid")
+                                 - F.shiftleft(F.col("_gi_pid"), 33)).cast("long").alias(out)))
+    return df.join(idx, list(order_cols), "inner")

@@ -238,22 +238,21 @@ with d as (select doc_id, source, text, n_chars,
                   case when doc_id % 5 = 0 then 'bb_1' when doc_id % 2 = 0 then 'v1:tp_1' else 'tp_1' end as src,
                   case when doc_id % 7 = 0 then 'tok_1' when doc_id % 3 = 0 then 'v1:td_1' else 'td_1' end as tgt
            from documents)
-, r as (select doc_id, 'cpb-aacip-' || source as guid, doc_id*1000 as time_point,
+, r as (select 'cpb-aacip-' || source as guid, doc_id*1000 as time_point,
                ['I','N','C','S'][list_position(s, list_max(s))] as scene_code, list_max(s) as confidence,
                {O.strip("case when tgt = 'v1:td_1' then text else '[v2] ' || text end")} as textdocument
         from d where contains(src, 'tp') and contains(tgt, 'td'))
-select doc_id, guid, time_point, scene_code, confidence, {O.label('scene_code')} as scene_label, textdocument
+select guid, time_point, scene_code, confidence, {O.label('scene_code')} as scene_label, textdocument
 from r where {O.label('scene_code')} is not null""")
 def q_json_flatten(spark, sf):
-    """Annotation JSON: one file per document is written, scanned whole, parsed with an
-    explicit schema and flattened (documents -> views -> annotations -> joins)."""
+    """Annotation JSON: one annotation document per source document is written as JSON
+    Lines, scanned, parsed with an explicit schema and flattened (documents -> views ->
+    annotations -> two-tier id joins -> class arg-max -> scene labels)."""
     path = scratch_path(spark, "json")
-    _annotation_json(spark, sf).write.partitionBy("doc_key").text(path)
-    docs = AJ.read_annotation_docs(spark, path)
-    rows = AJ.ocr_rows(docs)
-    return rows.select(
-        F.regexp_extract("file", r"doc_key=(\d+)", 1).cast("long").alias("doc_id"),
-        "guid", "time_point", "scene_code", "confidence", "scene_label", "textdocument")
+    _annotation_json(spark, sf).select("value").write.text(path)
+    docs = AJ.read_annotation_docs(spark, path, one_per_file=False)
+    rows = AJ.ocr_rows(AJ.materialize_annotations(spark, docs))
+    return rows.select("guid", "time_point", "scene_code", "confidence", "scene_label", "textdocument")
 
 
 @register("q_union_batches", O.with_views(["v_ocr_rows"], """

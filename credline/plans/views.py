@@ -13,8 +13,19 @@ from credline.functions.text import tokens
 from credline.schemas import GUID_PREFIX, REASON_DUPLICATE
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one driver table. A text table held in fewer files than there are cores cannot
+    be split finer than its row groups, so its rows are spread round-robin first; a table
+    in many files (the normal case at scale) is scanned as is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def v_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

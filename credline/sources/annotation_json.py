@@ -1,8 +1,9 @@
 """Annotation JSON: the nested multimedia-annotation documents and the per-frame gold
 annotation records.
 
-A folder holds one annotation document per file. Files are read whole, parsed with an
-explicit schema; a file that does not parse lands in ``_corrupt`` and yields no rows.
+A folder holds one annotation document per file (files are read whole), or one document
+per line (JSON Lines). Documents are parsed with an explicit schema; one that does not
+parse lands in ``_corrupt`` and yields no rows.
 """
 
 from __future__ import annotations
@@ -14,17 +15,26 @@ from credline.functions.text import strip_ws
 from credline.operators.batch import (alignment_filter, argmax_class, guid_from_location,
                                       resolve_refs, scene_label)
 from credline.schemas import ANNOTATION_DOC
+from credline.session import scratch_path
 
 CORRUPT = "_corrupt"
 
 
-def read_annotation_docs(spark: SparkSession, path: str) -> DataFrame:
-    """file, doc (struct), _corrupt — one row per file."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    parsed = raw.select("file", F.from_json(
-        "value", ANNOTATION_DOC, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("doc"))
-    return parsed.select("file", "doc", F.col(f"doc.{CORRUPT}").alias(CORRUPT))
+def read_annotation_docs(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """file, documents, views, _corrupt — one row per annotation document, parsed once by
+    the JSON source with an explicit schema (PERMISSIVE: a malformed document keeps only
+    ``_corrupt``).
+
+    ``file`` is the key that scopes annotation ids: the file path when every file holds
+    one document, else the path plus the line's generated id (stable once the flattened
+    table is written by ``materialize_annotations``).
+    """
+    df = (spark.read.schema(ANNOTATION_DOC).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", one_per_file)
+          .json(path))
+    key = (F.col("_metadata.file_path") if one_per_file else
+           F.concat_ws("#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))
+    return df.select(key.alias("file"), "documents", "views", CORRUPT)
 
 
 def quarantined(docs: DataFrame) -> DataFrame:
@@ -32,52 +42,54 @@ def quarantined(docs: DataFrame) -> DataFrame:
 
 
 def flatten_annotations(docs: DataFrame) -> DataFrame:
-    """file, view_ord, view_id, ann_ord, type, props — one row per annotation of every
-    parsable file."""
+    """file, guid, view_ord, view_id, ann_ord, type, ann_id, source, target, time_point,
+    classification, text — one row per annotation of every parsable document. ``guid``
+    comes from the location of the document's last video document (NULL when none)."""
     ok = docs.filter(F.col(CORRUPT).isNull())
-    views = ok.select("file", F.posexplode("doc.views").alias("view_ord", "view"))
-    anns = views.select("file", "view_ord", F.col("view.id").alias("view_id"),
+    videos = F.filter("documents", lambda d: d["properties"]["mime"].startswith("video"))
+    last_video = F.when(F.size(videos) > 0, F.element_at(videos, -1))
+    views = ok.select("file", guid_from_location(last_video["properties"]["location"]).alias("guid"),
+                      F.posexplode("views").alias("view_ord", "view"))
+    anns = views.select("file", "guid", "view_ord", F.col("view.id").alias("view_id"),
                         F.posexplode("view.annotations").alias("ann_ord", "ann"))
-    return anns.select("file", F.col("view_ord").cast("long"), "view_id",
-                       F.col("ann_ord").cast("long"), F.col("ann.@type").alias("type"),
-                       F.col("ann.properties").alias("props"))
+    p = F.col("ann.properties")
+    return anns.select(
+        "file", "guid", F.col("view_ord").cast("long"), "view_id", F.col("ann_ord").cast("long"),
+        F.col("ann.@type").alias("type"), p["id"].alias("ann_id"), p["source"].alias("source"),
+        p["target"].alias("target"), p["timePoint"].alias("time_point"),
+        p["classification"].alias("classification"), p["text"]["@value"].alias("text"))
 
 
-def video_guid(docs: DataFrame) -> DataFrame:
-    """file, guid: the guid in the location of the file's video document (the last one
-    when there are several); NULL when there is none."""
-    d = docs.filter(F.col(CORRUPT).isNull()).select(
-        "file", F.posexplode("doc.documents").alias("d_ord", "d"))
-    vids = d.filter(F.col("d.properties.mime").startswith("video"))
-    return vids.groupBy("file").agg(
-        F.max_by(guid_from_location(F.col("d.properties.location")), "d_ord").alias("guid"))
+def materialize_annotations(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Flatten once and write the result as Parquet below the checkpoint folder: the JSON
+    is parsed a single time and every later join reads only the columns it needs."""
+    path = scratch_path(spark, "annotations")
+    flatten_annotations(docs).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def ocr_rows(docs: DataFrame, keep_unresolved: bool = False) -> DataFrame:
-    """Flat OCR rows from annotation documents: for each alignment from a time point to a
-    text document, the text, the time point and its best scene class.
+def ocr_rows(anns: DataFrame, keep_unresolved: bool = False) -> DataFrame:
+    """Flat OCR rows from flattened annotations (``materialize_annotations``): for each
+    alignment from a time point to a text document, the text, the time point and its best
+    scene class.
 
     Output: file, view_ord, ann_ord, guid, time_point, scene_code, confidence,
     scene_label, textdocument. Rows whose scene maps to no label are dropped; rows whose
-    references do not resolve are dropped unless ``keep_unresolved``.
+    references do not resolve (or whose document names no video) are dropped unless
+    ``keep_unresolved``.
     """
-    anns = flatten_annotations(docs)
     is_type = lambda t: F.col("type").contains(t)
     al = alignment_filter(
         anns.filter(is_type("Alignment")).select(
-            "file", "view_ord", "ann_ord", F.col("props.source").alias("source_id"),
-            F.col("props.target").alias("target_id")))
-    td = anns.filter(is_type("TextDocument")).select(
-        "file", "view_id", "view_ord", F.col("props.id").alias("ann_id"),
-        F.col("props.text.@value").alias("text"))
-    tp = anns.filter(is_type("TimePoint")).select(
-        "file", "view_id", "view_ord", F.col("props.id").alias("ann_id"),
-        F.col("props.timePoint").alias("time_point"),
-        F.col("props.classification").alias("classification"))
+            "file", "guid", "view_ord", "ann_ord", F.col("source").alias("source_id"),
+            F.col("target").alias("target_id")))
+    td = anns.filter(is_type("TextDocument")).select("file", "view_id", "view_ord", "ann_id", "text")
+    tp = anns.filter(is_type("TimePoint")).select("file", "view_id", "view_ord", "ann_id",
+                                                   "time_point", "classification")
     r = resolve_refs(al, td, ["file"], "target_id", ["text"], "td_")
     r = resolve_refs(r, tp, ["file"], "source_id", ["time_point", "classification"], "tp_")
     best = argmax_class(F.col("tp_classification"))
-    out = r.join(video_guid(docs), "file", "left").select(
+    out = r.select(
         "file", "view_ord", "ann_ord", "guid", F.col("tp_time_point").alias("time_point"),
         best["key"].alias("scene_code"), best["value"].alias("confidence"),
         scene_label(best["key"]).alias("scene_label"),
