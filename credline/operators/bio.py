@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credline.functions.text import tokens
-from credline.operators.common import prev_match
+from credline.operators.common import materialize, prev_match
 
 
 def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
@@ -44,7 +44,7 @@ def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
 
 def _parse(df: DataFrame, id_col: str, tagged: str):
     """(tokens with ``_bad``, phrases with ``_bad``, per-row errors)."""
-    tok = explode_tags(df, id_col, tagged, keep_empty=True)
+    tok = materialize(explode_tags(df, id_col, tagged, keep_empty=True), "tokens")
     real = F.col("token").isNotNull()
     is_b = real & (F.col("tag") != "O") & (F.col("bio") == "B")
     is_i = real & (F.col("tag") != "O") & (F.col("bio") == "I")
@@ -57,13 +57,15 @@ def _parse(df: DataFrame, id_col: str, tagged: str):
     bad_token = real & ((F.col("n_parts") != 2) | (F.col("tag") == ""))
     bad_i = F.col("_is_i") & (F.col("_open_name").isNull() | (F.col("_open_name") != F.col("name")))
     tok = tok.withColumn("_bad", F.coalesce(bad_token | bad_i, F.lit(True)) | F.col("_null_text"))
+    tok = materialize(tok.select(id_col, "pos", "word", "name", "phrase_pos", "_is_b", "_is_i", "_bad"),
+                      "parsed_tokens")
     members = tok.filter(F.col("_is_b") | (F.col("_is_i") & ~F.col("_bad")))
     ph = members.groupBy(id_col, "phrase_pos").agg(
         F.max(F.when(F.col("_is_b"), F.col("name"))).alias("phrase_tag"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
                                  lambda x: x["word"]), " ").alias("phrase_text"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    ph = ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":"))
+    ph = materialize(ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":")), "phrases")
     errs = (tok.select(id_col, "_bad").unionByName(ph.select(id_col, "_bad"))
             .groupBy(id_col).agg(F.bool_or("_bad").alias("parse_error")))
     return tok, ph, errs

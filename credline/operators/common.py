@@ -10,6 +10,7 @@
 * ``global_index``   0-based consecutive index over a total order: range-partitioned sort,
                      per-partition counts (one row per partition) and offsets.
 * ``sized_broadcast`` broadcast a side only after checking its row count.
+* ``materialize``    write a multi-use intermediate once to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credline.session import checkpoint_dir
+from credline.session import checkpoint_dir, scratch_path
 
 DEFAULT_CHUNK = 1 << 16
 BROADCAST_MAX_ROWS = 2_000_000
@@ -29,6 +30,18 @@ def _cols(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    For an intermediate that several branches of a plan consume: it is computed a single
+    time, its lineage is cut (a lost executor does not recompute the upstream), and every
+    branch reads only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
     (the join then shuffles both sides)."""
