@@ -38,7 +38,10 @@ def read_annotation_docs(spark: SparkSession, path: str, one_per_file: bool = Tr
 
 
 def quarantined(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
+    """Documents that did not parse: file, _corrupt (raw text). A parsed field is read
+    along, as the JSON source refuses queries that read only the corrupt-record column."""
+    return docs.filter(F.col(CORRUPT).isNotNull()).select(
+        "file", CORRUPT, F.col("views").isNull().alias("unparsed"))
 
 
 def flatten_annotations(docs: DataFrame) -> DataFrame:
