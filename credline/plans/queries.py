@@ -804,3 +804,82 @@ def q_box_join(spark, sf):
         F.col("o_orderkey").alias("guid"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("frame_num"))
     f = f.withColumn("frame_num", F.col("frame_num").cast("long"))
     return boxes.boxes_for_frames(f, stored).select("guid", "frame_num", "box_idx", "x0")
+
+
+# =========================================================================== streams
+_EVENT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("seq", T.LongType()),
+                              T.StructField("action", T.StringType())])
+
+
+def _event_drops(spark, sf):
+    """Write the review log as two file drops in log order (events before the median
+    ``seq`` first, the rest later) plus a hidden folder that must never be read. Returns
+    the base folder and the second drop (written by the caller between passes)."""
+    import os
+    base = scratch_path(spark, "drops")
+    ev = V.v_review_events(spark, sf).select("row_id", "seq", "action")
+    cutoff = ev.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    first = F.col("seq") <= F.lit(cutoff)
+    ev.filter(first).write.parquet(os.path.join(base, "src", "drop1"))
+    ev.filter(first).write.parquet(os.path.join(base, "src", ".hidden"))
+    return base, ev.filter(~first)
+
+
+@register("q_incremental", O.with_views(["v_review_events"], """
+select row_id, seq, action from v_review_events"""))
+def q_incremental(spark, sf):
+    """Stage hop over arriving files: two passes of an ``availableNow`` file stream with a
+    checkpoint; the second pass reads only the new drop, hidden files are never read."""
+    import os
+    base, rest = _event_drops(spark, sf)
+    src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
+    from credline.streaming.incremental import stage_hop
+    stage_hop(spark, src, _EVENT_SCHEMA, sink, ckpt)
+    rest.write.parquet(os.path.join(src, "drop2"))
+    stage_hop(spark, src, _EVENT_SCHEMA, sink, ckpt)
+    return spark.read.parquet(sink).select("row_id", "seq", "action")
+
+
+@register("q_review_stream", O.with_views(["v_review_events"], _REVIEW_FOLD_SQL.lstrip() + """
+select * from fold"""))
+def q_review_stream(spark, sf):
+    """The review fold as a stateful stream (``applyInPandasWithState``) over the two
+    drops of the log, one micro-batch per drop; updates land in a Parquet table per
+    batch and the latest update per row is the state."""
+    import os
+
+    from credline.streaming.state import review_state_stream
+    base, rest = _event_drops(spark, sf)
+    src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
+
+    def write(batch_df, batch_id):
+        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+
+    def run():
+        stream = (spark.readStream.schema(_EVENT_SCHEMA).option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.parquet").parquet(src))
+        q = (review_state_stream(stream).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    rest.write.parquet(os.path.join(src, "drop2"))
+    run()
+    cols = ["label_adjusted", "deleted", "annotated", "ocr_accepted"]
+    return frames.last_write(spark.read.parquet(sink), "row_id", "batch_id", cols).select("row_id", *cols)
+
+
+@register("q_resume_point", O.with_views(["v_frames"], """
+, idx as (select row_number() over (order by guid, frame_num) - 1 as frame_idx, guid, frame_num, annotated
+          from v_frames)
+select coalesce(min(frame_idx) filter (where not annotated), max(frame_idx)) as frame_idx,
+       count(*) as n_frames, min(frame_idx) filter (where not annotated) is null as all_done
+from idx""".lstrip()))
+def q_resume_point(spark, sf):
+    """Where annotation resumes: the first frame (global index order) without an
+    annotation, else the last frame."""
+    idx = frames.index_frames(V.v_frames(spark, sf).select("guid", "frame_num", "annotated"))
+    return idx.agg(
+        F.coalesce(F.min(F.when(~F.col("annotated"), F.col("frame_idx"))), F.max("frame_idx")).alias("frame_idx"),
+        F.count(F.lit(1)).cast("long").alias("n_frames"),
+        F.min(F.when(~F.col("annotated"), F.col("frame_idx"))).isNull().alias("all_done"))

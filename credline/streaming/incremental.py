@@ -1,9 +1,9 @@
 """Stage hop over newly arrived files.
 
 A file-source stream with a checkpoint processes every file exactly once: re-running the
-hop only picks up files that arrived since. Hidden files (``.`` / ``_``) are ignored by
-the file source, and only names matching the glob are read, so files renamed after
-processing are never picked up again.
+hop only picks up files that arrived since. Sub-folders are searched, hidden files and
+folders (``.`` / ``_``) are skipped by the listing, and only names matching the glob are
+read, so files renamed after processing are never picked up again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ def stage_hop(spark: SparkSession, source_dir: str, schema: T.StructType, sink_d
     """Run one ``availableNow`` pass of ``source_dir -> transform -> sink_dir`` and return
     the number of input rows of the pass."""
     stream = (spark.readStream.schema(schema).format(fmt)
-              .option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1000).load(source_dir))
+              .option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1000).load(source_dir))
     out = transform(stream) if transform else stream
     q = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))

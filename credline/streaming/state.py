@@ -61,8 +61,10 @@ def _adjudication_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 
 def review_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming review fold over (row_id, seq, action); events of a row must arrive in
-    ``seq`` order across micro-batches (within a batch they are sorted)."""
+    """Streaming review fold over (row_id, seq, action). Events of a row arrive in ``seq``
+    order across micro-batches (the log is written in that order; inside a batch they are
+    sorted); an event at or below the last applied ``seq`` is a redelivery and is not
+    applied twice."""
     return events.groupBy("row_id").applyInPandasWithState(
         _review_step, REVIEW_OUT, REVIEW_STATE, "Update", GroupStateTimeout.NoTimeout)
 
