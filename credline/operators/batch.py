@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credline.functions.text import dedupe_key
-from credline.operators.common import keep_first
+from credline.operators.common import keep_first, materialize
 from credline.schemas import CHYRON, CHYRON_CODES, CREDITS, CREDITS_CODES, GUID_PATTERN
 
 
@@ -88,6 +88,28 @@ def dedupe_normalized(df: DataFrame, keys: Sequence[str], text: str, order: str)
     return keep_first(df, [*(F.col(k) for k in keys), dedupe_key(text)], order)
 
 
+def dedupe(df: DataFrame, text: str, order: str, keys: Sequence[str] = (),
+           normalized: bool = False) -> DataFrame:
+    """Keep-first de-duplication in the workflow's stage order: with ``normalized``,
+    near-duplicates on (keys..., normalised text) go first, then exact duplicates of the
+    text among the survivors.
+
+    The text is read twice in all: once to build a narrow table (order, keys, SHA-256 of
+    the normalised and of the exact text) that is written once, and once by the final
+    semi join on the unique ``order`` column. Both winner searches are partial
+    aggregates over the narrow table, so a text repeated by a third of all rows is
+    collapsed map-side and never shuffled whole.
+    """
+    narrow = df.select(F.col(order), *[F.col(k) for k in keys],
+                       F.sha2(dedupe_key(text), 256).alias("_k_norm"),
+                       F.sha2(F.col(text), 256).alias("_k_exact"))
+    narrow = materialize(narrow, "dedupe-keys")
+    if normalized:
+        narrow = keep_first(narrow, [*keys, "_k_norm"], order)
+    winners = narrow.groupBy("_k_exact").agg(F.min(order).alias(order)).select(order)
+    return df.join(winners, order, "left_semi")
+
+
 def label_rollup(df: DataFrame, label: str = "scene_label") -> DataFrame:
     """Per-label counts plus the grand total (label NULL)."""
     return df.rollup(label).agg(F.count(F.lit(1)).alias("n"))

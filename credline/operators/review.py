@@ -65,10 +65,13 @@ def fold_review(events: DataFrame) -> DataFrame:
     """
     a = F.col("action")
     commit = a.isin("submit", "delete")
+    # latest of submit/delete/undo packed into one long (seq * 8 + code): a fixed-width
+    # buffer keeps the aggregation hash-based
+    code = F.when(a == "undo", 1).when(commit, 2)
     per_row = events.groupBy("row_id").agg(
         (F.count_if(a == "swap") % 2 == 1).alias("label_adjusted"),
         (F.count_if(a == "delete") % 2 == 1).alias("deleted"),
-        F.max(F.when(commit | (a == "undo"), F.struct("seq", "action"))).alias("_last"),
+        F.max(F.col("seq") * 8 + code).alias("_last"),
         F.max(F.when(commit, F.col("seq"))).alias("_s"))
     anchors = per_row.filter(F.col("_s").isNotNull()).select("row_id", "_s")
     last_undo = (events.filter(a == "undo").join(anchors, "row_id")
@@ -81,7 +84,7 @@ def fold_review(events: DataFrame) -> DataFrame:
     out = per_row.join(rejects, "row_id", "left")
     return out.select(
         "row_id", "label_adjusted", "deleted",
-        (F.col("_last.action").isNotNull() & (F.col("_last.action") != F.lit("undo"))).alias("annotated"),
+        F.coalesce(F.pmod(F.col("_last"), F.lit(8)) == 2, F.lit(False)).alias("annotated"),
         (F.col("_s").isNotNull() & (F.coalesce(F.col("_nrej"), F.lit(0)) % 2 == 0)).alias("ocr_accepted"))
 
 
@@ -89,14 +92,16 @@ def fold_adjudication(events: DataFrame) -> DataFrame:
     """Adjudication state per row: the last of accept / reject / edit / undo wins; an
     edit or an undo clears the decision."""
     a = F.col("action")
+    # latest decision packed into one long (seq * 8 + code): 1 accept, 2 reject, 3 edit/undo
+    code = F.when(a == "accept", 1).when(a == "reject", 2).when(a.isin("edit", "undo"), 3)
     per_row = events.groupBy("row_id").agg(
-        F.max(F.when(a.isin("accept", "reject", "edit", "undo"), F.struct("seq", "action"))).alias("_last"),
+        F.max(F.col("seq") * 8 + code).alias("_last"),
         F.count_if(a == "edit").alias("n_edits"))
-    last = F.col("_last.action")
+    last = F.pmod(F.col("_last"), F.lit(8))
     return per_row.select(
         "row_id",
-        F.coalesce(last.isin("accept", "reject"), F.lit(False)).alias("adjudicated"),
-        F.coalesce(last == F.lit("accept"), F.lit(False)).alias("accepted"),
+        F.coalesce(last.isin(1, 2), F.lit(False)).alias("adjudicated"),
+        F.coalesce(last == 1, F.lit(False)).alias("accepted"),
         F.col("n_edits").cast("long").alias("n_edits"))
 
 

@@ -24,9 +24,7 @@ def build_batch(spark: SparkSession, json_dir: str, one_per_file: bool = True,
     exact duplicates of the text (the earliest row is kept)."""
     anns = AJ.materialize_annotations(spark, AJ.read_annotation_docs(spark, json_dir, one_per_file))
     rows = global_index(AJ.ocr_rows(anns), ["file", "view_ord", "ann_ord"], "row_id")
-    if dedupe:
-        rows = batch.dedupe_normalized(rows, ["guid", "scene_label"], "textdocument", "row_id")
-    rows = batch.dedupe_exact(rows, "textdocument", "row_id")
+    rows = batch.dedupe(rows, "textdocument", "row_id", ["guid", "scene_label"], normalized=dedupe)
     return rows.select("row_id", "guid", "time_point", "scene_label", "confidence", "textdocument")
 
 

@@ -51,9 +51,7 @@ from e where deleted = false and {O.clean('textdocument')} <> ''""".lstrip()))
 def q_curate_batch(spark, sf):
     """Flagship: scene map -> near-duplicate then exact de-dup (keep first) -> clean ->
     drop deleted and empty rows."""
-    rows = _mapped(spark, sf)
-    rows = batch.dedupe_normalized(rows, ["guid", "scene_label"], "textdocument", "row_id")
-    rows = batch.dedupe_exact(rows, "textdocument", "row_id")
+    rows = batch.dedupe(_mapped(spark, sf), "textdocument", "row_id", ["guid", "scene_label"], normalized=True)
     rows = rows.withColumn("cleaned_text", clean_ocr("textdocument"))
     rows = rows.filter((F.col("deleted") == F.lit(False)) & (F.col("cleaned_text") != ""))
     return rows.select("row_id", "guid", "time_point", "scene_label", "cleaned_text")
@@ -135,8 +133,8 @@ select row_id, guid, scene_label from n
 qualify row_number() over (partition by textdocument order by row_id) = 1""".lstrip()))
 def q_dedupe_norm(spark, sf):
     """Near-duplicate distinct on (guid, label, normalised text) first, exact after."""
-    rows = batch.dedupe_normalized(_mapped(spark, sf), ["guid", "scene_label"], "textdocument", "row_id")
-    return batch.dedupe_exact(rows, "textdocument", "row_id").select("row_id", "guid", "scene_label")
+    rows = batch.dedupe(_mapped(spark, sf), "textdocument", "row_id", ["guid", "scene_label"], normalized=True)
+    return rows.select("row_id", "guid", "scene_label")
 
 
 @register("q_align_filter", O.with_views(["v_alignment"], """
