@@ -100,3 +100,22 @@ def test_stage_hop_processes_each_file_once(spark):
     assert n2 == 1
     assert incremental.stage_hop(spark, src, schema, sink, ckpt) == 0
     assert sorted(r.row_id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
+
+
+def test_csv_with_row_number_index(spark):
+    df = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "row_id long, t string").repartition(3)
+    path = os.path.join(tempfile.mkdtemp(prefix="credline-idx-"), "t")
+    tables.write_with_index(df, path, "row_id")
+    back = spark.read.options(**tables.CSV_OPTIONS).schema("index long, row_id long, t string").csv(path)
+    assert sorted((r["index"], r.row_id, r.t) for r in back.collect()) == [(0, 10, "a"), (1, 20, "b"), (2, 30, "c")]
+
+
+def test_stage_tables_partition_pruning(spark):
+    df = spark.createDataFrame([(1, "1-ocr-in-progress"), (2, "4-llm-complete"), (3, "4-llm-complete")],
+                               "row_id long, stage string")
+    path = os.path.join(tempfile.mkdtemp(prefix="credline-stage-"), "t")
+    tables.write_stages(df, path)
+    got = tables.read_stage(spark, path, "4-llm-complete")
+    assert sorted(r.row_id for r in got.collect()) == [2, 3]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan or "stage" in plan
