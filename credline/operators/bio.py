@@ -10,17 +10,17 @@ Parser rules reproduced:
   fillers of its last occurrence; filler texts bound to no role are left-overs, distinct
   by text, in order of first appearance.
 
-Tagged rows are exploded to one row per token, so long texts parse with joins and
-chunked windows instead of quadratic in-row folds.
+Tagged rows are exploded to one row per token after partitioning the rows by id, so long
+texts parse in linear time (no quadratic in-row folds) and the tokens never shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credline.functions.text import tokens
-from credline.operators.common import materialize, prev_match
+from credline.operators.common import checkpointed
 
 
 def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
@@ -43,31 +43,42 @@ def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
 
 
 def _parse(df: DataFrame, id_col: str, tagged: str):
-    """(tokens with ``_bad``, phrases with ``_bad``, per-row errors)."""
-    tok = materialize(explode_tags(df, id_col, tagged, keep_empty=True), "tokens")
+    """(tokens with ``_bad``, phrases with ``_bad``, per-row errors).
+
+    The tagged rows are hash-partitioned by id once; every later step is keyed by the id
+    (the running open phrase per row, the phrase aggregate, the error aggregate), so the
+    tokens are never shuffled. A row's tokens come from one text value and are produced
+    by one task in any plan, so partitioning by row splits the work as far as it can go.
+    The token and phrase tables are checkpointed (lineage cut, partitioning kept) because
+    several branches read them.
+    """
+    base = df.select(id_col, tagged).repartition(id_col)
+    tok = explode_tags(base, id_col, tagged, keep_empty=True)
     real = F.col("token").isNotNull()
     is_b = real & (F.col("tag") != "O") & (F.col("bio") == "B")
     is_i = real & (F.col("tag") != "O") & (F.col("bio") == "I")
-    tok = tok.withColumn("_is_b", F.coalesce(is_b, F.lit(False))) \
-             .withColumn("_is_i", F.coalesce(is_i, F.lit(False))) \
-             .withColumn("pos", F.coalesce(F.col("pos"), F.lit(-1).cast("long")))
+    tok = tok.select(
+        id_col, F.coalesce(F.col("pos"), F.lit(-1).cast("long")).alias("pos"), "word", "name",
+        F.coalesce(is_b, F.lit(False)).alias("_is_b"), F.coalesce(is_i, F.lit(False)).alias("_is_i"),
+        (real & ((F.col("n_parts") != 2) | (F.col("tag") == ""))).alias("_bad_token"), "_null_text")
     # the open phrase of each token: the latest B at or before it, with its name
-    tok = prev_match(tok, id_col, "pos", {"_open": (F.col("_is_b"), True, ["name"])})
+    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tok = tok.withColumn("_open", F.max(F.when(F.col("_is_b"), F.struct("pos", "name"))).over(w))
     tok = tok.withColumn("phrase_pos", F.col("_open.pos")).withColumn("_open_name", F.col("_open.name"))
-    bad_token = real & ((F.col("n_parts") != 2) | (F.col("tag") == ""))
     bad_i = F.col("_is_i") & (F.col("_open_name").isNull() | (F.col("_open_name") != F.col("name")))
-    tok = tok.withColumn("_bad", F.coalesce(bad_token | bad_i, F.lit(True)) | F.col("_null_text"))
-    tok = materialize(tok.select(id_col, "pos", "word", "name", "phrase_pos", "_is_b", "_is_i", "_bad"),
-                      "parsed_tokens")
+    tok = tok.withColumn("_bad", F.coalesce(F.col("_bad_token") | bad_i, F.lit(True)) | F.col("_null_text"))
+    tok = checkpointed(tok.select(id_col, "pos", "word", "phrase_pos", "_is_b", "_is_i", "_bad", "name"))
     members = tok.filter(F.col("_is_b") | (F.col("_is_i") & ~F.col("_bad")))
     ph = members.groupBy(id_col, "phrase_pos").agg(
         F.max(F.when(F.col("_is_b"), F.col("name"))).alias("phrase_tag"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
                                  lambda x: x["word"]), " ").alias("phrase_text"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    ph = materialize(ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":")), "phrases")
-    errs = (tok.select(id_col, "_bad").unionByName(ph.select(id_col, "_bad"))
-            .groupBy(id_col).agg(F.bool_or("_bad").alias("parse_error")))
+    ph = checkpointed(ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":")))
+    tok_bad = tok.groupBy(id_col).agg(F.bool_or("_bad").alias("_e1"))
+    ph_bad = ph.groupBy(id_col).agg(F.bool_or("_bad").alias("_e2"))
+    errs = tok_bad.join(ph_bad, id_col, "left").select(
+        id_col, (F.col("_e1") | F.coalesce(F.col("_e2"), F.lit(False))).alias("parse_error"))
     return tok, ph, errs
 
 

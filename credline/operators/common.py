@@ -10,7 +10,8 @@
 * ``global_index``   0-based consecutive index over a total order: range-partitioned sort,
                      per-partition counts (one row per partition) and offsets.
 * ``sized_broadcast`` broadcast a side only after checking its row count.
-* ``materialize``    write a multi-use intermediate once to the shared checkpoint folder.
+* ``materialize``    write a multi-use intermediate once as Parquet to the shared folder.
+* ``checkpointed``   checkpoint to the shared folder, keeping the physical partitioning.
 """
 
 from __future__ import annotations
@@ -42,6 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared checkpoint folder: lineage is cut and the
+    physical partitioning is kept, so later operators keyed the same way need no shuffle."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
     (the join then shuffles both sides)."""
@@ -90,8 +98,12 @@ def prev_match(df: DataFrame, keys, order: str, targets: Mapping[str, tuple],
     for out, inclusive in specs.items():
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         local = local.withColumn(f"_pm_l_{out}", F.max(f"_pm_c_{out}").over(frame))
+    # the summary aggregates the window's own output (the largest candidate of the chunk
+    # is the greater of the last running value and the row's own candidate), so the
+    # window is not pruned away from this branch and its shuffle is shared
     summary = local.groupBy(*keys, ch).agg(
-        *[F.max(f"_pm_c_{out}").alias(f"_pm_s_{out}") for out in specs])
+        *[F.max(F.greatest(F.col(f"_pm_l_{out}"), F.col(f"_pm_c_{out}"))).alias(f"_pm_s_{out}")
+          for out in specs])
     ws = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, ch, *[F.max(f"_pm_s_{out}").over(ws).alias(f"_pm_k_{out}")
                                         for out in specs])
@@ -111,7 +123,7 @@ def rank_within(df: DataFrame, keys, order: str, out: str = "ord", size_out: str
     base = df.withColumn(ch, _chunk(order, chunk))
     local = base.withColumn("_rk_rn", F.row_number().over(
         Window.partitionBy(*keys, ch).orderBy(order)) - 1)
-    counts = local.groupBy(*keys, ch).agg(F.count(F.lit(1)).alias("_rk_n"))
+    counts = local.groupBy(*keys, ch).agg((F.max("_rk_rn") + 1).alias("_rk_n"))
     wk = Window.partitionBy(*keys).orderBy(ch)
     offs = counts.select(
         *keys, ch,
