@@ -16,13 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from credline.plans.queries import QUERIES  # noqa: E402
 from credline.session import build_session  # noqa: E402
 
-HEADLINE = [
-    "q_curate_batch", "q_clean_text", "q_dedupe_norm", "q_align_join", "q_json_flatten",
-    "q_path_lookup", "q_review_fold", "q_apply_decisions", "q_final_export", "q_tag_route",
-    "q_verbatim", "q_bio_errors", "q_bio_bind", "q_bio_leftover", "q_frame_index",
-    "q_frames_per_guid", "q_frame_sampling", "q_progress", "q_prev_asof", "q_dup_resolve",
-    "q_chain", "q_pair_fold", "q_gold_parse", "q_conf_tier", "q_box_join",
-]
+# every registered query, in registry order
+HEADLINE = list(QUERIES)
 
 
 def run_once(spark, name: str, sf_dir: str) -> float:

@@ -809,13 +809,13 @@ _EVENT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructFie
                               T.StructField("action", T.StringType())])
 
 
-def _event_drops(spark, sf):
-    """Write the review log as two file drops in log order (events before the median
+def _event_drops(spark, sf, view=None):
+    """Write an action log as two file drops in log order (events up to the median
     ``seq`` first, the rest later) plus a hidden folder that must never be read. Returns
     the base folder and the second drop (written by the caller between passes)."""
     import os
     base = scratch_path(spark, "drops")
-    ev = V.v_review_events(spark, sf).select("row_id", "seq", "action")
+    ev = (view or V.v_review_events)(spark, sf).select("row_id", "seq", "action")
     cutoff = ev.agg(F.percentile_approx("seq", 0.5)).first()[0]
     first = F.col("seq") <= F.lit(cutoff)
     ev.filter(first).write.parquet(os.path.join(base, "src", "drop1"))
@@ -823,6 +823,29 @@ def _event_drops(spark, sf):
     return base, ev.filter(~first)
 
 
+def _stream_fold(spark, sf, view, fold, cols):
+    """Run a stateful fold over the two drops of a log (one availableNow pass per drop);
+    updates land in a Parquet table per batch, the latest update per row is the state."""
+    import os
+    base, rest = _event_drops(spark, sf, view)
+    src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
+
+    def write(batch_df, batch_id):
+        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+
+    def run():
+        stream = (spark.readStream.schema(_EVENT_SCHEMA).option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.parquet").parquet(src))
+        q = (fold(stream).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    rest.write.parquet(os.path.join(src, "drop2"))
+    run()
+    return frames.last_write(spark.read.parquet(sink), "row_id", "batch_id", cols).select("row_id", *cols)
+
+
 @register("q_incremental", O.with_views(["v_review_events"], """
 select row_id, seq, action from v_review_events"""))
 def q_incremental(spark, sf):
@@ -841,30 +864,26 @@ def q_incremental(spark, sf):
 @register("q_review_stream", O.with_views(["v_review_events"], _REVIEW_FOLD_SQL.lstrip() + """
 select * from fold"""))
 def q_review_stream(spark, sf):
-    """The review fold as a stateful stream (``applyInPandasWithState``) over the two
-    drops of the log, one micro-batch per drop; updates land in a Parquet table per
-    batch and the latest update per row is the state."""
-    import os
-
+    """The review fold as a stateful stream (``applyInPandasWithState``) over two drops of
+    the log."""
     from credline.streaming.state import review_state_stream
-    base, rest = _event_drops(spark, sf)
-    src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
+    return _stream_fold(spark, sf, V.v_review_events, review_state_stream,
+                        ["label_adjusted", "deleted", "annotated", "ocr_accepted"])
 
-    def write(batch_df, batch_id):
-        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-
-    def run():
-        stream = (spark.readStream.schema(_EVENT_SCHEMA).option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.parquet").parquet(src))
-        q = (review_state_stream(stream).writeStream.outputMode("update").foreachBatch(write)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
 
-    run()
-    rest.write.parquet(os.path.join(src, "drop2"))
-    run()
-    cols = ["label_adjusted", "deleted", "annotated", "ocr_accepted"]
-    return frames.last_write(spark.read.parquet(sink), "row_id", "batch_id", cols).select("row_id", *cols)
+@register("q_adjudicate_stream", O.with_views(["v_adjudication_events"], """
+select row_id,
+       coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
+                in ('accept', 'reject'), false) as adjudicated,
+       coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
+                = 'accept', false) as accepted,
+       count(*) filter (where action = 'edit') as n_edits
+from v_adjudication_events group by row_id"""))
+def q_adjudicate_stream(spark, sf):
+    """The adjudication fold as a stateful stream over two drops of the log."""
+    from credline.streaming.state import adjudication_state_stream
+    return _stream_fold(spark, sf, V.v_adjudication_events, adjudication_state_stream,
+                        ["adjudicated", "accepted", "n_edits"])
 
 
 @register("q_resume_point", O.with_views(["v_frames"], """
