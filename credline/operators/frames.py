@@ -118,27 +118,27 @@ def next_todo(frames: DataFrame, done: str = "annotated") -> DataFrame:
 def copy_previous(frames: DataFrame, payload: str = "role") -> DataFrame:
     """For each frame: whether it is the first of its guid, the nearest earlier frame of
     the same guid that holds an annotation and was not skipped, and that frame's payload
-    (the annotations a copy would take over)."""
+    (the annotations a copy would take over). The payload travels with the as-of match,
+    so no join back to the matched frame is needed (a run of frames that all copy from
+    the same frame would make that join key hot)."""
     usable = F.col("annotated") & F.col("skip_reason").isNull()
     out = prev_match(frames, "guid", "frame_num", {
         "_any_prev": (F.lit(True), False),
-        "prev_frame": (usable, False),
+        "_prev": (usable, False, [payload]),
     })
-    src = frames.select("guid", F.col("frame_num").alias("prev_frame"),
-                        F.col(payload).alias(f"prev_{payload}"))
-    return (out.join(src, ["guid", "prev_frame"], "left")
-            .withColumn("is_first", F.col("_any_prev").isNull()).drop("_any_prev"))
+    return (out.withColumn("prev_frame", F.col("_prev.frame_num"))
+            .withColumn(f"prev_{payload}", F.col(f"_prev.{payload}"))
+            .withColumn("is_first", F.col("_any_prev").isNull()).drop("_any_prev", "_prev"))
 
 
 def resolve_duplicates(frames: DataFrame, payload: str = "role") -> DataFrame:
     """Frames skipped as duplicates inherit the annotation of the nearest earlier frame
     of the same guid that is annotated and is not itself a duplicate."""
     source_ok = F.col("annotated") & (F.coalesce(F.col("skip_reason"), F.lit("")) != REASON_DUPLICATE)
-    out = prev_match(frames, "guid", "frame_num", {"source_frame": (source_ok, False)})
-    src = frames.select("guid", F.col("frame_num").alias("source_frame"),
-                        F.col(payload).alias(f"source_{payload}"))
+    out = prev_match(frames, "guid", "frame_num", {"_src": (source_ok, False, [payload])})
     return (out.filter(F.col("skip_reason") == REASON_DUPLICATE)
-            .join(src, ["guid", "source_frame"], "left"))
+            .withColumn("source_frame", F.col("_src.frame_num"))
+            .withColumn(f"source_{payload}", F.col(f"_src.{payload}")).drop("_src"))
 
 
 def chains(frames: DataFrame, continuing: str = "continuing") -> DataFrame:
