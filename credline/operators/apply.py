@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from credline.functions.text import tag_all_o
 from credline.operators.frames import parse_frame_name
 from credline.schemas import CHYRON, CREDITS, OCR_BOX
+from credline.session import ship_package
 
 TagModel = Callable[[str, str], str]
 
@@ -69,6 +70,7 @@ def annotate(df: DataFrame, model_factory: Callable[[], TagModel], max_retries:
     unroutable = (r.filter(F.col("route") == "unroutable")
                   .withColumn("tagged", F.lit(None).cast("string"))
                   .withColumn("tag_status", F.lit("unroutable")))
+    ship_package(df.sparkSession)
     todo = r.filter(F.col("route").isin(CHYRON, CREDITS))
     schema = T.StructType(todo.schema.fields + [T.StructField("tagged", T.StringType()),
                                                 T.StructField("tag_status", T.StringType())])
@@ -102,6 +104,7 @@ def _ocr_partitions(model_factory: Callable[[], OcrModel]):
 def ocr_frames(frames: DataFrame, model_factory: Callable[[], OcrModel]) -> DataFrame:
     """Run an OCR model over frame images read with the ``binaryFile`` source
     (columns path, content). A model returns (4 points, text, confidence) per box."""
+    ship_package(frames.sparkSession)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     guid, frame = parse_frame_name(name)
     src = frames.select(guid.alias("guid"), frame.alias("frame_num"), "content")

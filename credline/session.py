@@ -53,3 +53,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the checkpoint folder for tables a job writes."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"credline-{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (``mapInPandas``,
+    ``applyInPandasWithState``): a zip of the package is added with ``addPyFile``, which
+    Spark hands to every executor, including ones started later. Done once per context;
+    skipped when the workers can already import the package (installed or shipped with
+    ``--py-files``)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="credline-pyfiles-")
+    zpath = os.path.join(out_dir, "credline.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from credline.session import ship_package
+
 REVIEW_OUT = ("row_id long, label_adjusted boolean, deleted boolean, annotated boolean, "
               "ocr_accepted boolean")
 REVIEW_STATE = ("swaps long, deletes long, rejected boolean, annotated boolean, "
@@ -65,10 +67,12 @@ def review_state_stream(events: DataFrame) -> DataFrame:
     order across micro-batches (the log is written in that order; inside a batch they are
     sorted); an event at or below the last applied ``seq`` is a redelivery and is not
     applied twice."""
+    ship_package(events.sparkSession)
     return events.groupBy("row_id").applyInPandasWithState(
         _review_step, REVIEW_OUT, REVIEW_STATE, "Update", GroupStateTimeout.NoTimeout)
 
 
 def adjudication_state_stream(events: DataFrame) -> DataFrame:
+    ship_package(events.sparkSession)
     return events.groupBy("row_id").applyInPandasWithState(
         _adjudication_step, ADJ_OUT, ADJ_STATE, "Update", GroupStateTimeout.NoTimeout)
