@@ -70,11 +70,6 @@ def na_to_null(c) -> Column:
     return F.when(col.isin(*NA_LITERALS), F.lit(None).cast("string")).otherwise(col)
 
 
-def is_blank_or_na(c) -> Column:
-    col = _c(c)
-    return col.isNull() | col.isin(*NA_LITERALS)
-
-
 def append_joined(pieces) -> Column:
     """Fold of ``s = r if not s else s + ' ' + r`` over an ordered array of strings:
     leading empty pieces vanish, everything after the first non-empty piece is joined
