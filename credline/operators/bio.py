@@ -49,8 +49,8 @@ def _parse(df: DataFrame, id_col: str, tagged: str):
     (the running open phrase per row, the phrase aggregate, the error aggregate), so the
     tokens are never shuffled. A row's tokens come from one text value and are produced
     by one task in any plan, so partitioning by row splits the work as far as it can go.
-    The token and phrase tables are checkpointed (lineage cut, partitioning kept) because
-    several branches read them.
+    The phrase table is checkpointed (lineage cut, partitioning kept) because several
+    branches read it.
     """
     base = df.select(id_col, tagged).repartition(id_col)
     tok = explode_tags(base, id_col, tagged, keep_empty=True)
@@ -67,18 +67,20 @@ def _parse(df: DataFrame, id_col: str, tagged: str):
     tok = tok.withColumn("phrase_pos", F.col("_open.pos")).withColumn("_open_name", F.col("_open.name"))
     bad_i = F.col("_is_i") & (F.col("_open_name").isNull() | (F.col("_open_name") != F.col("name")))
     tok = tok.withColumn("_bad", F.coalesce(F.col("_bad_token") | bad_i, F.lit(True)) | F.col("_null_text"))
-    tok = checkpointed(tok.select(id_col, "pos", "word", "phrase_pos", "_is_b", "_is_i", "_bad", "name"))
-    members = tok.filter(F.col("_is_b") | (F.col("_is_i") & ~F.col("_bad")))
-    ph = members.groupBy(id_col, "phrase_pos").agg(
+    # one aggregate per (row, phrase start) gives both the phrase (its B plus the valid I
+    # tokens, in order) and whether any token of the group is bad; tokens before the first
+    # B form the group with no phrase start
+    member = F.col("_is_b") | (F.col("_is_i") & ~F.col("_bad"))
+    g = tok.groupBy(id_col, "phrase_pos").agg(
         F.max(F.when(F.col("_is_b"), F.col("name"))).alias("phrase_tag"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
-                                 lambda x: x["word"]), " ").alias("phrase_text"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(member, F.struct("pos", "word")))),
+                                 lambda x: x["word"]), " ").alias("phrase_text"),
+        F.bool_or("_bad").alias("_tok_bad"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    ph = checkpointed(ph.withColumn("_bad", needs_idx & ~F.col("phrase_tag").contains(":")))
-    tok_bad = tok.groupBy(id_col).agg(F.bool_or("_bad").alias("_e1"))
-    ph_bad = ph.groupBy(id_col).agg(F.bool_or("_bad").alias("_e2"))
-    errs = tok_bad.join(ph_bad, id_col, "left").select(
-        id_col, (F.col("_e1") | F.coalesce(F.col("_e2"), F.lit(False))).alias("parse_error"))
+    g = checkpointed(g.withColumn(
+        "_bad", F.coalesce(needs_idx & ~F.col("phrase_tag").contains(":"), F.lit(False))))
+    ph = g.filter(F.col("phrase_tag").isNotNull()).select(id_col, "phrase_pos", "phrase_tag", "phrase_text", "_bad")
+    errs = g.groupBy(id_col).agg(F.bool_or(F.col("_tok_bad") | F.col("_bad")).alias("parse_error"))
     return tok, ph, errs
 
 
@@ -105,17 +107,24 @@ def bindings(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> t
     roles = ph.filter(F.col("phrase_tag").contains("R")).select(
         id_col, F.col("phrase_text").alias("role"), F.col("phrase_pos"),
         F.try_element_at(F.split(F.col("phrase_tag"), ":"), F.lit(2)).alias("_ridx"))
-    # a role text seen again takes the fillers of its last occurrence, keeps its first place
-    spans = roles.groupBy(id_col, "role").agg(F.min("phrase_pos").alias("role_pos"),
-                                              F.max("phrase_pos").alias("phrase_pos"))
-    roles = roles.join(spans, [id_col, "role", "phrase_pos"], "inner")
+    # a role text seen again takes the fillers of its last occurrence and keeps its first
+    # place; the window is keyed inside a row, so the row partitioning of the phrases serves it
+    same_role = Window.partitionBy(id_col, "role")
+    roles = (roles.withColumn("role_pos", F.min("phrase_pos").over(same_role))
+             .withColumn("_last", F.max("phrase_pos").over(same_role))
+             .filter(F.col("phrase_pos") == F.col("_last")))
     fillers = ph.filter(F.col("phrase_tag").contains("F")).select(
         id_col, F.col("phrase_tag").alias("_ftag"), F.col("phrase_text").alias("filler"),
         F.col("phrase_pos").alias("filler_pos"))
     bound = (roles.withColumn("_ftag", F.concat(F.lit("F:"), F.col("_ridx")))
              .join(fillers, [id_col, "_ftag"], "left")
              .select(id_col, "role", "role_pos", "filler", "filler_pos"))
-    taken = bound.filter(F.col("filler").isNotNull()).select(id_col, "filler").distinct()
-    leftover = (fillers.join(taken, [id_col, "filler"], "left_anti")
-                .groupBy(id_col, "filler").agg(F.min("filler_pos").alias("filler_pos")))
+    # left-overs: filler texts that no role took, once each, at their first place
+    marks = (bound.filter(F.col("filler").isNotNull())
+             .select(id_col, "filler", F.lit(True).alias("_taken"), F.lit(None).cast("long").alias("_pos"))
+             .unionByName(fillers.select(id_col, "filler", F.lit(False).alias("_taken"),
+                                         F.col("filler_pos").alias("_pos"))))
+    leftover = (marks.groupBy(id_col, "filler")
+                .agg(F.bool_or("_taken").alias("_t"), F.min("_pos").alias("filler_pos"))
+                .filter(~F.col("_t")).drop("_t"))
     return bound, leftover
