@@ -183,9 +183,9 @@ def fold_pairs(log: DataFrame, key: str = "guid") -> DataFrame:
 def last_write(log: DataFrame, key, order: str, value_cols) -> DataFrame:
     """Last write wins per key: the values of the row with the largest ``order``."""
     keys = [key] if isinstance(key, str) else list(key)
-    best = F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in value_cols])).alias("_w")
-    return log.groupBy(*keys).agg(best).select(
-        *keys, F.col("_w._o").alias(order), *[F.col(f"_w.{c}").alias(c) for c in value_cols])
+    best = F.max_by(F.struct(*[F.col(c) for c in value_cols]), F.col(order)).alias("_w")
+    return log.groupBy(*keys).agg(best, F.max(order).alias(order)).select(
+        *keys, order, *[F.col(f"_w.{c}").alias(c) for c in value_cols])
 
 
 def autofill(clicks: DataFrame, keys, order: str, text: str = "text") -> DataFrame:

@@ -122,3 +122,21 @@ def parse_gold(value: Column) -> tuple[Column, Column]:
     roles = F.map_filter(m, lambda k, v: ~k.startswith("_"))
     meta = F.map_filter(m, lambda k, v: k.startswith("_"))
     return F.transform_values(roles, lambda k, v: F.from_json(v, "array<string>")), meta
+
+
+def write_gold(records: DataFrame, path: str, seq: str = "seq") -> None:
+    """Gold records (guid, frame_num, seq, bindings map<string,array<string>>, meta
+    map<string,string>) as JSON text, one folder per guid. Saves are an append-only log:
+    the latest save of a frame wins, as a re-save overwrites the frame's record."""
+    from credline.operators.frames import last_write
+    latest = last_write(records, ["guid", "frame_num"], seq, ["bindings", "meta"])
+    (latest.select("guid", encode_gold(F.col("bindings"), F.col("meta")).alias("value"))
+     .write.partitionBy("guid").text(path))
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """guid, image_id, bindings, meta of every gold record below ``path``."""
+    raw = spark.read.text(path)
+    b, m = parse_gold(F.col("value"))
+    return raw.select(F.col("guid").cast("string").alias("guid"), m["_image_id"].alias("image_id"),
+                      b.alias("bindings"), m.alias("meta"))

@@ -102,3 +102,26 @@ def test_annotation_json_lines(spark):
     anns = AJ.materialize_annotations(spark, AJ.read_annotation_docs(spark, d, one_per_file=False))
     rows = AJ.ocr_rows(anns).collect()
     assert [(r.guid, r.time_point, r.textdocument) for r in rows] == [("cpb-aacip-3-cc", 7, "x y")] * 2
+
+
+def test_gold_records_latest_save_wins(spark):
+    from pyspark.sql import functions as F
+    d = os.path.join(tempfile.mkdtemp(prefix="credline-gold-"), "g")
+    rows = [("cpb-aacip-1", 15, 1, {"Director": ["A"]}, {"_image_id": "cpb-aacip-1.15"}),
+            ("cpb-aacip-1", 15, 2, {"Director": ["B", "C"], "": ["x"]}, {"_image_id": "cpb-aacip-1.15"}),
+            ("cpb-aacip-1", 30, 1, {}, {"_image_id": "cpb-aacip-1.30", "_skip_reason": "DUPLICATE"}),
+            ("cpb-aacip-2", 7, 1, {"Cast": []}, {"_image_id": "cpb-aacip-2.7", "_continued_from": "cpb-aacip-2.1"})]
+    df = spark.createDataFrame(rows, "guid string, frame_num long, seq long, bindings map<string,array<string>>, "
+                                     "meta map<string,string>")
+    AJ.write_gold(df, d)
+    got = {r.image_id: (r.guid, dict(r.bindings), dict(r.meta)) for r in AJ.read_gold(spark, d).collect()}
+    assert got == {
+        "cpb-aacip-1.15": ("cpb-aacip-1", {"Director": ["B", "C"], "": ["x"]}, {"_image_id": "cpb-aacip-1.15"}),
+        "cpb-aacip-1.30": ("cpb-aacip-1", {}, {"_image_id": "cpb-aacip-1.30", "_skip_reason": "DUPLICATE"}),
+        "cpb-aacip-2.7": ("cpb-aacip-2", {"Cast": []},
+                          {"_image_id": "cpb-aacip-2.7", "_continued_from": "cpb-aacip-2.1"}),
+    }
+    with open([os.path.join(r, f) for r, _, fs in os.walk(d) for f in fs if f.endswith(".txt")][0]) as f:
+        line = f.readline()
+    assert json.loads(line)  # each record is one flat JSON object
+    assert F is not None
