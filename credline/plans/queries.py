@@ -6,13 +6,14 @@ returns a DataFrame whose columns are named exactly like the oracle's.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credline.functions.text import clean_ocr, tag_all_o, tokens, verbatim_ok
+from credline.functions.text import clean_ocr, split_lines_stripped, tag_all_o, tokens, verbatim_ok
 from credline.operators import batch, bio, boxes, frames, review
 from credline.operators.apply import annotate, routed
 from credline.operators.common import global_index
@@ -22,6 +23,8 @@ from credline.schemas import OCR_ROW
 from credline.session import scratch_path
 from credline.sources import annotation_json as AJ
 from credline.sources import tables
+from credline.streaming.incremental import stage_hop
+from credline.streaming.state import adjudication_state_stream, review_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,7 +750,6 @@ def q_gold_parse(spark, sf):
     """Gold annotation records: encoded as flat JSON (role keys + ``_`` meta keys),
     written, scanned, parsed back; guid and frame come from ``_image_id``."""
     c = frames.chains(V.v_credits(spark, sf))
-    from credline.functions.text import split_lines_stripped
     meta = F.map_concat(
         F.create_map(F.lit("_image_id"), frames.image_id("guid", "frame_num")),
         F.when(F.col("continuing") & F.col("chain_start").isNotNull(),
@@ -813,7 +815,6 @@ def _event_drops(spark, sf, view=None):
     """Write an action log as two file drops in log order (events up to the median
     ``seq`` first, the rest later) plus a hidden folder that must never be read. Returns
     the base folder and the second drop (written by the caller between passes)."""
-    import os
     base = scratch_path(spark, "drops")
     ev = (view or V.v_review_events)(spark, sf).select("row_id", "seq", "action")
     cutoff = ev.agg(F.percentile_approx("seq", 0.5)).first()[0]
@@ -826,7 +827,6 @@ def _event_drops(spark, sf, view=None):
 def _stream_fold(spark, sf, view, fold, cols):
     """Run a stateful fold over the two drops of a log (one availableNow pass per drop);
     updates land in a Parquet table per batch, the latest update per row is the state."""
-    import os
     base, rest = _event_drops(spark, sf, view)
     src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
 
@@ -851,10 +851,8 @@ select row_id, seq, action from v_review_events"""))
 def q_incremental(spark, sf):
     """Stage hop over arriving files: two passes of an ``availableNow`` file stream with a
     checkpoint; the second pass reads only the new drop, hidden files are never read."""
-    import os
     base, rest = _event_drops(spark, sf)
     src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
-    from credline.streaming.incremental import stage_hop
     stage_hop(spark, src, _EVENT_SCHEMA, sink, ckpt)
     rest.write.parquet(os.path.join(src, "drop2"))
     stage_hop(spark, src, _EVENT_SCHEMA, sink, ckpt)
@@ -866,7 +864,6 @@ select * from fold"""))
 def q_review_stream(spark, sf):
     """The review fold as a stateful stream (``applyInPandasWithState``) over two drops of
     the log."""
-    from credline.streaming.state import review_state_stream
     return _stream_fold(spark, sf, V.v_review_events, review_state_stream,
                         ["label_adjusted", "deleted", "annotated", "ocr_accepted"])
 
@@ -881,7 +878,6 @@ select row_id,
 from v_adjudication_events group by row_id"""))
 def q_adjudicate_stream(spark, sf):
     """The adjudication fold as a stateful stream over two drops of the log."""
-    from credline.streaming.state import adjudication_state_stream
     return _stream_fold(spark, sf, V.v_adjudication_events, adjudication_state_stream,
                         ["adjudicated", "accepted", "n_edits"])
 
