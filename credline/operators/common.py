@@ -9,7 +9,7 @@
 * ``rank_within``    0-based position inside a key, same chunking.
 * ``global_index``   0-based consecutive index over a total order: range-partitioned sort,
                      per-partition counts (one row per partition) and offsets.
-* ``sized_broadcast`` broadcast a side only after checking its row count.
+* ``sized_broadcast`` broadcast a side only after checking its row count and size.
 * ``materialize``    write a multi-use intermediate once as Parquet to the shared folder.
 * ``checkpointed``   checkpoint to the shared folder, keeping the physical partitioning.
 """
@@ -25,6 +25,7 @@ from credline.session import checkpoint_dir, scratch_path
 
 DEFAULT_CHUNK = 1 << 16
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def _cols(cols) -> list[str]:
@@ -50,11 +51,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
-    (the join then shuffles both sides)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and about
+    ``max_bytes`` of data (measured as the length of each row's JSON form), else ``df``
+    unchanged (the join then shuffles both sides)."""
+    stats = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if stats["n"] <= max_rows and stats["b"] <= max_bytes else df
 
 
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str) -> DataFrame:

@@ -61,3 +61,17 @@ def test_global_index_on_skewed_keys(spark):
     idx = {(r.guid, r.frame_num): r.frame_idx for r in frames.index_frames(df.repartition(13)).collect()}
     order = sorted((g, f) for g, f, _ in rows)
     assert [idx[k] for k in order] == list(range(len(order)))
+
+
+def test_sized_broadcast_checks_rows_and_bytes(spark):
+    small = spark.createDataFrame([("g", "/p")], "guid string, path string")
+    wide = spark.createDataFrame([("g", "x" * 5000)] * 20, "guid string, path string")
+    probe = spark.createDataFrame([("g",)], "guid string")
+
+    def is_broadcast(side, **kw):
+        plan = probe.join(common.sized_broadcast(side, **kw), "guid")._jdf.queryExecution().logical().toString()
+        return "broadcast" in plan.lower()
+
+    assert is_broadcast(small)
+    assert not is_broadcast(small, max_rows=0)
+    assert not is_broadcast(wide, max_bytes=10_000)
