@@ -835,7 +835,7 @@ def _stream_fold(spark, sf, view, fold, cols):
 
     def run():
         stream = (spark.readStream.schema(_EVENT_SCHEMA).option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.parquet").parquet(src))
+                  .option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64).parquet(src))
         q = (fold(stream).writeStream.outputMode("update").foreachBatch(write)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
         q.awaitTermination()

@@ -16,12 +16,17 @@ from pyspark.sql import types as T
 
 def stage_hop(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str,
               checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-              glob: str = "*.parquet", fmt: str = "parquet") -> int:
+              glob: str = "*.parquet", fmt: str = "parquet", archive_dir: str | None = None,
+              max_files_per_batch: int = 1000) -> int:
     """Run one ``availableNow`` pass of ``source_dir -> transform -> sink_dir`` and return
-    the number of input rows of the pass."""
-    stream = (spark.readStream.schema(schema).format(fmt)
+    the number of input rows of the pass. With ``archive_dir`` the file source moves every
+    processed file there (the hand-off marks a file done without deleting it)."""
+    reader = (spark.readStream.schema(schema).format(fmt)
               .option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", 1000).load(source_dir))
+              .option("maxFilesPerTrigger", max_files_per_batch))
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+    stream = reader.load(source_dir)
     out = transform(stream) if transform else stream
     q = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))
