@@ -42,14 +42,14 @@ def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
     return t if keep_empty else t.drop("_null_text")
 
 
-def _parse(df: DataFrame, id_col: str, tagged: str):
+def _parse(df: DataFrame, id_col: str, tagged: str, reuse: bool = True):
     """(tokens with ``_bad``, phrases with ``_bad``, per-row errors).
 
     The tagged rows are hash-partitioned by id once; every later step is keyed by the id
     (the running open phrase per row, the phrase aggregate, the error aggregate), so the
     tokens are never shuffled. A row's tokens come from one text value and are produced
     by one task in any plan, so partitioning by row splits the work as far as it can go.
-    The phrase table is checkpointed (lineage cut, partitioning kept) because several
+    With ``reuse`` the phrase table is checkpointed (lineage cut) because several
     branches read it.
     """
     base = df.select(id_col, tagged).repartition(id_col)
@@ -77,8 +77,9 @@ def _parse(df: DataFrame, id_col: str, tagged: str):
                                  lambda x: x["word"]), " ").alias("phrase_text"),
         F.bool_or("_bad").alias("_tok_bad"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    g = checkpointed(g.withColumn(
-        "_bad", F.coalesce(needs_idx & ~F.col("phrase_tag").contains(":"), F.lit(False))))
+    g = g.withColumn("_bad", F.coalesce(needs_idx & ~F.col("phrase_tag").contains(":"), F.lit(False)))
+    if reuse:
+        g = checkpointed(g)
     ph = g.filter(F.col("phrase_tag").isNotNull()).select(id_col, "phrase_pos", "phrase_tag", "phrase_text", "_bad")
     errs = g.groupBy(id_col).agg(F.bool_or(F.col("_tok_bad") | F.col("_bad")).alias("parse_error"))
     return tok, ph, errs
@@ -86,7 +87,7 @@ def _parse(df: DataFrame, id_col: str, tagged: str):
 
 def parse_errors(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
     """``id, parse_error`` for every input row (a NULL text is unparsable)."""
-    return _parse(df, id_col, tagged)[2]
+    return _parse(df, id_col, tagged, reuse=False)[2]
 
 
 def phrases(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:

@@ -61,16 +61,16 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (``mapInPandas``,
-    ``applyInPandasWithState``): a zip of the package is added with ``addPyFile``, which
-    Spark hands to every executor, including ones started later. Done once per context;
-    skipped when the workers can already import the package (installed or shipped with
-    ``--py-files``)."""
+    """Make this package importable in the Python workers of a local-mode session
+    (``mapInPandas``, ``applyInPandasWithState``): a zip of the package is added with
+    ``addPyFile``. Done once per context. On a cluster the package is expected to be
+    installed on the executors or submitted with ``--py-files``; nothing is written to a
+    machine-local folder there."""
     import zipfile
 
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="credline-pyfiles-")
