@@ -105,7 +105,6 @@ def test_annotation_json_lines(spark):
 
 
 def test_gold_records_latest_save_wins(spark):
-    from pyspark.sql import functions as F
     d = os.path.join(tempfile.mkdtemp(prefix="credline-gold-"), "g")
     rows = [("cpb-aacip-1", 15, 1, {"Director": ["A"]}, {"_image_id": "cpb-aacip-1.15"}),
             ("cpb-aacip-1", 15, 2, {"Director": ["B", "C"], "": ["x"]}, {"_image_id": "cpb-aacip-1.15"}),
@@ -124,4 +123,3 @@ def test_gold_records_latest_save_wins(spark):
     with open([os.path.join(r, f) for r, _, fs in os.walk(d) for f in fs if f.endswith(".txt")][0]) as f:
         line = f.readline()
     assert json.loads(line)  # each record is one flat JSON object
-    assert F is not None

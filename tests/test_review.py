@@ -3,7 +3,6 @@
 import os
 import random
 import tempfile
-import time
 
 from pyspark.sql import functions as F
 
@@ -122,4 +121,3 @@ def test_paths_later_file_wins_and_missing(spark):
     got = {r.row_id: r.path for r in review.with_paths(rows, paths).collect()}
     assert got == {1: "/b", 2: None}
     assert [r.guid for r in review.missing_paths(rows, paths).collect()] == ["g3"]
-    time.sleep(0)
