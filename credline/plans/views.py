@@ -17,13 +17,14 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table. A text table held in fewer files than there are cores cannot
-    be split finer than its row groups, so its rows are spread round-robin first; a table
-    in many files (the normal case at scale) is scanned as is."""
+    """Scan one driver table. A text table whose scan has fewer splits than there are
+    cores (a few files with few row groups) is spread round-robin first, so the per-row
+    text work uses every core; a table in many files (the normal case at scale) is
+    scanned as is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in TEXT_TABLES:
         cores = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < cores:
+        if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
     return df
 
