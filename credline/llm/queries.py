@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from credline.llm import language, packing, topk, warc  # noqa: F401
+from credline.llm import language, packing, secrets, topk, warc  # noqa: F401
 from credline.llm.common import ORACLE, QUERIES  # noqa: F401
