@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from credline.llm import decontaminate, language, packing, pii, secrets, topk, toxicity, warc  # noqa: F401
+from credline.llm import decontaminate, language, neardup, packing, pii, secrets, topk, toxicity, warc  # noqa: F401
 from credline.llm.common import ORACLE, QUERIES  # noqa: F401
