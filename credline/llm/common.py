@@ -58,3 +58,16 @@ def fold(id_col: str | Column = "doc_id") -> Column:
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(fold(id_col) == 2, F.lit(False))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash by which a row's results find it again: equal for rows of equal id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores in front until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

@@ -29,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credline.llm.common import register, stored, table
+from credline.llm.common import free_name, register, row_key, stored, table
 
 WINDOW = 10
 SHINGLE = 3
@@ -49,10 +49,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATORS, -1), "")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-
-
 def _shingle(array: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(array, at + i) for i in range(size)])
 
@@ -75,9 +71,10 @@ def _shingles(rows: DataFrame, array: str, size: int, *keep: str) -> DataFrame:
 
 def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-          shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, hits (array of start, n: the verified windows), item_ids (sorted as
-    strings), one row per document."""
+          shingle: int = SHINGLE, every: bool = True) -> DataFrame:
+    """doc_id, k (hash of id and text), n_words, hits (array of start, n: the verified windows),
+    item_ids (sorted as strings): one row per document, or per document with a candidate place
+    if not ``every``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         row_key(id_col, text_col).alias("k"))
     wins = stored(windows(items, item_id_col, item_text_col, window).withColumn("wid", F.monotonically_increasing_id()), "windows")
@@ -104,19 +101,26 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                           "w", "n", F.transform("items", lambda i: i.cast("string")).alias("items")))
         cands = (occurs.join(prefix, ["size", "h"]).withColumn("start", F.col("at") - F.col("off")).filter("start >= 0")
                  .groupBy("k").agg(F.collect_set(F.struct("start", "n", "w", "items")).alias("cands")))
-    rows = texts.join(cands, "k", "left").select("doc_id", "cands", words(F.col("text")).alias("ws"))
+    rows = texts.join(cands, "k", "left" if every else "inner").select("doc_id", "k", "cands", words(F.col("text")).alias("ws"))
     held = F.filter(F.col("cands"), lambda c: (c["start"] + c["n"] <= F.size("ws"))
                     & (F.slice(F.col("ws"), c["start"] + 1, c["n"]) == c["w"]))
-    rows = rows.select("doc_id", F.size("ws").cast("long").alias("n_words"),
+    rows = rows.select("doc_id", "k", F.size("ws").cast("long").alias("n_words"),
                        F.when(F.col("cands").isNotNull(), held).alias("held"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     return rows.select(
-        "doc_id", "n_words",
+        "doc_id", "k", "n_words",
         F.coalesce(F.array_sort(F.transform("held", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))), none).alias("hits"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("held", lambda c: c["items"])))),
                    F.array().cast("array<string>")).alias("item_ids"))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs."""
+    hit = match(docs, items, id_col, text_col, every=False, **options).filter(F.size("hits") > 0).select("k").distinct()
+    key = free_name(docs, "k")
+    return docs.withColumn(key, row_key(id_col, text_col)).join(hit.withColumnRenamed("k", key), key, "left_anti").select(*docs.columns)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credline.llm.common import partition_id, register, stored, table, with_python
+from credline.llm.common import free_name, partition_id, register, row_key, stored, table, with_python
 
 SHINGLE = 5
 THRESHOLD = 75  # hundredths
@@ -125,7 +125,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([k for k, _ in rows], pa.list_(pa.int64())), pa.array([s for _, s in rows], pa.binary())], schema=_SETS)
                 rid += len(sets)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("k"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"),
                        F.col(text_col).cast("string").alias("text"))
     return with_python(rows).mapInArrow(run, SETS)
 
@@ -283,8 +283,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: int = THRESHOLD) -> DataFrame:
-    """rid, doc_id, k (hash of id and text), n_shingles, component_id, kept: one row per row of
-    ``docs``; rid tells repeated rows apart."""
+    """rid, doc_id, k (hash of id and text), component (an internal number), n_shingles,
+    component_id, kept: one row per row of ``docs``; rid tells repeated rows apart."""
     rows = stored(sketch(docs, id_col, text_col), "minhash")
     classes = stored(rows.filter("n > 0").groupBy("digest").agg(
         F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("m")), "minhash-classes")
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = maybe.join(nodes.select("node", "n", "k"), "node")
     total = sizes.groupBy("root").agg(F.sum("n").alias("total"))
     chosen = stored(sizes.join(total, "root").select("root", "node", "k", "total"), "minhash-groups")
-    texts = (docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("k"),
+    texts = (docs.select(row_key(id_col, text_col).alias("k"),
                          F.col(text_col).cast("string").alias("text"))
              .join(chosen, "k"))
     grouped = _dealt(texts, "root", F.ceil(F.col("total") / GROUP), "node", "text")
@@ -311,14 +311,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     name = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("m").alias("m"))
     named = joined.select("digest", "root").join(name.filter("m > 1").select("root", "component_id"), "root").select(
-        "digest", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        "digest", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     out = (rows.select("rid", "doc_id", "k", "n", "digest", F.pmod(F.xxhash64("rid"), F.lit(SALT)).cast("int").alias("salt"))
            .join(named.withColumn("named", F.lit(True)), ["digest", "salt"], "left"))
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("rid", "doc_id", "k", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("rid", "doc_id", "k", F.coalesce("root", "rid").alias("component"), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each component: of the rows that name it the first. Rows
+    without words link with nothing and all stay."""
+    found = near_duplicates(docs, id_col, text_col, threshold).filter("kept")
+    named = found.filter("n_shingles > 0")
+    stay = named.join(named.groupBy("component").agg(F.min("rid").alias("rid")), "rid", "left_semi").select("k")
+    key = free_name(docs, "k")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    stay = stored(stay.withColumnRenamed("k", key), "minhash-stay")
+    wordless = found.filter("n_shingles = 0").select(F.col("k").alias(key)).distinct()
+    repeated = named.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("k").alias(key))
+    single = keyed.join(stay.join(repeated, key, "left_anti").unionByName(wordless), key, "left_semi")
+    twice = keyed.join(stay.join(repeated, key, "left_semi"), key, "left_semi").dropDuplicates([key])
+    return single.unionByName(twice).select(*docs.columns)
+
+
 @register("op10_neardup")
 def op10_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

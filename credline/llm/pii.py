@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credline.llm.common import register, stored, table
+from credline.llm.common import free_name, register, row_key, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Where a pattern can only begin at the start of a run, (?<!..) says so,
@@ -85,10 +85,6 @@ def base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     return found.drop(*[k for cols, _ in parts for k in cols])
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-
-
 def _contexts(found: DataFrame) -> DataFrame:
     """k, e, c, term, start, stop: the context terms of every span of ``found`` (k, text,
     spans), with their places in the text."""
@@ -170,6 +166,17 @@ def sanitise(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, finish)
 
 
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span blanked in the text column; the other columns are unchanged."""
+    key, spans = free_name(docs, "k"), free_name(docs, "spans")
+    base = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"], F.lit(False).alias("removed")))
+    found = (find(docs, id_col, text_col).filter((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["k"])
+             .select(F.col("k").alias(key), F.array_sort(F.concat(base, F.col("terms"))).alias(spans)))
+    text = F.col(text_col).cast("string")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), sanitise(text, F.col(spans))).otherwise(text)).select(*docs.columns)
+
+
 @register("op7_pii")
 def op7_pii(spark, sf_dir):
     found = find(table(spark, sf_dir, "documents"))

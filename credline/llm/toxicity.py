@@ -183,6 +183,18 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return with_python(rows).mapInArrow(run, SCORED)
 
 
+def without_toxic(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        of = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return with_python(docs).mapInArrow(run, docs.schema)
+
+
 @register("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
