@@ -8,9 +8,10 @@ the smallest hashes of their ids):
 1. document counts of every term by label (a Spark aggregate); terms seen in at least
    ``LEAST_ROWS`` toxic or clean sample rows whose rates differ clearly (log-likelihood ratio
    at least ``LEAST_G``) are kept, the ``TERMS`` strongest;
-2. a factorization machine on these: bias, a weight per term, and per term a vector whose
-   inner products weigh pairs of terms, so a pair can count more (or less) than its parts;
-   full-batch Adagrad on the driver, with the sample's class ratio taken back out of the bias.
+2. a factorization machine on these: bias, a weight per term (starting at half the log odds
+   ratio of toxic terms), and per term a vector whose inner products weigh pairs of terms, so a
+   pair can count more (or less) than its parts; full-batch Adagrad on the driver, with the
+   sample's class ratio taken back out of the bias.
 
 Scoring reads every whole text once; only distinct known terms enter a sum. Model size and
 driver memory are bounded by the parameters; nothing else is collected.
@@ -39,6 +40,7 @@ LEAST_G = 12.0
 TERMS = 4_096
 FACTORS = 8
 STEPS = 150
+RATE = 0.3
 THRESHOLD = 0.3
 MEMO_WORDS = 300_000
 
@@ -80,15 +82,16 @@ def sample_ids(labels: DataFrame, id_col: str, label_col: str) -> tuple[dict[int
 
 
 def fit_fm(rows: list[np.ndarray], y: np.ndarray, n_terms: int, prior: float,
-           factors: int = FACTORS, steps: int = STEPS, l2: float = 1e-3) -> dict:
+           factors: int = FACTORS, steps: int = STEPS, l2: float = 1e-3, start: np.ndarray | None = None) -> dict:
     """w0 + sum w_i + sum_{i<j} <v_i, v_j> over the terms of a row, logistic loss. ``prior``
-    is log(odds in the corpus / odds in the sample), added to the bias."""
+    is log(odds in the corpus / odds in the sample), added to the bias; ``start`` the weights
+    to begin with (terms that mostly come together would otherwise share one term's weight)."""
     rng = np.random.default_rng(7)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ix = np.concatenate(rows).astype(np.int64) if len(at) else np.empty(0, np.int64)
     n = len(rows)
-    p = {"w0": np.zeros(1), "w": np.zeros(n_terms), "v": rng.normal(0, 0.05, (n_terms, factors))}
-    seen = {k: np.full_like(v, 1e-8) for k, v in p.items()}
+    p = {"w0": np.full(1, np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))), "w": np.zeros(n_terms) if start is None else start.copy(), "v": rng.normal(0, 0.05, (n_terms, factors))}
+    seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     by_row = lambda x: np.stack([np.bincount(at, x[:, f], n) for f in range(x.shape[1])], 1)
     by_term = lambda x: np.stack([np.bincount(ix, x[:, f], n_terms) for f in range(x.shape[1])], 1)
     for _ in range(steps):
@@ -96,11 +99,11 @@ def fit_fm(rows: list[np.ndarray], y: np.ndarray, n_terms: int, prior: float,
         total = by_row(own)
         z = p["w0"][0] + np.bincount(at, p["w"][ix], n) + 0.5 * ((total**2).sum(1) - np.bincount(at, (own**2).sum(1), n))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grads = {"w0": np.array([g.sum()]), "w": np.bincount(ix, g[at], n_terms) + l2 * p["w"] / n_terms,
+        grads = {"w0": np.array([g.sum()]), "w": np.bincount(ix, g[at], n_terms),
                  "v": by_term(g[at, None] * (total[at] - own)) + l2 * p["v"] / n_terms}
         for k, d in grads.items():
             seen[k] += d**2
-            p[k] = p[k] - 0.3 * d / np.sqrt(seen[k])
+            p[k] = p[k] - RATE * d / np.sqrt(seen[k])
     return {"w0": float(p["w0"][0] + prior), "w": p["w"], "v": p["v"]}
 
 
@@ -133,13 +136,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ea, eb = (a + b) * (n1 / (n1 + n0)), (a + b) * (n0 / (n1 + n0))
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     kept = (t.withColumn("g", 2 * (part(a, ea) + part(b, eb))).filter(F.col("g") >= LEAST_G)
-            .orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect())
+            .orderBy(F.desc("g"), "term").limit(TERMS).select("term", "a", "b").collect())
+    odds = np.array([np.log((r["a"] + 0.5) / (n1 + 1)) - np.log((r["b"] + 0.5) / (n0 + 1)) for r in kept])
     index = {r["term"]: j for j, r in enumerate(kept)}
     listed = F.array(*[F.lit(x) for x in index]) if index else F.array().cast("array<long>")
     found = sample.orderBy("i").select("y", F.array_intersect("terms", listed).alias("terms")).collect()
     fit = fit_fm([np.array([index[x] for x in r["terms"]], np.int64) for r in found],
                  np.array([r["y"] for r in found], float), len(index),
-                 float(np.log(counts[1] / counts[0]) - np.log(n1 / n0)))
+                 float(np.log(counts[1] / counts[0]) - np.log(n1 / n0)), start=np.maximum(odds, 0) / 2)
     return {"terms": index, **fit}
 
 
