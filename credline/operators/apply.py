@@ -8,7 +8,7 @@ call is retried a bounded number of times, and each row gets a status.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,7 @@ from credline.session import ship_package
 TagModel = Callable[[str, str], str]
 
 
-def route(df: DataFrame) -> Column:
+def route() -> Column:
     """Where a row goes: ``rejected`` (tag all-O, no model call), ``chyron`` /
     ``credits`` (model with the matching request template) or ``unroutable``."""
     return (F.when(F.col("ocr_accepted") == F.lit(False), F.lit("rejected"))
@@ -36,46 +36,56 @@ def routed(df: DataFrame) -> DataFrame:
     """Drop rows without cleaned text (empty counts as missing after a stage file) and
     add the route."""
     t = F.col("cleaned_text")
-    return df.filter(t.isNotNull() & (t != "")).withColumn("route", route(df))
+    return df.filter(t.isNotNull() & (t != "")).withColumn("route", route())
+
+
+def with_request(df: DataFrame, templates: Mapping[str, str], text: str = "cleaned_text") -> DataFrame:
+    """Add ``request``: the user's template of the row's route with ``{text}`` replaced by
+    the row's text; NULL for a route without template."""
+    request = F.lit(None).cast("string")
+    for name, template in templates.items():
+        head, _, tail = template.partition("{text}")
+        request = F.when(F.col("route") == name, F.concat(F.lit(head), F.col(text), F.lit(tail))).otherwise(request)
+    return df.withColumn("request", request)
 
 
 def _tag_partitions(model_factory: Callable[[], TagModel], max_retries: int, backoff_s: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for pdf in batches:
-            tagged, status = [], []
+            tagged, status, errors = [], [], []
             for text, label in zip(pdf["cleaned_text"], pdf["route"]):
+                out, error = None, None
                 for attempt in range(max_retries + 1):
                     try:
-                        tagged.append(model(text, label))
-                        status.append("ok")
+                        out, error = model(text, label), None
                         break
-                    except Exception:  # noqa: BLE001 - a model failure is a row status
-                        if attempt == max_retries:
-                            tagged.append(None)
-                            status.append("failed")
-                        else:
+                    except Exception as e:  # noqa: BLE001 - a model failure is a row status
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt < max_retries:
                             time.sleep(backoff_s)
-            yield pdf.assign(tagged=tagged, tag_status=status)
+                tagged.append(out)
+                status.append("ok" if error is None else "failed")
+                errors.append(error)
+            yield pdf.assign(tagged=tagged, tag_status=status, tag_error=errors)
     return run
 
 
 def annotate(df: DataFrame, model_factory: Callable[[], TagModel], max_retries: int = 3,
              backoff_s: float = 1.0) -> DataFrame:
-    """Tag every routable row. Output: input columns + route, tagged, tag_status."""
+    """Tag every routable row. Output: input columns + route, tagged, tag_status (``ok``,
+    ``rejected``, ``unroutable`` or ``failed``) and tag_error (the last error of a failed
+    row). Two branches: rows settled in the JVM, rows for the model."""
     r = routed(df)
-    cheap = (r.filter(F.col("route") == "rejected")
-             .withColumn("tagged", tag_all_o("cleaned_text"))
-             .withColumn("tag_status", F.lit("ok")))
-    unroutable = (r.filter(F.col("route") == "unroutable")
-                  .withColumn("tagged", F.lit(None).cast("string"))
-                  .withColumn("tag_status", F.lit("unroutable")))
+    rejected = F.col("route") == "rejected"
+    settled = (r.filter(F.col("route").isin("rejected", "unroutable"))
+               .withColumn("tagged", F.when(rejected, tag_all_o("cleaned_text")))
+               .withColumn("tag_status", F.col("route"))
+               .withColumn("tag_error", F.lit(None).cast("string")))
     ship_package(df.sparkSession)
     todo = r.filter(F.col("route").isin(CHYRON, CREDITS))
-    schema = T.StructType(todo.schema.fields + [T.StructField("tagged", T.StringType()),
-                                                T.StructField("tag_status", T.StringType())])
-    called = todo.mapInPandas(_tag_partitions(model_factory, max_retries, backoff_s), schema)
-    return cheap.unionByName(unroutable).unionByName(called)
+    schema = T.StructType(todo.schema.fields + [T.StructField(c, T.StringType()) for c in ("tagged", "tag_status", "tag_error")])
+    return settled.unionByName(todo.mapInPandas(_tag_partitions(model_factory, max_retries, backoff_s), schema))
 
 
 # --------------------------------------------------------------------------- OCR

@@ -52,26 +52,25 @@ def alignment_filter(df: DataFrame, source: str = "source_id", target: str = "ta
 def resolve_refs(refs: DataFrame, anns: DataFrame, file_cols: Sequence[str], ref: str,
                  payload: Sequence[str], prefix: str) -> DataFrame:
     """Resolve the annotation id in ``refs[ref]`` against ``anns``
-    (file_cols, view_id, view_ord, ann_id, *payload).
+    (file_cols, view_id, view_ord, ann_ord, ann_id, *payload).
 
     Tier 1: the document-wide id ``view_id:ann_id``. Tier 2: the bare id searched in every
-    view, the last view holding it wins. Both sides are keyed by (file, id), so a hot file
-    spreads over many join keys. Unresolved ids give NULL payload columns.
+    view, the last view holding it wins (in a view, the last annotation). Both tiers are
+    settled on a narrow table of ids and places, keyed by (file, id), so a hot file spreads
+    over many join keys; the payload is then fetched once, by its place. Unresolved ids
+    give NULL payload columns.
     """
     fc = list(file_cols)
-    packed = F.struct(*[F.col(p) for p in payload])
-    tier1 = (anns.select(*fc, F.concat_ws(":", "view_id", "ann_id").alias("_rid"),
-                         F.col("view_ord"), packed.alias("_p"))
-             .groupBy(*fc, "_rid").agg(F.max_by("_p", "view_ord").alias("_p1")))
-    tier2 = (anns.select(*fc, F.col("ann_id").alias("_rid"), F.col("view_ord"), packed.alias("_p"))
-             .groupBy(*fc, "_rid").agg(F.max_by("_p", "view_ord").alias("_p2")))
-    out = (refs.withColumn("_rid", F.col(ref))
-           .join(tier1, [*fc, "_rid"], "left")
-           .join(tier2, [*fc, "_rid"], "left")
-           .withColumn("_pr", F.coalesce("_p1", "_p2")))
-    for p in payload:
-        out = out.withColumn(f"{prefix}{p}", F.col("_pr")[p])
-    return out.drop("_rid", "_p1", "_p2", "_pr")
+    ids = F.array(F.struct(F.lit(1).alias("tier"), F.concat_ws(":", "view_id", "ann_id").alias("id")),
+                  F.struct(F.lit(0).alias("tier"), F.col("ann_id").alias("id")))
+    places = (anns.select(*fc, "view_ord", "ann_ord", F.explode(ids).alias("_i"))
+              .groupBy(*fc, F.col("_i.id").alias("_rid"))
+              .agg(F.max(F.struct(F.col("_i.tier").alias("tier"), "view_ord", "ann_ord")).alias("_at")))
+    found = (refs.withColumn("_rid", F.col(ref)).join(places, [*fc, "_rid"], "left")
+             .withColumns({"_v": F.col("_at.view_ord"), "_a": F.col("_at.ann_ord")}).drop("_rid", "_at"))
+    values = anns.select(*fc, F.col("view_ord").alias("_v"), F.col("ann_ord").alias("_a"),
+                         *[F.col(p).alias(f"{prefix}{p}") for p in payload])
+    return found.join(values, [*fc, "_v", "_a"], "left").drop("_v", "_a")
 
 
 def dedupe_exact(df: DataFrame, text: str, order: str) -> DataFrame:

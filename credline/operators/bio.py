@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credline.functions.text import tokens
-from credline.operators.common import checkpointed
 
 
 def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
@@ -42,15 +41,15 @@ def explode_tags(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged",
     return t if keep_empty else t.drop("_null_text")
 
 
-def _parse(df: DataFrame, id_col: str, tagged: str, reuse: bool = True):
-    """(tokens with ``_bad``, phrases with ``_bad``, per-row errors).
+def _parse(df: DataFrame, id_col: str, tagged: str) -> DataFrame:
+    """One row per phrase (and one per row for tokens before the first phrase): id,
+    phrase_pos, phrase_tag, phrase_text, parse_error (of the whole row).
 
     The tagged rows are hash-partitioned by id once; every later step is keyed by the id
-    (the running open phrase per row, the phrase aggregate, the error aggregate), so the
-    tokens are never shuffled. A row's tokens come from one text value and are produced
-    by one task in any plan, so partitioning by row splits the work as far as it can go.
-    With ``reuse`` the phrase table is checkpointed (lineage cut) because several
-    branches read it.
+    (the running open phrase per row, the phrase aggregate, the row's error), so the
+    tokens are never shuffled, written or joined. A row's tokens come from one text value
+    and are produced by one task in any plan, so partitioning by row splits the work as
+    far as it can go.
     """
     base = df.select(id_col, tagged).repartition(id_col)
     tok = explode_tags(base, id_col, tagged, keep_empty=True)
@@ -77,55 +76,58 @@ def _parse(df: DataFrame, id_col: str, tagged: str, reuse: bool = True):
                                  lambda x: x["word"]), " ").alias("phrase_text"),
         F.bool_or("_bad").alias("_tok_bad"))
     needs_idx = F.col("phrase_tag").contains("R") | F.col("phrase_tag").contains("F")
-    g = g.withColumn("_bad", F.coalesce(needs_idx & ~F.col("phrase_tag").contains(":"), F.lit(False)))
-    if reuse:
-        g = checkpointed(g)
-    ph = g.filter(F.col("phrase_tag").isNotNull()).select(id_col, "phrase_pos", "phrase_tag", "phrase_text", "_bad")
-    errs = g.groupBy(id_col).agg(F.bool_or(F.col("_tok_bad") | F.col("_bad")).alias("parse_error"))
-    return tok, ph, errs
+    bad = F.col("_tok_bad") | F.coalesce(needs_idx & ~F.col("phrase_tag").contains(":"), F.lit(False))
+    return g.select(id_col, "phrase_pos", "phrase_tag", "phrase_text", bad.alias("_bad"))
 
 
 def parse_errors(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
     """``id, parse_error`` for every input row (a NULL text is unparsable)."""
-    return _parse(df, id_col, tagged, reuse=False)[2]
+    return _parse(df, id_col, tagged).groupBy(id_col).agg(F.bool_or("_bad").alias("parse_error"))
 
 
 def phrases(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> DataFrame:
     """Phrases of parsable rows: id, phrase_pos (token position of its ``B``), phrase_tag,
     phrase_text."""
-    _, ph, errs = _parse(df, id_col, tagged)
-    ok = errs.filter(~F.col("parse_error")).select(id_col)
-    return ph.join(ok, id_col, "left_semi").drop("_bad")
+    g = _parse(df, id_col, tagged).withColumn("_row_bad", F.bool_or("_bad").over(Window.partitionBy(id_col)))
+    return g.filter(~F.col("_row_bad") & F.col("phrase_tag").isNotNull()).drop("_bad", "_row_bad")
+
+
+def _matches(df: DataFrame, id_col: str, tagged: str) -> DataFrame:
+    """id, roles, fills: per row and filler tag the roles that ask for it and the phrases
+    that carry it. Grouped inside a row, so the partitioning by row serves it and both sides
+    come from one parse."""
+    ph = phrases(df, id_col, tagged)
+    is_role, is_fill = F.col("phrase_tag").contains("R"), F.col("phrase_tag").contains("F")
+    # a role text seen again takes the fillers of its last occurrence and keeps its first place
+    same = Window.partitionBy(id_col, F.when(is_role, F.col("phrase_text")))
+    ph = ph.withColumn("_first", F.min(F.when(is_role, F.col("phrase_pos"))).over(same)).withColumn(
+        "_last", F.max(F.when(is_role, F.col("phrase_pos"))).over(same))
+    wants = F.concat(F.lit("F:"), F.try_element_at(F.split("phrase_tag", ":"), F.lit(2)))
+    entry = lambda kind, key, pos: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.col("phrase_text").alias("text"), pos.alias("pos"))
+    both = F.filter(F.array(
+        F.when(is_role & (F.col("phrase_pos") == F.col("_last")), entry("R", wants, F.col("_first"))),
+        F.when(is_fill, entry("F", F.col("phrase_tag"), F.col("phrase_pos")))), lambda e: e.isNotNull())
+    each = ph.select(id_col, F.explode(both).alias("e")).select(id_col, "e.*")
+    pair = F.struct("text", "pos")
+    return each.groupBy(id_col, "key").agg(
+        F.collect_list(F.when(F.col("kind") == "R", pair)).alias("roles"),
+        F.collect_list(F.when(F.col("kind") == "F", pair)).alias("fills"))
 
 
 def bindings(df: DataFrame, id_col: str = "doc_id", tagged: str = "tagged") -> tuple[DataFrame, DataFrame]:
     """(role rows, left-over rows) of parsable rows.
 
     Role rows: id, role, role_pos, filler, filler_pos (filler NULL for a role without
-    fillers). Left-over rows: id, filler, filler_pos.
+    fillers). Left-over rows: filler texts that no role took, once each, at their first
+    place: id, filler, filler_pos.
     """
-    ph = phrases(df, id_col, tagged)
-    roles = ph.filter(F.col("phrase_tag").contains("R")).select(
-        id_col, F.col("phrase_text").alias("role"), F.col("phrase_pos"),
-        F.try_element_at(F.split(F.col("phrase_tag"), ":"), F.lit(2)).alias("_ridx"))
-    # a role text seen again takes the fillers of its last occurrence and keeps its first
-    # place; the window is keyed inside a row, so the row partitioning of the phrases serves it
-    same_role = Window.partitionBy(id_col, "role")
-    roles = (roles.withColumn("role_pos", F.min("phrase_pos").over(same_role))
-             .withColumn("_last", F.max("phrase_pos").over(same_role))
-             .filter(F.col("phrase_pos") == F.col("_last")))
-    fillers = ph.filter(F.col("phrase_tag").contains("F")).select(
-        id_col, F.col("phrase_tag").alias("_ftag"), F.col("phrase_text").alias("filler"),
-        F.col("phrase_pos").alias("filler_pos"))
-    bound = (roles.withColumn("_ftag", F.concat(F.lit("F:"), F.col("_ridx")))
-             .join(fillers, [id_col, "_ftag"], "left")
-             .select(id_col, "role", "role_pos", "filler", "filler_pos"))
-    # left-overs: filler texts that no role took, once each, at their first place
-    marks = (bound.filter(F.col("filler").isNotNull())
-             .select(id_col, "filler", F.lit(True).alias("_taken"), F.lit(None).cast("long").alias("_pos"))
-             .unionByName(fillers.select(id_col, "filler", F.lit(False).alias("_taken"),
-                                         F.col("filler_pos").alias("_pos"))))
-    leftover = (marks.groupBy(id_col, "filler")
-                .agg(F.bool_or("_taken").alias("_t"), F.min("_pos").alias("filler_pos"))
+    m = _matches(df, id_col, tagged)
+    bound = (m.select(id_col, F.explode("roles").alias("r"), "fills")
+             .select(id_col, "r", F.explode_outer("fills").alias("f"))
+             .select(id_col, F.col("r.text").alias("role"), F.col("r.pos").alias("role_pos"),
+                     F.col("f.text").alias("filler"), F.col("f.pos").alias("filler_pos")))
+    leftover = (m.select(id_col, (F.size("roles") > 0).alias("_taken"), F.explode("fills").alias("f"))
+                .groupBy(id_col, F.col("f.text").alias("filler"))
+                .agg(F.bool_or("_taken").alias("_t"), F.min("f.pos").alias("filler_pos"))
                 .filter(~F.col("_t")).drop("_t"))
     return bound, leftover

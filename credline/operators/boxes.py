@@ -42,6 +42,13 @@ def explode_boxes(df: DataFrame, boxes: str = "boxes", keys=("guid", "frame_num"
         *keys, F.col("box_pos").cast("long"), "_b.bbox", "_b.text", "_b.confidence")
 
 
+def write_boxes(boxes: DataFrame, path: str) -> None:
+    """Boxes as Parquet, clustered by (guid, frame): range-partitioned, so a long video is
+    spread over many files and a frame's boxes stay together."""
+    (boxes.repartitionByRange("guid", "frame_num").sortWithinPartitions("guid", "frame_num")
+     .write.parquet(path))
+
+
 def boxes_for_frames(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Inner equi join of frames with their boxes on (guid, frame_num)."""
     return frames.join(boxes, ["guid", "frame_num"], "inner")

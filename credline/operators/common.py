@@ -3,15 +3,13 @@
 * ``keep_first``     keep-first distinct: partial aggregate of the winning position per key,
                      then a semi join on the (unique) position. A hot key is pre-aggregated
                      map side and never lands whole in one task.
-* ``prev_match``     as-of lookup "latest earlier row of the same key whose predicate holds".
-                     Windows run per (key, order-chunk), so one huge key is split into
-                     bounded chunks; the carry between chunks comes from a per-chunk summary.
-* ``rank_within``    0-based position inside a key, same chunking.
-* ``global_index``   0-based consecutive index over a total order: range-partitioned sort,
-                     per-partition counts (one row per partition) and offsets.
-* ``sized_broadcast`` broadcast a side only after checking its row count and size.
+* ``prev_match``     as-of lookup "latest earlier row of the same key whose predicate holds":
+                     one range partitioning by (key, order), windows per (key, partition), and
+                     a carry of one row per partition, so one huge key is cut by its rows.
+* ``rank_within``    0-based position inside a key, same cutting.
+* ``global_index``   0-based consecutive index: range-partitioned sort, per-partition counts
+                     (one row per partition) and offsets; ties and NULLs keep their rows.
 * ``materialize``    write a multi-use intermediate once as Parquet to the shared folder.
-* ``checkpointed``   checkpoint to the shared folder, keeping the physical partitioning.
 """
 
 from __future__ import annotations
@@ -21,11 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credline.session import checkpoint_dir, scratch_path
-
-DEFAULT_CHUNK = 1 << 16
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 64 << 20
+from credline.session import scratch_path
 
 
 def _cols(cols) -> list[str]:
@@ -44,24 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the shared checkpoint folder: lineage is cut and the
-    physical partitioning is kept, so later operators keyed the same way need no shuffle."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and about
-    ``max_bytes`` of data (measured as the length of each row's JSON form), else ``df``
-    unchanged (the join then shuffles both sides)."""
-    stats = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if stats["n"] <= max_rows and stats["b"] <= max_bytes else df
-
-
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str) -> DataFrame:
     """Keep, per key, the row with the smallest ``order`` (``order`` must be unique)."""
     key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -69,101 +45,102 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str) -> DataF
     return df.join(winners, order, "left_semi")
 
 
-def _chunk(order: str, chunk: int) -> Column:
-    return F.floor(F.col(order) / F.lit(chunk)).cast("long")
+def _ranged(df: DataFrame, cols: Sequence[str], name: str, pid: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``cols`` (equal values never part), written once,
+    with the number of each row's partition: a key of any size is cut into bounded pieces by
+    its rows, whatever its values. The only pass over ``df`` apart from the range sample."""
+    s = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(pid, F.spark_partition_id())
+    return materialize(s, name)
 
 
-def prev_match(df: DataFrame, keys, order: str, targets: Mapping[str, tuple],
-               chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def prev_match(df: DataFrame, keys, order: str, targets: Mapping[str, tuple]) -> DataFrame:
     """Add one column per target: the largest ``order`` of a row of the same key whose
     condition holds and whose ``order`` is below (``inclusive=False``) or at most
-    (``inclusive=True``) the current one. ``order`` must be unique within a key.
+    (``inclusive=True``) the current one. Rows of equal ``order`` do not count as earlier;
+    NULL keys form a key of their own.
 
     A target is ``(cond, inclusive)`` or ``(cond, inclusive, payload_cols)``; with payload
     columns the output is a struct ``(order, *payload)`` of the matched row, so the
     matched row's values come along without a join back.
 
-    Plan: one shuffle by (key, chunk) feeds both the local running max and the per-chunk
-    summary (the summary's aggregate reuses that partitioning); only the small summary is
-    shuffled by key to compute the carry from earlier chunks.
+    Plan: the rows are range-partitioned by (key, order) once. Windows run per (key,
+    partition); a key can only reach into the next partition as that partition's first key,
+    so the carry is one row per partition, which bounds its broadcast.
     """
     keys = _cols(keys)
-    ch = "_pm_chunk"
-    base = df.withColumn(ch, _chunk(order, chunk))
-    specs = {}
+    pid = "_pm_pid"
+    base, specs = df, {}
     for out, t in targets.items():
-        cond, inclusive = t[0], t[1]
         payload = list(t[2]) if len(t) > 2 else []
         val = (F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in payload])
                if payload else F.col(order))
-        base = base.withColumn(f"_pm_c_{out}", F.when(cond, val))
-        specs[out] = inclusive
-    w = Window.partitionBy(*keys, ch).orderBy(order)
-    local = base
+        base = base.withColumn(f"_pm_c_{out}", F.when(t[0], val))
+        specs[out] = t[1]
+    rows = _ranged(base, [*keys, order], "asof", pid)
+    key = F.struct(*keys)
+    per_key = rows.groupBy(pid, *keys).agg(*[F.max(f"_pm_c_{o}").alias(f"_pm_m_{o}") for o in specs])
+    ends = per_key.groupBy(pid).agg(F.min(key).alias("_pm_first"), F.max(key).alias("_pm_end"),
+                                    *[F.max_by(F.struct(f"_pm_m_{o}"), key).alias(f"_pm_m_{o}") for o in specs])
+    # one row per partition
+    reach = Window.partitionBy("_pm_end").orderBy(pid)
+    before = Window.orderBy(pid)
+    ends = ends.select(pid, "_pm_first", "_pm_end", *[
+        F.max(F.col(f"_pm_m_{o}")[f"_pm_m_{o}"]).over(reach).alias(f"_pm_r_{o}") for o in specs])
+    carry = ends.select(pid, "_pm_first", F.lag("_pm_end").over(before).alias("_pm_left"), *[
+        F.lag(f"_pm_r_{o}").over(before).alias(f"_pm_k_{o}") for o in specs])
+    carry = carry.filter(F.col("_pm_left") == F.col("_pm_first")).select(
+        F.col(pid).alias("_pm_at"), "_pm_first", *[f"_pm_k_{o}" for o in specs])
+    w = Window.partitionBy(*keys, pid).orderBy(order)
     for out, inclusive in specs.items():
-        frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = local.withColumn(f"_pm_l_{out}", F.max(f"_pm_c_{out}").over(frame))
-    # the summary aggregates the window's own output (the largest candidate of the chunk
-    # is the greater of the last running value and the row's own candidate), so the
-    # window is not pruned away from this branch and its shuffle is shared
-    summary = local.groupBy(*keys, ch).agg(
-        *[F.max(F.greatest(F.col(f"_pm_l_{out}"), F.col(f"_pm_c_{out}"))).alias(f"_pm_s_{out}")
-          for out in specs])
-    ws = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, ch, *[F.max(f"_pm_s_{out}").over(ws).alias(f"_pm_k_{out}")
-                                        for out in specs])
-    res = local.join(carry, [*keys, ch], "left")
+        frame = w.rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        rows = rows.withColumn(f"_pm_l_{out}", F.max(f"_pm_c_{out}").over(frame))
+    res = rows.join(F.broadcast(carry), (F.col(pid) == F.col("_pm_at")) & (key.eqNullSafe(F.col("_pm_first"))), "left")
     for out in specs:
         res = res.withColumn(out, F.coalesce(F.col(f"_pm_l_{out}"), F.col(f"_pm_k_{out}")))
-    helpers = [ch] + [f"_pm_{p}_{o}" for o in specs for p in ("c", "l", "k")]
-    return res.drop(*helpers)
+    return res.select(*df.columns, *specs)
 
 
-def rank_within(df: DataFrame, keys, order: str, out: str = "ord", size_out: str | None = None,
-                chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """0-based position of each row inside its key by ``order`` (unique within a key);
-    optionally the key's row count as ``size_out``. Same plan shape as ``prev_match``."""
+def rank_within(df: DataFrame, keys, order: str, out: str = "ord", size_out: str | None = None) -> DataFrame:
+    """0-based position of each row inside its key by ``order``; optionally the key's row
+    count as ``size_out``. Every row keeps a position of its own, also rows of equal order
+    (in no particular order) and rows with NULL keys or orders. Same plan as ``prev_match``,
+    with the counts of a key's pieces as carry."""
     keys = _cols(keys)
-    ch = "_rk_chunk"
-    base = df.withColumn(ch, _chunk(order, chunk))
-    local = base.withColumn("_rk_rn", F.row_number().over(
-        Window.partitionBy(*keys, ch).orderBy(order)) - 1)
-    counts = local.groupBy(*keys, ch).agg((F.max("_rk_rn") + 1).alias("_rk_n"))
-    wk = Window.partitionBy(*keys).orderBy(ch)
+    pid = "_rk_pid"
+    rows = _ranged(df, [*keys, order], "rank", pid)
+    counts = rows.groupBy(pid, *keys).agg(F.count(F.lit(1)).alias("_rk_n"))
+    by_key = Window.partitionBy(*keys)
+    # one row per key and partition: far fewer than rows wherever a key is large
     offs = counts.select(
-        *keys, ch,
-        F.coalesce(F.sum("_rk_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+        F.col(pid).alias("_rk_at"), F.struct(*keys).alias("_rk_key"),
+        F.coalesce(F.sum("_rk_n").over(by_key.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_rk_off"),
-        F.sum("_rk_n").over(Window.partitionBy(*keys)).alias("_rk_size"))
-    res = local.join(offs, [*keys, ch], "inner").withColumn(
-        out, (F.col("_rk_off") + F.col("_rk_rn")).cast("long"))
+        F.sum("_rk_n").over(by_key).alias("_rk_size"))
+    local = rows.withColumn("_rk_rn", F.row_number().over(Window.partitionBy(*keys, pid).orderBy(order)) - 1)
+    res = local.join(offs, (F.col(pid) == F.col("_rk_at")) & F.struct(*keys).eqNullSafe(F.col("_rk_key")))
+    res = res.withColumn(out, (F.col("_rk_off") + F.col("_rk_rn")).cast("long"))
     if size_out:
         res = res.withColumn(size_out, F.col("_rk_size").cast("long"))
-    return res.drop(ch, "_rk_rn", "_rk_off", "_rk_size")
+    return res.select(*df.columns, out, *([size_out] if size_out else []))
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx") -> DataFrame:
-    """0-based consecutive index of every row in the total order ``order_cols`` (which must
-    be a unique key of ``df``).
-
-    Only the key columns are sorted: a range-partitioned sort puts consecutive key ranges
-    in consecutive partitions, and the generated id holds the partition number in its
-    upper bits and the position inside the partition in the lower bits. The sorted keys
-    are checkpointed to the shared checkpoint folder so both uses below see the same ids;
-    the offsets table has one row per partition, which bounds its broadcast. The index is
-    joined back to the rows on the key.
+    """0-based consecutive index of every row in the order of ``order_cols`` (NULLs first).
+    Rows may tie: each gets an index of its own, so the output has exactly the input's rows;
+    add a column to ``order_cols`` to settle ties.
+
+    A range-partitioned sort puts consecutive ranges in consecutive partitions; the sorted
+    rows are written once, with an id that holds the partition number in its upper bits and
+    the position inside the partition in the lower ones. The offsets have one row per
+    partition, which bounds their broadcast. No row is joined back to itself.
     """
-    checkpoint_dir(df.sparkSession)
-    keys = df.select(*order_cols)
-    s = (keys.orderBy(*order_cols).withColumn("_gi_mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
+    s = materialize(df.orderBy(*order_cols).withColumn("_gi_mid", F.monotonically_increasing_id()), "index")
     pid = F.shiftrightunsigned(F.col("_gi_mid"), 33)
     counts = s.groupBy(pid.alias("_gi_pid")).agg(F.count(F.lit(1)).alias("_gi_n"))
     offs = counts.select(
         "_gi_pid",
         F.coalesce(F.sum("_gi_n").over(Window.orderBy("_gi_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_gi_off"))
-    idx = (s.withColumn("_gi_pid", pid).join(F.broadcast(offs), "_gi_pid")
-           .select(*order_cols, (F.col("_gi_off") + F.col("_gi_mid")
-                                 - F.shiftleft(F.col("_gi_pid"), 33)).cast("long").alias(out)))
-    return df.join(idx, list(order_cols), "inner")
+    return (s.withColumn("_gi_pid", pid).join(F.broadcast(offs), "_gi_pid")
+            .withColumn(out, (F.col("_gi_off") + F.col("_gi_mid") - F.shiftleft(F.col("_gi_pid"), 33)).cast("long"))
+            .select(*df.columns, out))

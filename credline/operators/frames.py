@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from credline.schemas import (CATALOG_PREFIX, FRAME_STRIDE, FRAMES_PER_SECOND, G
                               REASON_DUPLICATE)
 
 
+SALT = 16
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -64,9 +69,17 @@ def sample_frames(timeframes: DataFrame, guid: str = "guid", start: str = "start
 
 
 # --------------------------------------------------------------------------- indexes
-def index_frames(frames: DataFrame) -> DataFrame:
-    """Global 0-based index over (guid, frame_num), plus the frame's place in its guid."""
-    return global_index(frames, ["guid", "frame_num"], "frame_idx")
+def index_frames(frames: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Global 0-based index over (guid, frame_num, *ties). Files of one frame (padded and
+    unpadded names) each keep a place, settled by ``ties`` (say, the file name); rows without
+    a frame number are left out: see ``malformed_frames``."""
+    return global_index(frames.filter(F.col("frame_num").isNotNull() & F.col("guid").isNotNull()),
+                        ["guid", "frame_num", *ties], "frame_idx")
+
+
+def malformed_frames(frames: DataFrame) -> DataFrame:
+    """The quarantine of ``index_frames``: rows whose name gave no guid or frame number."""
+    return frames.filter(F.col("frame_num").isNull() | F.col("guid").isNull())
 
 
 def frames_in_guid(frames: DataFrame) -> DataFrame:
@@ -115,27 +128,47 @@ def next_todo(frames: DataFrame, done: str = "annotated") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- as-of copies
+def _usable() -> Column:
+    """A frame that annotations are copied from: annotated, and not skipped for any reason."""
+    return F.col("annotated") & F.col("skip_reason").isNull()
+
+
 def copy_previous(frames: DataFrame, payload: str = "role") -> DataFrame:
     """For each frame: whether it is the first of its guid, the nearest earlier frame of
     the same guid that holds an annotation and was not skipped, and that frame's payload
     (the annotations a copy would take over). The payload travels with the as-of match,
     so no join back to the matched frame is needed (a run of frames that all copy from
     the same frame would make that join key hot)."""
-    usable = F.col("annotated") & F.col("skip_reason").isNull()
     out = prev_match(frames, "guid", "frame_num", {
         "_any_prev": (F.lit(True), False),
-        "_prev": (usable, False, [payload]),
+        "_prev": (_usable(), False, [payload]),
     })
     return (out.withColumn("prev_frame", F.col("_prev.frame_num"))
             .withColumn(f"prev_{payload}", F.col(f"_prev.{payload}"))
             .withColumn("is_first", F.col("_any_prev").isNull()).drop("_any_prev", "_prev"))
 
 
+def overlay(current: Column, copied: Column) -> Column:
+    """Roles of ``copied`` (keys that start with ``_`` are no roles) written over the map
+    ``current``; NULL maps are empty."""
+    kind = "map<string,array<string>>"
+    now = F.coalesce(current, F.create_map().cast(kind))
+    new = F.map_filter(F.coalesce(copied, F.create_map().cast(kind)), lambda k, v: ~k.startswith("_"))
+    return F.map_concat(F.map_filter(now, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def copy_previous_bindings(frames: DataFrame, bindings: str = "bindings") -> DataFrame:
+    """``copy_previous`` for a map of roles to fillers: adds ``prev_frame``, ``is_first`` and
+    ``copied``, the frame's own bindings under the roles of the frame copied from."""
+    entries = frames.withColumn("_entries", F.map_entries(bindings))  # maps do not compare, arrays do
+    out = copy_previous(entries, "_entries")
+    return out.withColumn("copied", overlay(F.col(bindings), F.map_from_entries("prev__entries"))).drop("_entries", "prev__entries")
+
+
 def resolve_duplicates(frames: DataFrame, payload: str = "role") -> DataFrame:
     """Frames skipped as duplicates inherit the annotation of the nearest earlier frame
-    of the same guid that is annotated and is not itself a duplicate."""
-    source_ok = F.col("annotated") & (F.coalesce(F.col("skip_reason"), F.lit("")) != REASON_DUPLICATE)
-    out = prev_match(frames, "guid", "frame_num", {"_src": (source_ok, False, [payload])})
+    of the same guid that is annotated and was not skipped, for this or any other reason."""
+    out = prev_match(frames, "guid", "frame_num", {"_src": (_usable(), False, [payload])})
     return (out.filter(F.col("skip_reason") == REASON_DUPLICATE)
             .withColumn("source_frame", F.col("_src.frame_num"))
             .withColumn(f"source_{payload}", F.col(f"_src.{payload}")).drop("_src"))
@@ -149,35 +182,46 @@ def chains(frames: DataFrame, continuing: str = "continuing") -> DataFrame:
     return out.withColumn("continued_from", F.when(F.col(continuing), F.col("chain_start")))
 
 
+def chain_bindings(chained: DataFrame, role: str = "role", filler: str = "filler") -> DataFrame:
+    """The bindings of each chain one after the other, long form: guid, chain_start, place
+    (0-based, in frame order), frame_num, role, filler. Continuing saves without a chain to
+    continue are not part of any. No chain is collected."""
+    rows = chained.filter(F.col("chain_start").isNotNull()).select("guid", "chain_start", "frame_num", role, filler)
+    return rank_within(rows, ["guid", "chain_start"], "frame_num", "place")
+
+
 # --------------------------------------------------------------------------- pair log
-def fold_pairs(log: DataFrame, key: str = "guid") -> DataFrame:
+def fold_pairs(log: DataFrame, key: str | Sequence[str] = "guid") -> DataFrame:
     """Role -> fillers binding folded from an ``add``/``delete`` log (key, seq, action,
-    role, fillers).
+    role, fillers); the key holds the frame wherever a log is kept per frame.
 
     ``add`` with a non-empty fillers field appends its newline-split, stripped pieces;
     ``add`` with an empty field resets the role to no fillers; an empty role with an
     empty field does nothing; ``delete`` removes the role. Output, long form: key, role,
     seq, piece, filler (filler NULL for a role that exists without fillers).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     a = F.col("action")
     empty_f = F.coalesce(F.col("fillers"), F.lit("")) == ""
     noop = (a == "add") & (F.col("role") == "") & empty_f
-    ev = log.filter(~noop)
     reset = (a == "delete") | ((a == "add") & empty_f)
-    state = ev.groupBy(key, "role").agg(
+    ev = log.filter(~noop).withColumn("_salt", F.pmod("seq", F.lit(SALT)).cast("int"))
+    state = ev.groupBy(*keys, "role").agg(
         F.max(F.when(reset, F.col("seq"))).alias("_reset"),
         F.max(F.when(a == "delete", F.col("seq"))).alias("_del"),
         F.max(F.when(a == "add", F.col("seq"))).alias("_add"))
     alive = state.filter(F.col("_add").isNotNull() & (F.col("_del").isNull() | (F.col("_add") > F.col("_del"))))
-    adds = ev.filter((a == "add") & ~empty_f).select(
-        key, "role", "seq", F.posexplode(split_lines_stripped("fillers")).alias("piece", "filler"))
-    kept = adds.join(alive.select(key, "role", "_reset"), [key, "role"], "inner").filter(
-        F.col("_reset").isNull() | (F.col("seq") > F.col("_reset")))
-    empty_roles = alive.join(kept.select(key, "role").distinct(), [key, "role"], "left_anti").select(
-        key, "role", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("piece"),
-        F.lit(None).cast("string").alias("filler"))
-    return kept.select(key, "role", "seq", "piece", "filler").unionByName(empty_roles).withColumn(
-        "piece", F.col("piece").cast("long"))
+    # a role's last reset meets its adds in a join salted by ``seq``
+    adds = ev.filter((a == "add") & ~empty_f).select(*keys, "role", "seq", "_salt", "fillers")
+    each = alive.select(*keys, "role", "_reset", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    kept = adds.join(each, [*keys, "role", "_salt"]).filter(
+        F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).select(
+        *keys, "role", "seq", F.posexplode(split_lines_stripped("fillers")).alias("piece", "filler"))
+    # a living role has no fillers exactly if its last add is its reset
+    none = lambda t: F.lit(None).cast(t)
+    empty_roles = alive.filter(F.col("_reset") == F.col("_add")).select(
+        *keys, "role", none("long").alias("seq"), none("long").alias("piece"), none("string").alias("filler"))
+    return kept.withColumn("piece", F.col("piece").cast("long")).unionByName(empty_roles)
 
 
 def last_write(log: DataFrame, key, order: str, value_cols) -> DataFrame:
@@ -190,7 +234,8 @@ def last_write(log: DataFrame, key, order: str, value_cols) -> DataFrame:
 
 def autofill(clicks: DataFrame, keys, order: str, text: str = "text") -> DataFrame:
     """Append clicked texts to a slot with a space, in click order (``s = r`` while the
-    slot is empty, else ``s += ' ' + r``)."""
+    slot is empty, else ``s += ' ' + r``). ``keys`` hold the frame: the clicks of one frame's
+    slot are collected, which a frame's boxes bound."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))),
                          lambda x: x[text])

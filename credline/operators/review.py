@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from credline.functions.text import clean_ocr, na_to_null
 from credline.operators.batch import swap_label
-from credline.operators.common import sized_broadcast
+from credline.schemas import REVIEW_EXPORT_DROP, REVIEW_FLAGS
 
-REVIEW_FLAGS = ("ocr_accepted", "deleted", "label_adjusted", "annotated")
-ADJUDICATION_FLAGS = ("adjudicated", "accepted")
-REVIEW_EXPORT_DROP = ("annotated", "label_adjusted", "deleted", "confidence")
-FINAL_COLUMNS = ("guid", "time_point", "scene_label", "cleaned_text", "tagged")
+SALT = 16
 
 
 def add_missing_flags(df: DataFrame, flags: Sequence[str] = REVIEW_FLAGS) -> DataFrame:
@@ -59,9 +56,10 @@ def fold_review(events: DataFrame) -> DataFrame:
     ``delete`` toggles deletion and commits, ``submit`` commits, ``undo`` un-commits and
     clears the pending rejection. A commit stores ``ocr_accepted = not rejected``.
 
-    Closed form, computed with partial aggregates and joins keyed by row (no per-row
-    window, so a row with a huge log is pre-aggregated and its join is split by AQE):
-    S = last commit, U = last undo before S, rejected at S = odd number of rejects in (U, S).
+    Closed form: S = last commit, U = last undo before S, rejected at S = odd number of
+    rejects in (U, S). Computed with partial aggregates; a row's S (and U) meets its events
+    in joins salted by ``seq``, so a row with a huge log is dealt over ``SALT`` tasks, each
+    of which aggregates its part before the next shuffle.
     """
     a = F.col("action")
     commit = a.isin("submit", "delete")
@@ -74,10 +72,12 @@ def fold_review(events: DataFrame) -> DataFrame:
         F.max(F.col("seq") * 8 + code).alias("_last"),
         F.max(F.when(commit, F.col("seq"))).alias("_s"))
     anchors = per_row.filter(F.col("_s").isNotNull()).select("row_id", "_s")
-    last_undo = (events.filter(a == "undo").join(anchors, "row_id")
+    salted = events.withColumn("_salt", F.pmod("seq", F.lit(SALT)).cast("int"))
+    each = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    last_undo = (salted.filter(a == "undo").join(each(anchors), ["row_id", "_salt"])
                  .filter(F.col("seq") < F.col("_s"))
                  .groupBy("row_id").agg(F.max("seq").alias("_u")))
-    rejects = (events.filter(a == "reject").join(anchors.join(last_undo, "row_id", "left"), "row_id")
+    rejects = (salted.filter(a == "reject").join(each(anchors.join(last_undo, "row_id", "left")), ["row_id", "_salt"])
                .filter((F.col("seq") < F.col("_s"))
                        & (F.col("_u").isNull() | (F.col("seq") > F.col("_u"))))
                .groupBy("row_id").agg(F.count(F.lit(1)).alias("_nrej")))
@@ -90,19 +90,46 @@ def fold_review(events: DataFrame) -> DataFrame:
 
 def fold_adjudication(events: DataFrame) -> DataFrame:
     """Adjudication state per row: the last of accept / reject / edit / undo wins; an
-    edit or an undo clears the decision."""
+    edit or an undo clears the decision. ``edited`` is the payload of the last edit that
+    carries one (NULL if none does, or if the log has no ``payload``); an undo takes back
+    the decision, not the text."""
     a = F.col("action")
     # latest decision packed into one long (seq * 8 + code): 1 accept, 2 reject, 3 edit/undo
     code = F.when(a == "accept", 1).when(a == "reject", 2).when(a.isin("edit", "undo"), 3)
+    payload = F.col("payload") if "payload" in events.columns else F.lit(None).cast("string")
+    carries = (a == "edit") & payload.isNotNull()
     per_row = events.groupBy("row_id").agg(
         F.max(F.col("seq") * 8 + code).alias("_last"),
+        F.max(F.when(carries, F.col("seq"))).alias("_edit"),
         F.count_if(a == "edit").alias("n_edits"))
+    if "payload" in events.columns:  # texts meet only the one place that wants them
+        edits = events.filter(carries).select("row_id", F.col("seq").alias("_edit"), F.col("payload").alias("edited"))
+        per_row = per_row.join(edits, ["row_id", "_edit"], "left")
+    else:
+        per_row = per_row.withColumn("edited", payload)
     last = F.pmod(F.col("_last"), F.lit(8))
     return per_row.select(
         "row_id",
         F.coalesce(last.isin(1, 2), F.lit(False)).alias("adjudicated"),
         F.coalesce(last == 1, F.lit(False)).alias("accepted"),
-        F.col("n_edits").cast("long").alias("n_edits"))
+        F.col("n_edits").cast("long").alias("n_edits"), "edited")
+
+
+def apply_adjudication(rows: DataFrame, state: DataFrame, text_col: str = "tagged",
+                       include_rejected: bool = False) -> DataFrame:
+    """Fold adjudication state into tagged rows: the last edited text replaces the tagged
+    one, decisions fill ``adjudicated`` and ``accepted``. Rows whose OCR was rejected never
+    come up for adjudication, so they are never accepted; ``include_rejected`` keeps them
+    as accepted with their all-outside tags."""
+    s = state.select("row_id", *[F.col(c).alias(f"_st_{c}") for c in ("adjudicated", "accepted", "edited")])
+    out = rows.join(s, "row_id", "left")
+    rejected = (F.col("ocr_accepted") == F.lit(False)) if "ocr_accepted" in rows.columns else F.lit(False)
+    rejected = F.coalesce(rejected, F.lit(False))
+    false = F.lit(False)
+    return (out.withColumn(text_col, F.when(rejected, F.col(text_col)).otherwise(F.coalesce("_st_edited", text_col)))
+            .withColumn("adjudicated", ~rejected & F.coalesce("_st_adjudicated", false))
+            .withColumn("accepted", F.when(rejected, F.lit(include_rejected)).otherwise(F.coalesce("_st_accepted", false)))
+            .drop("_st_adjudicated", "_st_accepted", "_st_edited"))
 
 
 def apply_review(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -124,9 +151,8 @@ def latest_paths(path_rows: DataFrame, order: str = "file_ord") -> DataFrame:
 
 
 def with_paths(df: DataFrame, paths: DataFrame) -> DataFrame:
-    """Left-join the path of each row's guid; the path table is broadcast only when its
-    row count is under the limit."""
-    return df.join(sized_broadcast(paths), "guid", "left")
+    """Left-join the path of each row's guid; AQE broadcasts the path table if it is small."""
+    return df.join(paths, "guid", "left")
 
 
 def missing_paths(df: DataFrame, paths: DataFrame) -> DataFrame:

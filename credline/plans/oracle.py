@@ -1,8 +1,8 @@
 """SQL forms of the adapter views and shared SQL fragments for the DuckDB oracle.
 
-The oracle queries are written independently of the Spark plans (window functions and
-correlated forms where the Spark side uses aggregates and joins), so agreement is a real
-check.
+Where a rule has more than one form, the oracle takes another than the Spark plan (window
+functions where that side uses aggregates and joins). The tag parser's and the pair fold's SQL
+follow the same steps as the plans; unit tests check those two against hand-written results.
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ where {label('scene_code')} is not null""",
     "v_frames": """
 select 'cpb-aacip-' || cast(o_custkey as varchar) as guid, o_orderkey as frame_num,
        o_orderpriority as role, o_orderstatus<>'O' as annotated,
-       case when o_orderstatus='P' then 'DUPLICATE' end as skip_reason from orders""",
+       case when o_orderstatus='P' then case when o_orderkey % 3 = 0 then 'no text in image' else 'DUPLICATE' end end
+         as skip_reason from orders""",
     "v_timeframes": """
 select 'cpb-aacip-' || cast(o_custkey as varchar) as guid, o_orderkey as tf_id,
        (o_orderkey*10)%900 as start_frame, (o_orderkey*10)%900 + o_custkey%60 as end_frame
@@ -74,7 +75,9 @@ from events""",
     "v_adjudication_events": """
 select user_id as row_id, event_id as seq, ts,
        case event_type when 'signup' then 'accept' when 'error' then 'reject'
-                       when 'click' then 'edit' when 'view' then 'undo' else 'other' end as action
+                       when 'click' then 'edit' when 'view' then 'undo' else 'other' end as action,
+       case when event_type = 'click' and event_id % 4 <> 0
+            then 'edited@BR:1 text@BF:1 ' || cast(event_id as varchar) || '@O' end as payload
 from events""",
     "v_alignment": """
 select doc_id, 'v_' || source as view_id,

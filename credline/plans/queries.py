@@ -15,14 +15,16 @@ from pyspark.sql import types as T
 
 from credline.functions.text import clean_ocr, split_lines_stripped, tag_all_o, tokens, verbatim_ok
 from credline.operators import batch, bio, boxes, frames, review
-from credline.operators.apply import annotate, routed
+from credline.operators.apply import annotate, routed, with_request
 from credline.operators.common import global_index
+from credline.plans import flows
 from credline.plans import oracle as O
 from credline.plans import views as V
-from credline.schemas import OCR_ROW
+from credline.schemas import OCR_ROW, STAGES
 from credline.session import scratch_path
 from credline.sources import annotation_json as AJ
 from credline.sources import tables
+from credline.sources.files import read_path_dim
 from credline.streaming.incremental import stage_hop
 from credline.streaming.state import adjudication_state_stream, review_state_stream
 
@@ -102,21 +104,21 @@ def q_label_rollup(spark, sf):
     return batch.label_rollup(_mapped(spark, sf)).withColumn("n", F.col("n").cast("long"))
 
 
-_CLASSES = ("I", "N", "Y", "C", "S", "B")
+# one class per embedding entry: the first six are scene codes, the others map to no label
+_CLASSES = ("I", "N", "Y", "C", "S", "B", *(f"X{i}" for i in range(6, 64)))
+_TOP = f"[{', '.join(repr(c) for c in _CLASSES)}][list_position(s, list_max(s))]"
 
 
 @register("q_argmax_class", f"""
-with e as (select vec_id, [{', '.join(f'floor(cast(embedding[{i + 1}] as double) * 10) / 10.0' for i in range(6))}] as s
-           from embeddings)
-select vec_id, [{', '.join(repr(c) for c in _CLASSES)}][list_position(s, list_max(s))] as top_class,
-       list_max(s) as top_score, {O.label(f"[{', '.join(repr(c) for c in _CLASSES)}][list_position(s, list_max(s))]")} as scene_label
+with e as (select vec_id, list_transform(embedding, lambda x: floor(cast(x as double) * 10) / 10.0) as s from embeddings)
+select vec_id, {_TOP} as top_class, list_max(s) as top_score, {O.label(_TOP)} as scene_label
 from e""")
 def q_argmax_class(spark, sf):
-    """Arg-max over class scores (first six embedding dims, one decimal), first max wins."""
+    """Arg-max over class scores (every embedding entry, one decimal), first max wins."""
     e = V.table(spark, sf, "embeddings")
     scores = F.map_from_arrays(
         F.array(*[F.lit(c) for c in _CLASSES]),
-        F.array(*[(F.floor(F.col("embedding")[i].cast("double") * 10) / 10.0) for i in range(6)]))
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 10) / 10.0))
     best = batch.argmax_class(scores)
     return e.select("vec_id", best["key"].alias("top_class"), best["value"].alias("top_score"),
                     batch.scene_label(best["key"]).alias("scene_label"))
@@ -151,14 +153,14 @@ def _ann_tables(spark, sf):
     d = V.table(spark, sf, "documents")
     sid = F.col("doc_id").cast("string")
     td1 = d.select(F.col("source").alias("file"), F.concat(F.lit("v_"), "source").alias("view_id"),
-                   F.lit(0).cast("long").alias("view_ord"), F.concat(F.lit("td_"), sid).alias("ann_id"),
-                   F.col("text"))
+                   F.lit(0).cast("long").alias("view_ord"), F.col("doc_id").alias("ann_ord"),
+                   F.concat(F.lit("td_"), sid).alias("ann_id"), F.col("text"))
     td2 = d.select(F.col("source").alias("file"), F.lit("v_ocr2").alias("view_id"),
-                   F.lit(1).cast("long").alias("view_ord"), F.concat(F.lit("td_"), sid).alias("ann_id"),
-                   F.concat(F.lit("[v2] "), F.col("text")).alias("text"))
+                   F.lit(1).cast("long").alias("view_ord"), F.col("doc_id").alias("ann_ord"),
+                   F.concat(F.lit("td_"), sid).alias("ann_id"), F.concat(F.lit("[v2] "), F.col("text")).alias("text"))
     tp = d.select(F.col("source").alias("file"), F.concat(F.lit("v_"), "source").alias("view_id"),
-                  F.lit(0).cast("long").alias("view_ord"), F.concat(F.lit("tp_"), sid).alias("ann_id"),
-                  (F.col("doc_id") * 1000).alias("time_point"))
+                  F.lit(0).cast("long").alias("view_ord"), F.col("doc_id").alias("ann_ord"),
+                  F.concat(F.lit("tp_"), sid).alias("ann_id"), (F.col("doc_id") * 1000).alias("time_point"))
     return td1.unionByName(td2), tp
 
 
@@ -224,11 +226,13 @@ def _annotation_json(spark, sf) -> DataFrame:
         ann("http://vocab/TextDocument", props(id=F.lit("td_1"), text=F.struct(
             F.concat(F.lit("[v2] "), F.col("text")).alias("@value")))),
     ).alias("annotations"))
-    video = F.struct(F.lit("http://vocab/VideoDocument").alias("@type"), F.struct(
-        F.lit("d1").alias("id"), F.lit("video").alias("mime"),
-        F.concat(F.lit("/media/cpb-aacip-"), F.col("source"), F.lit(".mp4")).alias("location"),
-    ).alias("properties"))
-    doc = F.struct(F.array(video).alias("documents"), F.array(v1, v2).alias("views"))
+    media = lambda i, mime, where: F.struct(F.lit("http://vocab/VideoDocument").alias("@type"), F.struct(
+        F.lit(i).alias("id"), F.lit(mime).alias("mime"), where.alias("location")).alias("properties"))
+    # the last document whose type is exactly ``video`` names the guid
+    docs = F.array(media("d1", "video", F.lit("/media/cpb-aacip-first.mp4")),
+                   media("d2", "video", F.concat(F.lit("/media/cpb-aacip-"), F.col("source"), F.lit(".mp4"))),
+                   media("d3", "video/mp4", F.lit("/media/cpb-aacip-other.mp4")))
+    doc = F.struct(docs.alias("documents"), F.array(v1, v2).alias("views"))
     return d.select(F.col("doc_id").alias("doc_key"), F.to_json(doc).alias("value"))
 
 
@@ -365,10 +369,47 @@ select row_id,
                 in ('accept', 'reject'), false) as adjudicated,
        coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
                 = 'accept', false) as accepted,
-       count(*) filter (where action = 'edit') as n_edits
+       count(*) filter (where action = 'edit') as n_edits,
+       arg_max(payload, seq) filter (where action = 'edit' and payload is not null) as edited
 from v_adjudication_events group by row_id"""))
 def q_adjudicate_fold(spark, sf):
-    return review.fold_adjudication(V.v_adjudication_events(spark, sf).select("row_id", "seq", "action"))
+    return review.fold_adjudication(V.v_adjudication_events(spark, sf))
+
+
+_ADJUDICATED_SQL = """
+, adj as (select row_id, coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
+                                  = 'accept', false) as accepted,
+                 coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
+                          in ('accept', 'reject'), false) as adjudicated,
+                 arg_max(payload, seq) filter (where action = 'edit' and payload is not null) as edited
+          from v_adjudication_events group by row_id)
+, t as (select m.row_id, m.guid, m.time_point, m.scene_label, m.ocr_accepted, t.cleaned_text,
+               case when m.ocr_accepted then coalesce(a.edited, t.tagged) else t.tagged end as tagged,
+               m.ocr_accepted and coalesce(a.adjudicated, false) as adjudicated,
+               m.ocr_accepted and coalesce(a.accepted, false) as accepted
+        from v_mapped m join v_tagged t on t.doc_id = m.row_id left join adj a on a.row_id = m.row_id)"""
+
+
+def _tagged_rows(spark, sf) -> DataFrame:
+    tagged = V.v_tagged(spark, sf).withColumnRenamed("doc_id", "row_id")
+    return _mapped(spark, sf).select("row_id", "guid", "time_point", "scene_label", "ocr_accepted").join(tagged, "row_id")
+
+
+@register("q_adjudicate_edit", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], _ADJUDICATED_SQL.lstrip() + """
+select row_id, tagged, adjudicated, accepted from t"""))
+def q_adjudicate_edit(spark, sf):
+    """Decisions and the last edited text applied to tagged rows; rows with rejected OCR never
+    come up."""
+    state = review.fold_adjudication(V.v_adjudication_events(spark, sf))
+    return review.apply_adjudication(_tagged_rows(spark, sf), state).select("row_id", "tagged", "adjudicated", "accepted")
+
+
+@register("q_adjudicate_rejected", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], _ADJUDICATED_SQL.lstrip() + """
+select row_id, not ocr_accepted or accepted as accepted from t"""))
+def q_adjudicate_rejected(spark, sf):
+    """The option that keeps rows with rejected OCR."""
+    state = review.fold_adjudication(V.v_adjudication_events(spark, sf))
+    return review.apply_adjudication(_tagged_rows(spark, sf), state, include_rejected=True).select("row_id", "accepted")
 
 
 @register("q_apply_decisions", O.with_views(["v_mapped", "v_review_events"], _REVIEW_FOLD_SQL.lstrip() + """
@@ -387,21 +428,13 @@ def q_apply_decisions(spark, sf):
         "row_id", "scene_label", "annotated", "ocr_accepted", "deleted", "label_adjusted")
 
 
-@register("q_final_export", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], """
-, adj as (select row_id, coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
-                                  = 'accept', false) as accepted
-          from v_adjudication_events group by row_id)
-select m.guid, m.time_point, m.scene_label, t.cleaned_text, t.tagged as labels
-from v_mapped m join v_tagged t on t.doc_id = m.row_id join adj a on a.row_id = m.row_id
-where a.accepted""".lstrip()))
+@register("q_final_export", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], _ADJUDICATED_SQL.lstrip() + """
+select guid, time_point, scene_label, cleaned_text, tagged as labels from t where accepted"""))
 def q_final_export(spark, sf):
-    """Adjudication submit: accepted rows, no missing values, five columns."""
-    tagged = V.v_tagged(spark, sf).withColumnRenamed("doc_id", "row_id")
-    adj = review.fold_adjudication(V.v_adjudication_events(spark, sf).select("row_id", "seq", "action"))
-    rows = (_mapped(spark, sf).select("row_id", "guid", "time_point", "scene_label")
-            .join(tagged, "row_id").join(adj.select("row_id", "accepted"), "row_id", "left"))
-    rows = review.add_missing_flags(rows, ("accepted",)).fillna(False, ["accepted"])
-    return review.export_final(rows)
+    """Adjudication submit: accepted rows with their last text, no missing values, five
+    columns."""
+    state = review.fold_adjudication(V.v_adjudication_events(spark, sf))
+    return review.export_final(review.apply_adjudication(_tagged_rows(spark, sf), state))
 
 
 _STAGE_SQL = ("case when not annotated then '1-ocr-in-progress' when not ocr_accepted then '2-ocr-complete' "
@@ -415,10 +448,73 @@ def q_stage_counts(spark, sf):
     per stage from the written table."""
     rows = V.v_ocr_rows(spark, sf).withColumn("stage", F.expr(_STAGE_SQL))
     path = scratch_path(spark, "stages")
-    tables.write_stages(rows.select("row_id", "guid", "stage"), path)
+    rows = rows.select("row_id", "guid", "stage")
+    tables.write_stages(rows.filter("row_id % 2 = 0"), path, "a")
+    for _ in range(2):  # a batch written again replaces itself
+        tables.write_stages(rows.filter("row_id % 2 = 1"), path, "b")
     return tables.read_stage(spark, path).groupBy("stage").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
+@register("q_stage_handoff", O.with_views(["v_ocr_rows"], """
+select row_id, guid, '1-ocr-in-progress' as stage from v_ocr_rows
+union all select row_id, guid, '2-ocr-complete' from v_ocr_rows where not deleted"""))
+def q_stage_handoff(spark, sf):
+    """Stage hand-off: batches arrive one after the other in the first stage, each hop moves
+    what is new on to the second; nothing is deleted or moved twice."""
+    rows = V.v_ocr_rows(spark, sf).select("row_id", "guid", "deleted").withColumn("stage", F.lit(STAGES[0]))
+    path, ckpt = scratch_path(spark, "stages"), scratch_path(spark, "stages-ckpt")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "stage"])
+    for batch, odd in (("a", 0), ("b", 1)):
+        tables.write_stages(rows.filter(F.pmod("row_id", F.lit(2)) == odd), path, batch)
+        stage_hop(spark, f"{path}/stage={STAGES[0]}", schema, f"{path}/stage={STAGES[1]}", ckpt,
+                  lambda df: df.filter(~F.col("deleted")))
+    one = lambda st: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(
+        f"{path}/stage={st}").select("row_id", "guid", F.lit(st).alias("stage"))
+    return one(STAGES[0]).unionByName(one(STAGES[1]))
+
+
+@register("q_csv_hop", O.with_views(["v_ocr_rows"], """
+select row_id, guid, time_point, textdocument from v_ocr_rows"""))
+def q_csv_hop(spark, sf):
+    """A hop over CSV stage files: headers are skipped, quoted line breaks stay in their row."""
+    src = V.v_ocr_rows(spark, sf).select("row_id", "guid", "time_point", "textdocument")
+    path, sink, ckpt = (scratch_path(spark, f"csv-hop-{n}") for n in ("in", "out", "ckpt"))
+    tables.write_csv(src, path, time_header="time_point")
+    stage_hop(spark, path, src.schema, sink, ckpt, glob="*.csv", fmt="csv", options=tables.CSV_OPTIONS)
+    return spark.read.parquet(sink).select("row_id", "guid", "time_point", "textdocument")
+
+
+@register("q_csv_mixed", O.with_views(["v_ocr_rows"], """
+select row_id, guid, time_point, scene_code as scene_label, case when row_id % 2 = 0 then confidence end as confidence, textdocument
+from v_ocr_rows"""))
+def q_csv_mixed(spark, sf):
+    """Stage files of one folder with differing headers: another order, another spelling of
+    the time column, a column less. Columns go by name."""
+    src = V.v_ocr_rows(spark, sf).withColumnRenamed("scene_code", "scene_label")
+    path = scratch_path(spark, "csv-mixed")
+    even, odd = (src.filter(F.pmod("row_id", F.lit(2)) == i) for i in (0, 1))
+    tables.write_csv(even.select("row_id", "guid", "time_point", "scene_label", "confidence", "textdocument"), f"{path}/a")
+    tables.write_csv(odd.select("textdocument", "scene_label", "row_id", "time_point", "guid"), f"{path}/b", time_header="timePoint")
+    schema = T.StructType([T.StructField("row_id", T.LongType())] + OCR_ROW.fields)
+    return tables.read_csv(spark, f"{path}/*", schema).select(
+        "row_id", "guid", "time_point", "scene_label", "confidence", "textdocument")
+
+
+@register("q_path_files", """
+with p as (select page_id % 3 as f, page_id, 'cpb-aacip-src' || cast(page_id % 15 as varchar) as guid, url from pages)
+select guid, arg_max(url, f * 1000000000 + page_id) as path from p group by guid""")
+def q_path_files(spark, sf):
+    """Path files: a later file overrides an earlier one, a later row an earlier one of its
+    file."""
+    pages = V.table(spark, sf, "pages")
+    base = scratch_path(spark, "paths")
+    for f in range(3):
+        (pages.filter(F.pmod("page_id", F.lit(3)) == f).orderBy("page_id")
+         .select(F.concat(F.lit("cpb-aacip-src"), (F.col("page_id") % 15).cast("string")).alias("guid"), F.col("url").alias("path"))
+         .write.option("header", "true").csv(f"{base}/{f}-paths.csv"))
+    return review.latest_paths(read_path_dim(spark, f"{base}/*paths.csv"))
+
+
 @register("q_tag_all_o", O.with_views(["v_mapped"], f"""
 select row_id, array_to_string(list_transform({O.tokens(O.clean('textdocument'))}, lambda t: t || '@O'), ' ') as tagged
 from v_mapped where ocr_accepted = false"""))
@@ -427,21 +523,44 @@ def q_tag_all_o(spark, sf):
     return rows.select("row_id", tag_all_o(clean_ocr("textdocument")).alias("tagged"))
 
 
+# every 19th row has no text, every 19th an empty one
+_ROUTE_TEXT_SQL = f"case row_id % 19 when 3 then null when 4 then '' else {O.clean('textdocument')} end"
+
+
+def _route_rows(spark, sf) -> DataFrame:
+    text = (F.when(F.col("row_id") % 19 == 3, F.lit(None)).when(F.col("row_id") % 19 == 4, F.lit(""))
+            .otherwise(clean_ocr("textdocument")))
+    return V.v_ocr_rows(spark, sf).select(
+        "row_id", "ocr_accepted", F.coalesce(batch.scene_label("scene_code"), F.col("scene_code")).alias("scene_label"),
+        text.alias("cleaned_text"))
+
+
 @register("q_tag_route", O.with_views(["v_ocr_rows"], f"""
 select row_id,
        case when ocr_accepted = false then 'rejected'
             when coalesce({O.label('scene_code')}, scene_code) = 'chyron' then 'chyron'
             when coalesce({O.label('scene_code')}, scene_code) = 'credits' then 'credits'
             else 'unroutable' end as route
-from v_ocr_rows where {O.clean('textdocument')} <> ''"""))
+from v_ocr_rows where {_ROUTE_TEXT_SQL} <> ''"""))
 def q_tag_route(spark, sf):
     """Tagger routing: rows without text are dropped; rejected rows are tagged without a
     model; labels pick the request template; other labels are unroutable."""
-    rows = V.v_ocr_rows(spark, sf).select(
-        "row_id", "ocr_accepted",
-        F.coalesce(batch.scene_label("scene_code"), F.col("scene_code")).alias("scene_label"),
-        clean_ocr("textdocument").alias("cleaned_text"))
-    return routed(rows).select("row_id", "route")
+    return routed(_route_rows(spark, sf)).select("row_id", "route")
+
+
+_TEMPLATES = {"chyron": "Lower third, name first: {text}", "credits": "Credit roll, role first: {text} -- end"}
+
+
+@register("q_request", O.with_views(["v_ocr_rows"], f"""
+, r as (select row_id, {_ROUTE_TEXT_SQL} as t,
+               case when ocr_accepted then coalesce({O.label('scene_code')}, 'unroutable') else 'rejected' end as route
+        from v_ocr_rows)
+select row_id, case route when 'chyron' then 'Lower third, name first: ' || t
+                          when 'credits' then 'Credit roll, role first: ' || t || ' -- end' end as request
+from r where t <> ''""".lstrip()))
+def q_request(spark, sf):
+    """Requests built from the user's template of each route."""
+    return with_request(routed(_route_rows(spark, sf)), _TEMPLATES).select("row_id", "request")
 
 
 def _stub_tagger():
@@ -452,15 +571,19 @@ def _stub_tagger():
     return tag
 
 
-@register("q_tag_apply", None)
+@register("q_tag_apply", O.with_views(["v_ocr_rows"], f"""
+, r as (select row_id, case when ocr_accepted then coalesce({O.label('scene_code')}, 'unroutable') else 'rejected' end as route,
+               {O.tokens(_ROUTE_TEXT_SQL)} as ws
+        from v_ocr_rows where {_ROUTE_TEXT_SQL} <> '')
+select row_id, route, case when route in ('chyron', 'credits') then 'ok' else route end as tag_status, null::varchar as tag_error,
+  case route when 'unroutable' then null when 'rejected' then array_to_string(list_transform(ws, lambda w: w || '@O'), ' ')
+    else array_to_string(list_transform(ws, lambda w, i: w || '@' || (case when i = 1 then 'B' else 'I' end)
+      || (case route when 'chyron' then 'F:1' else 'R:1' end)), ' ') end as tagged
+from r""".lstrip()))
 def q_tag_apply(spark, sf):
-    """Tagging through ``mapInPandas`` with a deterministic stand-in model (rows only)."""
-    rows = V.v_ocr_rows(spark, sf).select(
-        "row_id", "ocr_accepted",
-        F.coalesce(batch.scene_label("scene_code"), F.col("scene_code")).alias("scene_label"),
-        clean_ocr("textdocument").alias("cleaned_text"))
-    return annotate(rows, _stub_tagger, max_retries=1, backoff_s=0.0).select(
-        "row_id", "route", "tag_status", "tagged")
+    """Tagging through ``mapInPandas`` with a deterministic stand-in model."""
+    return annotate(_route_rows(spark, sf), _stub_tagger, max_retries=1, backoff_s=0.0).select(
+        "row_id", "route", "tag_status", "tag_error", "tagged")
 
 
 # =========================================================================== tagged text
@@ -497,12 +620,11 @@ _PARSE_SQL = _TOK_SQL + """
 , ph as (select doc_id, phrase_pos, max(case when is_b then name end) as phrase_tag,
                 string_agg(word, ' ' order by pos) as phrase_text
          from t4 where is_b or (is_i and not bad) group by doc_id, phrase_pos)
-, errs as (select v.doc_id, v.tagged is null
-                  or coalesce((select bool_or(bad) from t4 where t4.doc_id = v.doc_id), false)
-                  or coalesce((select bool_or((contains(phrase_tag, 'R') or contains(phrase_tag, 'F'))
-                                              and not contains(phrase_tag, ':'))
-                               from ph where ph.doc_id = v.doc_id), false) as parse_error
-           from v_tagged v)
+, bt as (select doc_id, bool_or(bad) as b from t4 group by doc_id)
+, bp as (select doc_id, bool_or((contains(phrase_tag, 'R') or contains(phrase_tag, 'F')) and not contains(phrase_tag, ':')) as b
+         from ph group by doc_id)
+, errs as (select v.doc_id, v.tagged is null or coalesce(bt.b, false) or coalesce(bp.b, false) as parse_error
+           from v_tagged v left join bt on bt.doc_id = v.doc_id left join bp on bp.doc_id = v.doc_id)
 , okph as (select * from ph where doc_id in (select doc_id from errs where not parse_error))"""
 
 _BIND_SQL = _PARSE_SQL + """
@@ -554,19 +676,43 @@ def q_bio_leftover(spark, sf):
 
 
 # =========================================================================== frames
-@register("q_frame_index", O.with_views(["v_frames"], """
-select row_number() over (order by guid, frame_num) - 1 as frame_idx, guid, frame_num,
+_NAMES_SQL = """
+, names as (
+  select guid || '.' || cast(frame_num as varchar) || '.png' as name from v_frames
+  union all select printf('%s.%010d.png', guid, frame_num) from v_frames where frame_num % 50 < 4
+  union all select guid || '.x' || cast(frame_num as varchar) || '.png' from v_frames where frame_num % 97 = 0)
+, parsed as (select name, string_split(name, '.')[1] as guid, try_cast(string_split(name, '.')[2] as bigint) as frame_num
+  from names)"""
+
+
+def _frame_names(spark, sf) -> DataFrame:
+    """File names of all frames, some of them twice (padded and not), and malformed ones."""
+    f = V.v_frames(spark, sf)
+    padded = F.format_string("%s.%010d.png", F.col("guid"), F.col("frame_num"))
+    names = (f.select(frames.frame_file_name("guid", "frame_num").alias("name"))
+             .unionByName(f.filter("frame_num % 50 < 4").select(padded.alias("name")))
+             .unionByName(f.filter("frame_num % 97 = 0").select(
+                 F.concat("guid", F.lit(".x"), F.col("frame_num").cast("string"), F.lit(".png")).alias("name"))))
+    g, n = frames.parse_frame_name("name")
+    return names.select("name", g.alias("guid"), n.alias("frame_num"))
+
+
+@register("q_frame_index", O.with_views(["v_frames"], _NAMES_SQL.lstrip() + """
+select row_number() over (order by guid, frame_num, name) - 1 as frame_idx, name, guid, frame_num,
        guid || '.' || cast(frame_num as varchar) as image_id
-from v_frames"""))
+from parsed where frame_num is not null"""))
 def q_frame_index(spark, sf):
-    """Frame files named ``guid.frame.png`` are parsed back to (guid, frame) and given a
-    global 0-based index in (guid, frame) order."""
-    names = V.v_frames(spark, sf).select(frames.frame_file_name("guid", "frame_num").alias("name"))
-    g, n = frames.parse_frame_name("name")
-    parsed = names.select(g.alias("guid"), n.alias("frame_num"))
-    idx = frames.index_frames(parsed)
-    return idx.select("frame_idx", "guid", "frame_num",
-                      frames.image_id("guid", "frame_num").alias("image_id"))
+    """Frame file names are parsed back to (guid, frame) and given a global 0-based index in
+    (guid, frame, name) order; two names of one frame keep a place each."""
+    idx = frames.index_frames(_frame_names(spark, sf), ["name"])
+    return idx.select("frame_idx", "name", "guid", "frame_num", frames.image_id("guid", "frame_num").alias("image_id"))
+
+
+@register("q_frame_quarantine", O.with_views(["v_frames"], _NAMES_SQL.lstrip() + """
+select name, guid from parsed where frame_num is null"""))
+def q_frame_quarantine(spark, sf):
+    """File names that give no frame number."""
+    return frames.malformed_frames(_frame_names(spark, sf)).select("name", "guid")
 
 
 @register("q_frames_per_guid", O.with_views(["v_frames"], """
@@ -664,9 +810,31 @@ def q_prev_asof(spark, sf):
     return out.select("guid", "frame_num", "is_first", "prev_frame", "prev_role")
 
 
+@register("q_prev_overlay", O.with_views(["v_frames"], f"""
+, p as (select guid, frame_num, role,
+               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as prev_frame
+        from v_frames)
+, r as (select p.guid, p.frame_num, p.role as now, f.role as old, p.prev_frame
+        from p left join v_frames f on f.guid = p.guid and f.frame_num = p.prev_frame)
+, m as (select guid, frame_num, 'all' as role, 'of ' || coalesce(prev_frame, frame_num) as filler from r
+        union all select guid, frame_num, now, 'own ' || frame_num from r where old is null or old <> now
+        union all select guid, frame_num, old, 'own ' || prev_frame from r where old is not null)
+select guid, frame_num, string_agg(role || '=' || filler, ';' order by role) as bindings from m group by guid, frame_num""".lstrip()))
+def q_prev_overlay(spark, sf):
+    """The copied frame's roles written over the current map: equal roles are replaced, the
+    others stay, keys that are no roles are not copied."""
+    f = V.v_frames(spark, sf)
+    one = lambda prefix: F.array(F.concat(F.lit(prefix), F.col("frame_num").cast("string")))
+    f = f.withColumn("bindings", F.create_map(F.lit("all"), one("of "), F.col("role"), one("own "), F.lit("_image_id"), one("")))
+    out = frames.copy_previous_bindings(f)
+    entries = F.array_sort(F.filter(F.map_entries("copied"), lambda e: e["key"] != "_image_id"))
+    return out.select("guid", "frame_num", F.array_join(
+        F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("bindings"))
+
+
 @register("q_dup_resolve", O.with_views(["v_frames"], f"""
 , p as (select guid, frame_num, skip_reason,
-               max(case when annotated and coalesce(skip_reason, '') <> 'DUPLICATE' then frame_num end)
+               max(case when annotated and skip_reason is null then frame_num end)
                    over ({_PREV_W}) as source_frame
         from v_frames)
 select p.guid, p.frame_num, p.source_frame, f.role as source_role
@@ -687,50 +855,67 @@ def q_chain(spark, sf):
     return frames.chains(V.v_credits(spark, sf)).select("guid", "frame_num", "chain_start", "continued_from")
 
 
+@register("q_chain_bindings", O.with_views(["v_credits"], """
+, c as (select guid, frame_num, role, filler,
+               max(case when not continuing then frame_num end) over (
+                   partition by guid order by frame_num rows between unbounded preceding and current row) as chain_start
+        from v_credits)
+select guid, chain_start, row_number() over (partition by guid, chain_start order by frame_num) - 1 as place,
+       frame_num, role, filler from c where chain_start is not null""".lstrip()))
+def q_chain_bindings(spark, sf):
+    """The bindings of each continuation chain, one after the other."""
+    return frames.chain_bindings(frames.chains(V.v_credits(spark, sf))).select(
+        "guid", "chain_start", "place", "frame_num", "role", "filler")
+
+
 def _pair_log(spark, sf) -> DataFrame:
+    """A pair log per frame: eight turns of a conversation make up one frame's log."""
     c = V.v_credits(spark, sf)
     return c.select(
-        "guid", F.col("frame_num").alias("seq"),
+        "guid", F.floor(F.col("frame_num") / 8).alias("frame"), F.col("frame_num").alias("seq"),
         F.when(F.col("frame_num") % 7 == 6, "delete").otherwise("add").alias("action"), "role",
         F.when(F.col("frame_num") % 5 == 4, F.lit("")).otherwise(F.col("filler")).alias("fillers"))
 
 
 @register("q_pair_fold", O.with_views(["v_credits"], f"""
-, ev as (select guid, frame_num as seq, case when frame_num % 7 = 6 then 'delete' else 'add' end as action, role,
+, ev as (select guid, frame_num // 8 as frame, frame_num as seq,
+                case when frame_num % 7 = 6 then 'delete' else 'add' end as action, role,
                 case when frame_num % 5 = 4 then '' else filler end as fillers from v_credits)
 , ev2 as (select * from ev where not (action = 'add' and role = '' and coalesce(fillers, '') = ''))
-, st as (select guid, role,
+, st as (select guid, frame, role,
                 max(case when action = 'delete' or (action = 'add' and coalesce(fillers, '') = '') then seq end) as rs,
                 max(case when action = 'delete' then seq end) as dl,
                 max(case when action = 'add' then seq end) as ad
-         from ev2 group by guid, role)
+         from ev2 group by guid, frame, role)
 , alive as (select * from st where ad is not null and (dl is null or ad > dl))
-, pieces as (select guid, role, seq, unnest(generate_series(0, len(p) - 1)) as piece, unnest(p) as filler
-             from (select guid, role, seq, list_transform(string_split(fillers, chr(10)), lambda x: {O.strip('x')}) as p
+, pieces as (select guid, frame, role, seq, unnest(generate_series(0, len(p) - 1)) as piece, unnest(p) as filler
+             from (select guid, frame, role, seq, list_transform(string_split(fillers, chr(10)), lambda x: {O.strip('x')}) as p
                    from ev2 where action = 'add' and coalesce(fillers, '') <> ''))
-, kept as (select p.* from pieces p join alive a on a.guid = p.guid and a.role = p.role
+, kept as (select p.* from pieces p join alive a on a.guid = p.guid and a.frame = p.frame and a.role = p.role
            where a.rs is null or p.seq > a.rs)
-select guid, role, seq, cast(piece as bigint) as piece, filler from kept
+select guid, frame, role, seq, cast(piece as bigint) as piece, filler from kept
 union all
-select guid, role, null, null, null from alive a
-where not exists (select 1 from kept k where k.guid = a.guid and k.role = a.role)""".lstrip()))
+select guid, frame, role, null, null, null from alive a
+where not exists (select 1 from kept k where k.guid = a.guid and k.frame = a.frame and k.role = a.role)""".lstrip()))
 def q_pair_fold(spark, sf):
-    """Role -> fillers bindings folded from an add/reset/delete pair log."""
-    return frames.fold_pairs(_pair_log(spark, sf))
+    """Role -> fillers bindings of each frame folded from an add/reset/delete pair log."""
+    return frames.fold_pairs(_pair_log(spark, sf), ["guid", "frame"])
 
 
 @register("q_autofill", O.with_views(["v_credits"], """
-, c as (select guid, case when role = 'user' then 'role' else 'fillers' end as slot, frame_num, filler from v_credits)
-, f as (select guid, slot, min(frame_num) filter (where filler <> '') as first_nonempty from c group by guid, slot)
-select f.guid, f.slot,
-       coalesce((select string_agg(c.filler, ' ' order by c.frame_num) from c
-                 where c.guid = f.guid and c.slot = f.slot and c.frame_num >= f.first_nonempty), '') as value
-from f""".lstrip()))
+, c as (select guid, frame_num, case when role = 'user' then 'role' else 'fillers' end as slot, string_split(filler, ' ') as w
+        from v_credits)
+, e as (select guid, frame_num, slot, unnest(generate_series(1, len(w))) as n, unnest(w) as word from c)
+, f as (select guid, frame_num, slot, min(n) filter (where word <> '') as first_word from e group by guid, frame_num, slot)
+select f.guid, f.frame_num, f.slot,
+       coalesce(string_agg(e.word, ' ' order by e.n) filter (where e.n >= f.first_word), '') as value
+from f join e using (guid, frame_num, slot) group by f.guid, f.frame_num, f.slot""".lstrip()))
 def q_autofill(spark, sf):
+    """Clicked words appended to a frame's slot, in click order."""
     c = V.v_credits(spark, sf).select(
-        "guid", F.when(F.col("role") == "user", "role").otherwise("fillers").alias("slot"),
-        "frame_num", F.col("filler").alias("text"))
-    return frames.autofill(c, ["guid", "slot"], "frame_num", "text")
+        "guid", "frame_num", F.when(F.col("role") == "user", "role").otherwise("fillers").alias("slot"),
+        F.posexplode(F.split("filler", " ")).alias("click", "text"))
+    return frames.autofill(c, ["guid", "frame_num", "slot"], "click", "text")
 
 
 @register("q_last_write", O.with_views(["v_review_events"], """
@@ -768,6 +953,42 @@ def q_gold_parse(spark, sf):
                       F.col("filler_ord").cast("long"), "filler", "image_id")
 
 
+@register("q_gold_scan", O.with_views(["v_frames"], f"""
+, p as (select guid, frame_num, role, skip_reason, annotated,
+               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as chain_start from v_frames)
+select guid, frame_num, guid || '.' || frame_num as image_id,
+       case when skip_reason is null and chain_start is not null then guid || '.' || chain_start end as continued_from, skip_reason,
+       case when skip_reason is null then role || '=' || 'a ' || frame_num || '|b' end as bindings
+from p where annotated""".lstrip()))
+def q_gold_scan(spark, sf):
+    """Gold records saved twice (the later save wins), read back from JSON Lines: roles with
+    lists of fillers, continuations, skipped frames."""
+    path = scratch_path(spark, "gold-lines")
+    AJ.write_gold(_gold_records(spark, sf), path)
+    return _gold_view(AJ.read_gold(spark, path))
+
+
+def _gold_records(spark, sf) -> DataFrame:
+    f = frames.copy_previous(V.v_frames(spark, sf)).filter("annotated")
+    image = frames.image_id("guid", "frame_num")
+    meta = F.map_filter(F.create_map(
+        F.lit("_image_id"), image, F.lit("_skip_reason"), F.col("skip_reason"), F.lit("_continued_from"),
+        F.when(F.col("skip_reason").isNull() & F.col("prev_frame").isNotNull(), frames.image_id("guid", "prev_frame"))),
+        lambda k, v: v.isNotNull())
+    roles = F.when(F.col("skip_reason").isNull(), F.create_map(
+        F.col("role"), F.array(F.concat(F.lit("a "), F.col("frame_num").cast("string")), F.lit("b")))).otherwise(
+        F.create_map().cast("map<string,array<string>>"))
+    saved = f.select("guid", "frame_num", F.lit(2).alias("seq"), roles.alias("bindings"), meta.alias("meta"))
+    early = saved.withColumn("seq", F.lit(1)).withColumn("bindings", F.create_map(F.lit("old"), F.array(F.lit("x"))))
+    return saved.unionByName(early).select("guid", "frame_num", "seq", "bindings", F.col("meta"))
+
+
+def _gold_view(gold: DataFrame) -> DataFrame:
+    pairs = F.transform(F.map_entries("bindings"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return gold.select("guid", "frame_num", "image_id", "continued_from", "skip_reason",
+                       F.when(F.size("bindings") > 0, F.array_join(pairs, ";")).alias("bindings"))
+
+
 # =========================================================================== boxes
 @register("q_conf_tier", O.with_views(["v_box"], """
 select guid, frame_num, box_idx,
@@ -789,45 +1010,59 @@ def q_box_geom(spark, sf):
     return b.select("guid", "frame_num", "box_idx", *[cs[k].cast("long").alias(k) for k in ("x0", "y0", "x2", "y2")])
 
 
+@register("q_box_explode", O.with_views(["v_box"], """
+select guid, frame_num, row_number() over (partition by guid, frame_num order by box_idx, x0, y0, y1) - 1 as box_pos,
+       'box ' || box_idx as text, x0, y1 from v_box"""))
+def q_box_explode(spark, sf):
+    """Box arrays per frame, exploded to one row per box with its display number."""
+    b = V.v_box(spark, sf).withColumn("bbox", boxes.rect_bbox("x0", "y0", "x1", "y1"))
+    one = F.struct("box_idx", "x0", "y0", "y1", F.struct(
+        "bbox", F.concat(F.lit("box "), F.col("box_idx").cast("string")).alias("text"), "confidence").alias("box"))
+    per = b.groupBy("guid", "frame_num").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["box"]).alias("boxes"))
+    return boxes.explode_boxes(per).select("guid", "frame_num", "box_pos", "text", F.col("bbox")[0]["x"].alias("x0"),
+                                           F.col("bbox")[2]["y"].alias("y1"))
+
+
 @register("q_box_join", O.with_views(["v_box"], """
-, f as (select o_orderkey as guid, unnest(range(1, 5)) as frame_num from orders)
-select f.guid, cast(f.frame_num as bigint) as frame_num, b.box_idx, b.x0
+, f as (select distinct l_orderkey as guid, cast(l_linenumber as bigint) as frame_num from lineitem)
+select f.guid, f.frame_num, b.box_idx, b.x0
 from f join v_box b on b.guid = f.guid and b.frame_num = f.frame_num""".lstrip()))
 def q_box_join(spark, sf):
     """OCR boxes stored as a Parquet table clustered by (guid, frame), then joined with the
     frames that need them."""
     path = scratch_path(spark, "boxes")
-    (V.v_box(spark, sf).repartition("guid").sortWithinPartitions("guid", "frame_num")
-     .write.parquet(path))
+    boxes.write_boxes(V.v_box(spark, sf), path)
     stored = spark.read.parquet(path)
-    f = V.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("guid"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("frame_num"))
-    f = f.withColumn("frame_num", F.col("frame_num").cast("long"))
+    f = V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("guid"), F.col("l_linenumber").cast("long").alias("frame_num")).distinct()
     return boxes.boxes_for_frames(f, stored).select("guid", "frame_num", "box_idx", "x0")
 
 
 # =========================================================================== streams
 _EVENT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("seq", T.LongType()),
-                              T.StructField("action", T.StringType())])
+                              T.StructField("action", T.StringType()), T.StructField("payload", T.StringType())])
 
 
 def _event_drops(spark, sf, view=None):
-    """Write an action log as two file drops in log order (events up to the median
-    ``seq`` first, the rest later) plus a hidden folder that must never be read. Returns
-    the base folder and the second drop (written by the caller between passes)."""
+    """Write an action log as two file drops plus a hidden folder that must never be read.
+    The second drop holds later events, but also earlier ones that come late, and some of the
+    first drop again. Returns the base folder and the second drop (written by the caller
+    between passes)."""
     base = scratch_path(spark, "drops")
-    ev = (view or V.v_review_events)(spark, sf).select("row_id", "seq", "action")
+    ev = (view or V.v_review_events)(spark, sf)
+    payload = F.col("payload") if "payload" in ev.columns else F.lit(None).cast("string")
+    ev = ev.select("row_id", "seq", "action", payload.alias("payload"))
     cutoff = ev.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    first = F.col("seq") <= F.lit(cutoff)
+    first = (F.col("seq") <= F.lit(cutoff)) != (F.pmod("seq", F.lit(5)) == 0)
     ev.filter(first).write.parquet(os.path.join(base, "src", "drop1"))
     ev.filter(first).write.parquet(os.path.join(base, "src", ".hidden"))
-    return base, ev.filter(~first)
+    return base, ev.filter(~first), ev.filter(first & (F.pmod("seq", F.lit(7)) == 0))
 
 
 def _stream_fold(spark, sf, view, fold, cols):
     """Run a stateful fold over the two drops of a log (one availableNow pass per drop);
     updates land in a Parquet table per batch, the latest update per row is the state."""
-    base, rest = _event_drops(spark, sf, view)
+    base, rest, again = _event_drops(spark, sf, view)
     src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
 
     def write(batch_df, batch_id):
@@ -841,7 +1076,7 @@ def _stream_fold(spark, sf, view, fold, cols):
         q.awaitTermination()
 
     run()
-    rest.write.parquet(os.path.join(src, "drop2"))
+    rest.unionByName(again).write.parquet(os.path.join(src, "drop2"))
     run()
     return frames.last_write(spark.read.parquet(sink), "row_id", "batch_id", cols).select("row_id", *cols)
 
@@ -851,7 +1086,7 @@ select row_id, seq, action from v_review_events"""))
 def q_incremental(spark, sf):
     """Stage hop over arriving files: two passes of an ``availableNow`` file stream with a
     checkpoint; the second pass reads only the new drop, hidden files are never read."""
-    base, rest = _event_drops(spark, sf)
+    base, rest, _ = _event_drops(spark, sf)
     src, sink, ckpt = (os.path.join(base, x) for x in ("src", "sink", "ckpt"))
     stage_hop(spark, src, _EVENT_SCHEMA, sink, ckpt)
     rest.write.parquet(os.path.join(src, "drop2"))
@@ -874,12 +1109,13 @@ select row_id,
                 in ('accept', 'reject'), false) as adjudicated,
        coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo'))
                 = 'accept', false) as accepted,
-       count(*) filter (where action = 'edit') as n_edits
+       count(*) filter (where action = 'edit') as n_edits,
+       arg_max(payload, seq) filter (where action = 'edit' and payload is not null) as edited
 from v_adjudication_events group by row_id"""))
 def q_adjudicate_stream(spark, sf):
     """The adjudication fold as a stateful stream over two drops of the log."""
     return _stream_fold(spark, sf, V.v_adjudication_events, adjudication_state_stream,
-                        ["adjudicated", "accepted", "n_edits"])
+                        ["adjudicated", "accepted", "n_edits", "edited"])
 
 
 @register("q_resume_point", O.with_views(["v_frames"], """
@@ -896,3 +1132,80 @@ def q_resume_point(spark, sf):
         F.coalesce(F.min(F.when(~F.col("annotated"), F.col("frame_idx"))), F.max("frame_idx")).alias("frame_idx"),
         F.count(F.lit(1)).cast("long").alias("n_frames"),
         F.min(F.when(~F.col("annotated"), F.col("frame_idx"))).isNull().alias("all_done"))
+
+
+# =========================================================================== composite flows
+@register("q_pip_batch", f"""
+with d as (select doc_id, text, n_chars,
+                  [cast(n_chars % 7 as double)/10.0, cast(doc_id % 4 as double)/10.0,
+                   cast(n_chars % 5 as double)/10.0, cast(n_chars % 3 as double)/10.0] as s
+           from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0)
+, r as (select ['I','N','C','S'][list_position(s, list_max(s))] as scene_code,
+               {O.strip("case when doc_id % 3 = 0 then text else '[v2] ' || text end")} as textdocument from d)
+select distinct textdocument from r where {O.label('scene_code')} is not null""")
+def q_pip_batch(spark, sf):
+    """Batch building from annotation JSON: one row per different text."""
+    path = scratch_path(spark, "json")
+    _annotation_json(spark, sf).select("value").write.text(path)
+    return flows.build_batch(spark, path, one_per_file=False).select("textdocument")
+
+
+_PIP_REVIEW_SQL = _REVIEW_FOLD_SQL + f"""
+, p as ({_PATHS_SQL})
+, rv as (select m.row_id, p.path, coalesce(f.ocr_accepted, m.ocr_accepted) as ocr_accepted,
+       case when f.label_adjusted then (case when m.scene_label = 'chyron' then 'credits' else 'chyron' end)
+            else m.scene_label end as scene_label,
+       {O.clean('textdocument')} as cleaned_text
+from v_mapped m join p using (guid) left join fold f on m.row_id = f.row_id
+where coalesce(f.deleted, m.deleted) = false)"""
+
+
+def _pip_reviewed(spark, sf) -> DataFrame:
+    return flows.review_batch(_mapped(spark, sf), V.v_path_rows(spark, sf), V.v_review_events(spark, sf))
+
+
+@register("q_pip_review", O.with_views(["v_mapped", "v_path_rows", "v_review_events"], _PIP_REVIEW_SQL.lstrip() + """
+select * from rv"""))
+def q_pip_review(spark, sf):
+    """OCR review: paths, cleaned text, folded decisions, stage export."""
+    return _pip_reviewed(spark, sf).select("row_id", "path", "ocr_accepted", "scene_label", "cleaned_text")
+
+
+@register("q_pip_tag", O.with_views(["v_mapped", "v_path_rows", "v_review_events"], _PIP_REVIEW_SQL.lstrip() + f"""
+, t as (select *, {O.tokens('cleaned_text')} as ws from rv where cleaned_text <> '')
+select row_id, case when ocr_accepted then 'ok' else 'rejected' end as tag_status,
+  array_to_string(list_transform(ws, lambda w, i: w || (case when not ocr_accepted then '@O' else '@'
+    || (case when i = 1 then 'B' else 'I' end) || (case scene_label when 'chyron' then 'F:1' else 'R:1' end) end)), ' ') as tagged
+from t"""))
+def q_pip_tag(spark, sf):
+    """Reviewed rows through the tagger."""
+    return flows.tag_batch(_pip_reviewed(spark, sf), _stub_tagger, 1, 0.0).select("row_id", "tag_status", "tagged")
+
+
+@register("q_pip_adjudicate", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], _ADJUDICATED_SQL.lstrip() + """
+select guid, time_point, scene_label, cleaned_text, tagged as labels from t where accepted"""))
+def q_pip_adjudicate(spark, sf):
+    """Adjudication: decisions and edits applied, final export."""
+    return flows.adjudicate_batch(_tagged_rows(spark, sf), V.v_adjudication_events(spark, sf))[1]
+
+
+@register("q_pip_gold", O.with_views(["v_timeframes", "v_frames"], f"""
+, s as (select distinct guid, frame_num from (select guid, unnest(range(start_frame, end_frame, 15)) as frame_num from v_timeframes))
+, td as (select guid, frame_num from s where (guid, frame_num) not in (select (guid, frame_num) from v_frames))
+, p as (select guid, frame_num, skip_reason,
+               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as source_frame from v_frames)
+select 'todo' as part, guid, frame_num, null::bigint as other from td
+union all select 'next', guid, coalesce((select min(frame_num) from td where td.guid = g.guid), max(frame_num)), count(*)
+  from s g group by guid
+union all select 'duplicate', guid, frame_num, source_frame from p where skip_reason = 'DUPLICATE'""".lstrip()))
+def q_pip_gold(spark, sf):
+    """Gold annotation: sampled frames still to do, each guid's next frame, sources of
+    duplicates."""
+    tf = V.v_timeframes(spark, sf)
+    out = flows.gold_frames(tf, V.v_frames(spark, sf))
+    none = F.lit(None).cast("long")
+    return (out["todo"].select(F.lit("todo").alias("part"), "guid", "frame_num", none.alias("other"))
+            .unionByName(out["next"].select(F.lit("next").alias("part"), "guid", F.col("next_frame").alias("frame_num"),
+                                            F.col("n_total").alias("other")))
+            .unionByName(out["duplicates"].select(F.lit("duplicate").alias("part"), "guid", "frame_num",
+                                                  F.col("source_frame").alias("other"))))

@@ -13,20 +13,9 @@ from credline.functions.text import tokens
 from credline.schemas import GUID_PREFIX, REASON_DUPLICATE
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table. A text table whose scan has fewer splits than there are
-    cores (a few files with few row groups) is spread round-robin first, so the per-row
-    text work uses every core; a table in many files (the normal case at scale) is
-    scanned as is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    """Scan one driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def v_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +39,16 @@ def v_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E9/E10 frames: F = annotated, P = skipped as duplicate, O = not yet annotated."""
+    """E9/E10 frames: F = annotated, P = skipped (as duplicate, or for another reason), O =
+    not yet annotated."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.concat(F.lit(GUID_PREFIX), F.col("o_custkey").cast("string")).alias("guid"),
         F.col("o_orderkey").alias("frame_num"),
         F.col("o_orderpriority").alias("role"),
         (F.col("o_orderstatus") != "O").alias("annotated"),
-        F.when(F.col("o_orderstatus") == "P", F.lit(REASON_DUPLICATE)).alias("skip_reason"),
+        F.when(F.col("o_orderstatus") == "P",
+               F.when(F.col("o_orderkey") % 3 == 0, "no text in image").otherwise(REASON_DUPLICATE)).alias("skip_reason"),
     )
 
 
@@ -116,8 +107,10 @@ def v_review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_adjudication_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("row_id"), F.col("event_id").alias("seq"), "ts",
-                    _case("event_type", _ADJ_ACTION, "other").alias("action"))
+    action = _case("event_type", _ADJ_ACTION, "other")
+    text = F.concat(F.lit("edited@BR:1 text@BF:1 "), F.col("event_id").cast("string"), F.lit("@O"))
+    return e.select(F.col("user_id").alias("row_id"), F.col("event_id").alias("seq"), "ts", action.alias("action"),
+                    F.when((action == "edit") & (F.col("event_id") % 4 != 0), text).alias("payload"))
 
 
 def v_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

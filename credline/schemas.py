@@ -36,6 +36,10 @@ CATALOG_PREFIX = "cpb-aacip_"
 # Review stages of a batch, in order.
 STAGES = ("1-ocr-in-progress", "2-ocr-complete", "3-llm-in-progress", "4-llm-complete")
 
+# Columns of the stage files: review flags (default False), those that the review export drops.
+REVIEW_FLAGS = ("ocr_accepted", "deleted", "label_adjusted", "annotated")
+REVIEW_EXPORT_DROP = ("annotated", "label_adjusted", "deleted", "confidence")
+
 # Strings that the pandas CSV reader turns into a missing value by default.
 NA_LITERALS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -62,17 +66,60 @@ OCR_ROW = T.StructType([
     T.StructField("textdocument", T.StringType()),
 ])
 
-# E3: guid -> media path, file order decides which file wins.
+# E4: a row under OCR review.
+REVIEWED_ROW = T.StructType([
+    *OCR_ROW.fields,
+    T.StructField("path", T.StringType()),
+    *[T.StructField(f, T.BooleanType()) for f in REVIEW_FLAGS],
+    T.StructField("cleaned_text", T.StringType()),
+])
+
+# E5: a tagged row under adjudication.
+TAGGED_ROW = T.StructType([
+    *[f for f in REVIEWED_ROW.fields if f.name not in REVIEW_EXPORT_DROP],
+    T.StructField("tagged", T.StringType()),
+    T.StructField("adjudicated", T.BooleanType()),
+    T.StructField("accepted", T.BooleanType()),
+])
+
+# E6: a final label row.
+LABEL_ROW = T.StructType([
+    *OCR_ROW.fields[:3],
+    T.StructField("cleaned_text", T.StringType()),
+    T.StructField("labels", T.StringType()),
+])
+
+# E3: guid -> media path.
 PATH_DIM = T.StructType([
     T.StructField("guid", T.StringType()),
     T.StructField("path", T.StringType()),
 ])
 
-# E13: review action log.
+# E10: one gold annotation of a frame.
+GOLD_ROW = T.StructType([
+    T.StructField("guid", T.StringType()),
+    T.StructField("frame_num", T.LongType()),
+    T.StructField("bindings", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+    T.StructField("image_id", T.StringType()),
+    T.StructField("continued_from", T.StringType()),
+    T.StructField("skip_reason", T.StringType()),
+])
+
+# E12: a time frame of a video.
+TIME_FRAME = T.StructType([
+    T.StructField("guid", T.StringType()),
+    T.StructField("tf_id", T.StringType()),
+    T.StructField("start_frame", T.LongType()),
+    T.StructField("end_frame", T.LongType()),
+])
+
+# E13: review action log; the payload of an edit is the corrected tagged text.
 REVIEW_EVENT = T.StructType([
     T.StructField("row_id", T.LongType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("ts", T.TimestampType()),
     T.StructField("action", T.StringType()),
+    T.StructField("payload", T.StringType()),
 ])
 
 # E1: annotation document (documents / views / annotations).

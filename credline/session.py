@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -51,10 +53,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_RUN = f"credline-run-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The one folder below the checkpoint folder that holds everything this process writes
+    for its own use."""
+    return f"{checkpoint_dir(spark)}/{_RUN}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the checkpoint folder for tables a job writes."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"credline-{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the run's scratch root."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the run's scratch tables through Hadoop's file system. Results that still read
+    them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """``with scratch_run(spark): ...`` deletes the run's scratch tables at its end."""
+    try:
+        yield scratch_root(spark)
+    finally:
+        clean_scratch(spark)
 
 
 _SHIPPED: set = set()
@@ -70,7 +96,7 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED or not sc.master.startswith("local"):
+    if key in _SHIPPED or not re.match(r"local(\[|$)", sc.master):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="credline-pyfiles-")

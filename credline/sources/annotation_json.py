@@ -8,15 +8,18 @@ parse lands in ``_corrupt`` and yields no rows.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credline.functions.text import strip_ws
 from credline.operators.batch import (alignment_filter, argmax_class, guid_from_location,
                                       resolve_refs, scene_label)
-from credline.operators.frames import last_write
+from credline.operators.frames import last_write, parse_frame_name
 from credline.schemas import ANNOTATION_DOC
-from credline.session import scratch_path
+from credline.session import scratch_path, ship_package
 
 CORRUPT = "_corrupt"
 
@@ -50,7 +53,7 @@ def flatten_annotations(docs: DataFrame) -> DataFrame:
     classification, text — one row per annotation of every parsable document. ``guid``
     comes from the location of the document's last video document (NULL when none)."""
     ok = docs.filter(F.col(CORRUPT).isNull())
-    videos = F.filter("documents", lambda d: d["properties"]["mime"].startswith("video"))
+    videos = F.filter("documents", lambda d: d["properties"]["mime"] == "video")
     last_video = F.when(F.size(videos) > 0, F.element_at(videos, -1))
     views = ok.select("file", guid_from_location(last_video["properties"]["location"]).alias("guid"),
                       F.posexplode("views").alias("view_ord", "view"))
@@ -87,8 +90,8 @@ def ocr_rows(anns: DataFrame, keep_unresolved: bool = False) -> DataFrame:
         anns.filter(is_type("Alignment")).select(
             "file", "guid", "view_ord", "ann_ord", F.col("source").alias("source_id"),
             F.col("target").alias("target_id")))
-    td = anns.filter(is_type("TextDocument")).select("file", "view_id", "view_ord", "ann_id", "text")
-    tp = anns.filter(is_type("TimePoint")).select("file", "view_id", "view_ord", "ann_id",
+    td = anns.filter(is_type("TextDocument")).select("file", "view_id", "view_ord", "ann_ord", "ann_id", "text")
+    tp = anns.filter(is_type("TimePoint")).select("file", "view_id", "view_ord", "ann_ord", "ann_id",
                                                    "time_point", "classification")
     r = resolve_refs(al, td, ["file"], "target_id", ["text"], "td_")
     r = resolve_refs(r, tp, ["file"], "source_id", ["time_point", "classification"], "tp_")
@@ -125,18 +128,57 @@ def parse_gold(value: Column) -> tuple[Column, Column]:
     return F.transform_values(roles, lambda k, v: F.from_json(v, "array<string>")), meta
 
 
+def _latest_gold(records: DataFrame, seq: str) -> DataFrame:
+    latest = last_write(records, ["guid", "frame_num"], seq, ["bindings", "meta"])
+    return latest.select("guid", "frame_num", encode_gold(F.col("bindings"), F.col("meta")).alias("value"))
+
+
 def write_gold(records: DataFrame, path: str, seq: str = "seq") -> None:
     """Gold records (guid, frame_num, seq, bindings map<string,array<string>>, meta
-    map<string,string>) as JSON text, one folder per guid. Saves are an append-only log:
-    the latest save of a frame wins, as a re-save overwrites the frame's record."""
-    latest = last_write(records, ["guid", "frame_num"], seq, ["bindings", "meta"])
-    (latest.select("guid", encode_gold(F.col("bindings"), F.col("meta")).alias("value"))
-     .write.partitionBy("guid").text(path))
+    map<string,string>) as JSON Lines, clustered by (guid, frame). Saves are an append-only
+    log: the latest save of a frame wins, as a re-save overwrites the frame's record."""
+    (_latest_gold(records, seq).repartitionByRange("guid", "frame_num").sortWithinPartitions("guid", "frame_num")
+     .select("value").write.text(path))
+
+
+def write_gold_files(records: DataFrame, folder: str, seq: str = "seq") -> int:
+    """The latest gold records as one indented ``<guid>.<frame>.json`` each in one flat
+    folder (of any file system Arrow knows), for tools that expect that form. A repeated
+    task writes the same files again. Returns the number of files."""
+    uri = "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+    def run(batches):
+        from pyarrow import fs
+        files, base = fs.FileSystem.from_uri(uri)
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for guid, frame, value in zip(batch["guid"], batch["frame_num"], batch["value"]):
+                with files.open_output_stream(f"{base}/{guid}.{frame}.json") as out:
+                    out.write(json.dumps(json.loads(value), indent=2).encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    ship_package(records.sparkSession)
+    return _latest_gold(records, seq).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _gold_rows(raw: DataFrame, guid: Column, frame: Column) -> DataFrame:
+    b, m = parse_gold(F.col("value"))
+    return raw.select(guid.alias("guid"), frame.alias("frame_num"), b.alias("bindings"), m["_image_id"].alias("image_id"),
+                      m["_continued_from"].alias("continued_from"), m["_skip_reason"].alias("skip_reason"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """guid, image_id, bindings, meta of every gold record below ``path``."""
+    """Gold records (``schemas.GOLD_ROW``) of JSON Lines; guid and frame come from the
+    record's image id."""
     raw = spark.read.text(path)
-    b, m = parse_gold(F.col("value"))
-    return raw.select(F.col("guid").cast("string").alias("guid"), m["_image_id"].alias("image_id"),
-                      b.alias("bindings"), m.alias("meta"))
+    guid, frame = parse_frame_name(parse_gold(F.col("value"))[1]["_image_id"])
+    return _gold_rows(raw, guid, frame)
+
+
+def read_gold_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold records of a flat folder of ``<guid>.<frame>.json`` files, indented or not; guid
+    and frame come from the file name."""
+    raw = (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+           .select("value", F.col("_metadata.file_name").alias("_f")))
+    guid, frame = parse_frame_name("_f")
+    return _gold_rows(raw, guid, frame)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credline.operators.frames import parse_frame_name
+from credline.schemas import PATH_DIM
 
 
 def list_frames(spark: SparkSession, image_dir: str, with_content: bool = False) -> DataFrame:
@@ -22,11 +23,10 @@ def list_frames(spark: SparkSession, image_dir: str, with_content: bool = False)
 
 
 def read_path_dim(spark: SparkSession, glob: str) -> DataFrame:
-    """All ``*paths.csv`` files (guid, path); ``file_ord`` is the rank of the file name,
-    so a later file overrides an earlier one."""
-    df = (spark.read.option("header", "true").schema("guid string, path string").csv(glob)
-          .withColumn("_file", F.col("_metadata.file_name")))
-    # one row per input file: the file list is known to the driver, so it bounds the broadcast
-    files = df.select("_file").distinct()
-    ranked = files.select("_file", F.dense_rank().over(Window.orderBy("_file")).alias("file_ord"))
-    return df.join(F.broadcast(ranked), "_file").drop("_file")
+    """All ``*paths.csv`` files (guid, path). ``file_ord`` orders the rows by file, then by
+    place in the file, so a later file overrides an earlier one and a later row an earlier
+    one of its file."""
+    return (spark.read.option("header", "true").schema(PATH_DIM).csv(glob)
+            .select("guid", "path", F.struct(
+                F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row")).alias("file_ord")))

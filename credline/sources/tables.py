@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,30 @@ def write_csv(df: DataFrame, path: str, time_header: str = "timepoint") -> None:
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(header line, files) of the CSV files of a path: the first line of each file, read by
+    Spark; what reaches the driver is one line per file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"), "value")
+    first = lines.filter("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("h"))
+    return [(r["h"], sorted(r["fs"])) for r in first.groupBy("h").agg(F.collect_list("f").alias("fs")).orderBy("h").collect()]
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = OCR_ROW) -> DataFrame:
-    """Read a stage CSV with an explicit schema; the time column may be spelled either way."""
-    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-    fields = []
-    for name in header:
-        canon = "time_point" if name in TIME_ALIASES else name
-        known = {f.name: f for f in schema.fields}.get(canon)
-        fields.append(T.StructField(name, known.dataType if known else T.StringType()))
-    df = spark.read.options(**CSV_OPTIONS).schema(T.StructType(fields)).csv(path)
-    for alias in TIME_ALIASES[:2]:
-        if alias in df.columns:
-            df = df.withColumnRenamed(alias, "time_point")
-    return df
+    """Read stage CSV files with explicit types. The time column may be spelled either way;
+    columns go by name, so the files of a folder may differ in the order or the set of their
+    columns (a column that a file lacks is NULL there); columns unknown to ``schema`` are
+    strings. ``multiLine`` files are read whole: keep them to the size of an exchange batch."""
+    known = {f.name: f.dataType for f in schema.fields}
+    out = None
+    for header, files in _headers(spark, path):
+        names = next(csv.reader([header]))
+        canon = ["time_point" if n in TIME_ALIASES else n for n in names]
+        fields = [T.StructField(c, known.get(c, T.StringType())) for c in canon]
+        part = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "true").schema(T.StructType(fields)).csv(files)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def write_with_index(df: DataFrame, path: str, order: str) -> None:
@@ -50,10 +63,11 @@ def write_with_index(df: DataFrame, path: str, order: str) -> None:
         .options(**CSV_OPTIONS).csv(path)
 
 
-def write_stages(df: DataFrame, path: str, stage_col: str = "stage") -> None:
-    """Write rows into one folder per review stage; nothing is ever deleted, a row's
-    stage is a column."""
-    df.write.mode("overwrite").partitionBy(stage_col).parquet(path)
+def write_stages(df: DataFrame, path: str, batch: str, stage_col: str = "stage") -> None:
+    """Add the rows of one batch to the stage table, a folder per (stage, batch). Nothing of
+    other batches is touched; writing a batch again replaces that batch's rows only."""
+    (df.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(stage_col, "batch").parquet(path))
 
 
 def read_stage(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:

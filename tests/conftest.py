@@ -1,5 +1,6 @@
 import os
 import sys
+from contextlib import contextmanager
 
 import pytest
 
@@ -16,3 +17,15 @@ def spark():
     s = build_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@contextmanager
+def uncoalesced(spark):
+    """Small inputs keep all their shuffle partitions, as large ones do."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from credline.operators import batch
+from credline.schemas import GOLD_ROW
 from credline.sources import annotation_json as AJ
 
 
@@ -43,10 +44,10 @@ def test_scene_map(spark):
 
 
 def test_guid_from_location(spark):
-    df = spark.createDataFrame([("/d/cpb-aacip-507-ms3jw87c9c.mp4",), ("cpb-aacip_259-m32n9b08",),
+    df = spark.createDataFrame([("/d/cpb-aacip-12-abc3x.mp4",), ("cpb-aacip_77-q0w9",),
                                 ("nothing.mp4",)], "loc string")
     got = [r[0] for r in df.select(batch.guid_from_location("loc")).collect()]
-    assert got == ["cpb-aacip-507-ms3jw87c9c", "cpb-aacip_259-m32n9b0", None]
+    assert got == ["cpb-aacip-12-abc3x", "cpb-aacip_77-q0w", None]
 
 
 def _doc(loc, views, mime="video"):
@@ -113,13 +114,31 @@ def test_gold_records_latest_save_wins(spark):
     df = spark.createDataFrame(rows, "guid string, frame_num long, seq long, bindings map<string,array<string>>, "
                                      "meta map<string,string>")
     AJ.write_gold(df, d)
-    got = {r.image_id: (r.guid, dict(r.bindings), dict(r.meta)) for r in AJ.read_gold(spark, d).collect()}
-    assert got == {
-        "cpb-aacip-1.15": ("cpb-aacip-1", {"Director": ["B", "C"], "": ["x"]}, {"_image_id": "cpb-aacip-1.15"}),
-        "cpb-aacip-1.30": ("cpb-aacip-1", {}, {"_image_id": "cpb-aacip-1.30", "_skip_reason": "DUPLICATE"}),
-        "cpb-aacip-2.7": ("cpb-aacip-2", {"Cast": []},
-                          {"_image_id": "cpb-aacip-2.7", "_continued_from": "cpb-aacip-2.1"}),
+    want = {
+        "cpb-aacip-1.15": ("cpb-aacip-1", 15, {"Director": ["B", "C"], "": ["x"]}, None, None),
+        "cpb-aacip-1.30": ("cpb-aacip-1", 30, {}, None, "DUPLICATE"),
+        "cpb-aacip-2.7": ("cpb-aacip-2", 7, {"Cast": []}, "cpb-aacip-2.1", None),
     }
-    with open([os.path.join(r, f) for r, _, fs in os.walk(d) for f in fs if f.endswith(".txt")][0]) as f:
-        line = f.readline()
-    assert json.loads(line)  # each record is one flat JSON object
+
+    def rows_of(gold):
+        assert gold.schema.fieldNames() == GOLD_ROW.fieldNames()
+        return {r.image_id: (r.guid, r.frame_num, dict(r.bindings), r.continued_from, r.skip_reason) for r in gold.collect()}
+    assert rows_of(AJ.read_gold(spark, d)) == want
+    # one indented file per frame in a flat folder, as other tools write them
+    flat = os.path.join(d, "flat")
+    assert AJ.write_gold_files(df, flat) == 3
+    assert sorted(os.listdir(flat)) == ["cpb-aacip-1.15.json", "cpb-aacip-1.30.json", "cpb-aacip-2.7.json"]
+    with open(os.path.join(flat, "cpb-aacip-1.15.json")) as f:
+        assert f.read().count("\n") > 3
+    assert rows_of(AJ.read_gold_files(spark, flat)) == want
+
+
+def test_only_the_type_video_names_the_guid(spark):
+    d = tempfile.mkdtemp(prefix="credline-mime-")
+    doc = _doc("/m/cpb-aacip-3-cc.mp4", [{"id": "v1", "annotations": [_tp("tp_1", 7, {"N": 1.0}), _td("td_1", "x y"), _al("tp_1", "td_1")]}])
+    doc["documents"] += [{"properties": {"mime": "video", "location": "/m/cpb-aacip-4-dd.mp4"}},
+                         {"properties": {"mime": "video/mp4", "location": "/m/cpb-aacip-5-ee.mp4"}}]
+    with open(os.path.join(d, "x.json"), "w") as f:
+        json.dump(doc, f)
+    anns = AJ.materialize_annotations(spark, AJ.read_annotation_docs(spark, d))
+    assert {r.guid for r in AJ.ocr_rows(anns).collect()} == {"cpb-aacip-4-dd"}

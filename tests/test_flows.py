@@ -13,8 +13,8 @@ def _json_dir():
     views = [{"id": "v1", "annotations": [
         _tp("tp_1", 10, {"I": 0.9}), _td("td_1", "Jane DOE\nAnchor 2"),
         _tp("tp_2", 20, {"I": 0.8}), _td("td_2", "jane doe! anchor 2"),
-        _tp("tp_3", 30, {"C": 0.7}), _td("td_3", "Director\nStanley Kubrick"),
-        _tp("tp_4", 40, {"C": 0.7}), _td("td_4", "Director\nStanley Kubrick"),
+        _tp("tp_3", 30, {"C": 0.7}), _td("td_3", "Producer\nOlga Winter"),
+        _tp("tp_4", 40, {"C": 0.7}), _td("td_4", "Producer\nOlga Winter"),
         _al("tp_1", "td_1"), _al("tp_2", "td_2"), _al("tp_3", "td_3"), _al("tp_4", "td_4")]}]
     with open(os.path.join(d, "x.json"), "w") as f:
         json.dump(_doc("/m/cpb-aacip-9-zz.mp4", views), f)
@@ -34,7 +34,7 @@ def test_build_review_tag_adjudicate(spark):
                                    "row_id long, seq long, action string")
     reviewed = flows.review_batch(rows, paths, events)
     rv = {r.row_id: (r.path, r.ocr_accepted, r.cleaned_text) for r in reviewed.collect()}
-    assert rv == {0: ("/v/zz.mp4", True, "Jane DOE Anchor"), 2: ("/v/zz.mp4", False, "Director Stanley Kubrick")}
+    assert rv == {0: ("/v/zz.mp4", True, "Jane DOE Anchor"), 2: ("/v/zz.mp4", False, "Producer Olga Winter")}
 
     def factory():
         return lambda text, label: " ".join(
@@ -42,14 +42,20 @@ def test_build_review_tag_adjudicate(spark):
 
     tagged = flows.tag_batch(reviewed, factory, max_retries=0)
     tg = {r.row_id: r.tagged for r in tagged.collect()}
-    assert tg == {0: "Jane@BF:1 DOE@IF:1 Anchor@BR:1", 2: "Director@O Stanley@O Kubrick@O"}
+    assert tg == {0: "Jane@BF:1 DOE@IF:1 Anchor@BR:1", 2: "Producer@O Olga@O Winter@O"}
 
-    adj_events = spark.createDataFrame([(0, 1, "accept"), (2, 2, "reject")], "row_id long, seq long, action string")
-    checks, final = flows.adjudicate_batch(tagged, adj_events)
+    # the text of the last edit is exported, an undo does not take it back; row 2 has rejected
+    # OCR, so its accept does not count
+    log = [(0, 1, "edit", "Jane@O"), (0, 2, "edit", "Jane@BF:2 DOE@IF:2 Anchor@BR:2"), (0, 3, "undo", None), (0, 4, "accept", None),
+           (2, 5, "accept", None)]
+    adj_events = spark.createDataFrame(log, "row_id long, seq long, action string, payload string")
+    checks, final = flows.adjudicate_batch(tagged.drop("tag_error"), adj_events)
     assert {(r.row_id, r.parse_error, r.verbatim_ok) for r in checks.collect()} == {(0, False, True), (2, False, True)}
     out = final.collect()
     assert [(r.guid, r.time_point, r.labels) for r in out] == [
-        ("cpb-aacip-9-zz", 10, "Jane@BF:1 DOE@IF:1 Anchor@BR:1")]
+        ("cpb-aacip-9-zz", 10, "Jane@BF:2 DOE@IF:2 Anchor@BR:2")]
+    _, everything = flows.adjudicate_batch(tagged.drop("tag_error"), adj_events, include_rejected=True)
+    assert sorted(r.labels for r in everything.collect()) == ["Jane@BF:2 DOE@IF:2 Anchor@BR:2", "Producer@O Olga@O Winter@O"]
     assert final.columns == ["guid", "time_point", "scene_label", "cleaned_text", "labels"]
 
 
@@ -62,3 +68,17 @@ def test_gold_frames(spark):
     assert {r.guid: r.progress for r in out["progress"].collect()} == {"g": "2/3", "h": "0/1"}
     assert sorted((r.guid, r.frame_num) for r in out["todo"].collect()) == [("g", 30), ("h", 15)]
     assert {r.guid: (r.next_frame, r.all_done) for r in out["next"].collect()} == {"g": (30, False), "h": (15, False)}
+
+
+def test_gold_frames_with_saves_log_and_boxes(spark):
+    tf = spark.createDataFrame([("g", 0, 46)], "guid string, start_frame long, end_frame long")
+    ann = spark.createDataFrame(
+        [("g", 0, True, None, False, "Host", "a"), ("g", 15, True, "DUPLICATE", False, "Host", "x"), ("g", 30, True, None, True, "Cast", "b")],
+        "guid string, frame_num long, annotated boolean, skip_reason string, continuing boolean, role string, filler string")
+    log = spark.createDataFrame([("g", 30, 1, "add", "Cast", "b\nc")], "guid string, frame_num long, seq long, action string, role string, fillers string")
+    box = spark.createDataFrame([("g", 30, "t"), ("g", 31, "u")], "guid string, frame_num long, text string")
+    out = flows.gold_frames(tf, ann, log, box)
+    assert [(r.frame_num, r.source_frame) for r in out["duplicates"].collect()] == [(15, 0)]
+    assert sorted((r.chain_start, r.place, r.filler) for r in out["chains"].collect()) == [(0, 0, "a"), (15, 0, "x"), (15, 1, "b")]
+    assert sorted((r.frame_num, r.role, r.filler) for r in out["bindings"].collect()) == [(30, "Cast", "b"), (30, "Cast", "c")]
+    assert [(r.frame_num, r.text) for r in out["boxes"].collect()] == [(30, "t")]

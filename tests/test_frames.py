@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from credline.operators import common, frames
+from tests.conftest import uncoalesced
 
 
 def test_names_and_padding(spark):
@@ -45,12 +46,13 @@ def _frames_df(spark, n=400, seed=1):
                                              "skip_reason string")
 
 
-def test_copy_previous_and_duplicates_small_chunks(spark):
+def test_copy_previous(spark):
     rows, df = _frames_df(spark)
-    # a tiny chunk forces many chunks per guid, so carries across chunks are exercised
-    out = common.prev_match(df, "guid", "frame_num", {
-        "prev": (F.col("annotated") & F.col("skip_reason").isNull(), False)}, chunk=37)
-    got = {(r.guid, r.frame_num): r.prev for r in out.collect()}
+    # 8 partitions for 3 guids: every guid is cut, so carries are exercised
+    with uncoalesced(spark):
+        out = common.prev_match(df, "guid", "frame_num", {
+            "prev": (F.col("annotated") & F.col("skip_reason").isNull(), False)})
+        got = {(r.guid, r.frame_num): r.prev for r in out.collect()}
     for g, f, _, _, _ in rows:
         cands = [x[1] for x in rows if x[0] == g and x[1] < f and x[3] and x[4] is None]
         assert got[(g, f)] == (max(cands) if cands else None)
@@ -62,8 +64,9 @@ def test_copy_previous_and_duplicates_small_chunks(spark):
 
 def test_rank_within_and_global_index(spark):
     rows, df = _frames_df(spark, seed=2)
-    ranked = {(r.guid, r.frame_num): (r.ord, r.n) for r in
-              common.rank_within(df, "guid", "frame_num", "ord", "n", chunk=50).collect()}
+    with uncoalesced(spark):
+        ranked = {(r.guid, r.frame_num): (r.ord, r.n) for r in
+                  common.rank_within(df, "guid", "frame_num", "ord", "n").collect()}
     for g in "abc":
         fs = sorted(x[1] for x in rows if x[0] == g)
         for i, f in enumerate(fs):
@@ -80,36 +83,71 @@ def test_chains(spark):
     assert got == {("g", 1): None, ("g", 2): 1, ("g", 3): 1, ("g", 4): None, ("g", 5): 4, ("h", 1): None}
 
 
-def _replay_pairs(log):
-    out = {}
-    for key in sorted({e[0] for e in log}):
-        d = {}
-        for _, seq, action, role, fillers in sorted((e for e in log if e[0] == key), key=lambda e: e[1]):
-            if action == "delete":
-                d.pop(role, None)
-                continue
-            if role == "" and not fillers:
-                continue
-            if fillers:
-                d.setdefault(role, []).extend(v.strip() for v in fillers.split("\n"))
-            else:
-                d[role] = []
-        out[key] = d
-    return out
-
-
-def test_fold_pairs_equals_replay(spark):
-    rnd = random.Random(9)
-    log = [(rnd.choice("xy"), seq, rnd.choice(["add"] * 5 + ["delete"]), rnd.choice(["", "Dir", "Cast"]),
-            rnd.choice(["", "a", " b \nc", "\n", "d\n"])) for seq in range(150)]
-    df = spark.createDataFrame(log, "guid string, seq long, action string, role string, fillers string")
+PAIRS = [  # guid, frame, seq, action, role, fillers
+    ("g", 1, 1, "add", "Cast", "Ann\n Bo "), ("g", 1, 2, "add", "Cast", "Cy"),      # appended, split and stripped
+    ("g", 1, 3, "add", "Props", "saw"), ("g", 1, 4, "add", "Props", ""),            # reset to no fillers
+    ("g", 1, 5, "add", "", ""),                                                     # does nothing
+    ("g", 1, 6, "add", "", "lone"),                                                 # the empty role is a role
+    ("g", 1, 7, "add", "Gone", "x"), ("g", 1, 8, "delete", "Gone", None),
+    ("g", 1, 9, "add", "Back", "x"), ("g", 1, 10, "delete", "Back", None), ("g", 1, 11, "add", "Back", "y\n"),
+    ("g", 2, 1, "add", "Cast", "Di"), ("g", 2, 2, "add", "Cast", ""), ("g", 2, 3, "add", "Cast", "Ed"),
+    ("h", 1, 1, "delete", "Cast", None),
+]
+PAIRS_WANT = {("g", 1): {"Cast": ["Ann", "Bo", "Cy"], "Props": [], "": ["lone"], "Back": ["y", ""]}, ("g", 2): {"Cast": ["Ed"]}}
+
+
+def test_fold_pairs(spark):
+    df = spark.createDataFrame(PAIRS, "guid string, frame long, seq long, action string, role string, fillers string")
     got = {}
-    for r in sorted(frames.fold_pairs(df).collect(), key=lambda r: (r.guid, r.role, r.seq or -1, r.piece or -1)):
-        d = got.setdefault(r.guid, {}).setdefault(r.role, [])
+    for r in sorted(frames.fold_pairs(df, ["guid", "frame"]).collect(), key=lambda r: (r.guid, r.frame, r.role, r.seq or -1, r.piece or -1)):
+        d = got.setdefault((r.guid, r.frame), {}).setdefault(r.role, [])
         if r.filler is not None:
             d.append(r.filler)
-    exp = _replay_pairs(log)
-    assert {k: v for k, v in got.items()} == {k: v for k, v in exp.items() if v}
+    assert got == PAIRS_WANT
+
+
+def test_repeated_and_malformed_frames_keep_their_rows(spark):
+    rows = [("g", 15, "g.15.png"), ("g", 15, "g.0015.png"), ("g", None, "g.x.png"), ("g", 16, "g.16.png"), (None, None, "odd")]
+    df = spark.createDataFrame(rows, "guid string, frame_num long, name string")
+    got = {r.name: r.frame_idx for r in frames.index_frames(df, ["name"]).collect()}
+    assert got == {"g.0015.png": 0, "g.15.png": 1, "g.16.png": 2}
+    assert sorted(r.name for r in frames.malformed_frames(df).collect()) == ["g.x.png", "odd"]
+    assert sorted(r.idx for r in common.global_index(df, ["guid", "frame_num"]).collect()) == [0, 1, 2, 3, 4]
+    ranks = {r.name: (r.ord, r.n) for r in common.rank_within(df, "guid", "frame_num", "ord", "n").collect()}
+    assert ranks["odd"] == (0, 1) and ranks["g.x.png"] == (0, 4) and ranks["g.16.png"] == (3, 4)
+    assert {ranks["g.15.png"][0], ranks["g.0015.png"][0]} == {1, 2}
+    prev = {r.name: r.p for r in common.prev_match(df, "guid", "frame_num", {"p": (F.lit(True), False)}).collect()}
+    assert prev["g.15.png"] is None and prev["g.0015.png"] is None and prev["g.16.png"] == 15 and len(prev) == 5
+
+
+def test_null_guid_carries_within_itself(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("g", 3, "c")], "guid string, frame_num long, role string")
+    got = {r.frame_num: r.p for r in common.prev_match(df, "guid", "frame_num", {"p": (F.lit(True), False)}).collect()}
+    assert got == {1: None, 2: 1, 3: None}
+
+
+def test_duplicates_look_past_every_skipped_frame(spark):
+    rows = [("g", 1, "r1", True, None), ("g", 2, "r2", True, "no text in image"), ("g", 3, "r3", True, "DUPLICATE"), ("g", 4, "r4", False, None),
+            ("g", 5, "r5", True, "DUPLICATE")]
+    df = spark.createDataFrame(rows, "guid string, frame_num long, role string, annotated boolean, skip_reason string")
+    assert {(r.frame_num, r.source_frame, r.source_role) for r in frames.resolve_duplicates(df).collect()} == {(3, 1, "r1"), (5, 1, "r1")}
+
+
+def test_overlay_of_copied_bindings(spark):
+    rows = [("g", 1, {"Cast": ["a"], "Crew": ["b"], "_image_id": ["g.1"]}, True, None), ("g", 2, {"Cast": ["z"], "Props": []}, True, "no text in image"),
+            ("g", 3, {"Cast": ["c"], "Host": ["d"]}, False, None), ("h", 9, None, False, None)]
+    df = spark.createDataFrame(rows, "guid string, frame_num long, bindings map<string,array<string>>, annotated boolean, skip_reason string")
+    got = {r.frame_num: (r.prev_frame, dict(r.copied)) for r in frames.copy_previous_bindings(df).collect()}
+    assert got[3] == (1, {"Cast": ["a"], "Crew": ["b"], "Host": ["d"]})
+    assert got[2] == (1, {"Cast": ["a"], "Crew": ["b"], "Props": []})
+    assert got[9] == (None, {}) and got[1][0] is None
+
+
+def test_chain_bindings(spark):
+    rows = [("g", 1, False, "r1", "a"), ("g", 2, True, "r2", "b"), ("g", 3, False, "r3", "c"), ("h", 5, True, "r4", "d")]
+    df = spark.createDataFrame(rows, "guid string, frame_num long, continuing boolean, role string, filler string")
+    got = sorted((r.guid, r.chain_start, r.place, r.role) for r in frames.chain_bindings(frames.chains(df)).collect())
+    assert got == [("g", 1, 0, "r1"), ("g", 1, 1, "r2"), ("g", 3, 0, "r3")]
 
 
 def test_progress_counts_independently(spark):

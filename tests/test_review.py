@@ -48,6 +48,7 @@ def test_review_stream_equals_batch(spark):
     ev = _log(seed=11)
     schema = "row_id long, seq long, action string"
     src = tempfile.mkdtemp(prefix="credline-ev-")
+    random.Random(1).shuffle(ev)  # a distributed log does not arrive in order of seq
     half = len(ev) // 2
     spark.createDataFrame(ev[:half], schema).write.parquet(os.path.join(src, "drop1"))
     stream = spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
@@ -61,7 +62,8 @@ def test_review_stream_equals_batch(spark):
     q = (out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    spark.createDataFrame(ev[half:], schema).write.parquet(os.path.join(src, "drop2"))
+    # the rest, and a part of the first drop once more
+    spark.createDataFrame(ev[half:] + ev[:40], schema).write.parquet(os.path.join(src, "drop2"))
     q = (out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -121,3 +123,15 @@ def test_paths_later_file_wins_and_missing(spark):
     got = {r.row_id: r.path for r in review.with_paths(rows, paths).collect()}
     assert got == {1: "/b", 2: None}
     assert [r.guid for r in review.missing_paths(rows, paths).collect()] == ["g3"]
+
+
+def test_last_edit_and_rejected_rows(spark):
+    log = [(1, 1, "edit", "e1"), (1, 2, "edit", None), (1, 3, "accept", None), (2, 4, "accept", None), (3, 9, "edit", "late"),
+           (3, 5, "edit", "early"), (3, 10, "accept", None), (4, 11, "accept", None), (4, 12, "undo", None)]
+    state = review.fold_adjudication(spark.createDataFrame(log, "row_id long, seq long, action string, payload string"))
+    assert {r.row_id: r.edited for r in state.collect()} == {1: "e1", 2: None, 3: "late", 4: None}
+    rows = spark.createDataFrame([(i, f"t{i}", i != 2) for i in range(1, 6)], "row_id long, tagged string, ocr_accepted boolean")
+    got = {r.row_id: (r.tagged, r.adjudicated, r.accepted) for r in review.apply_adjudication(rows, state).collect()}
+    assert got == {1: ("e1", True, True), 2: ("t2", False, False), 3: ("late", True, True), 4: ("t4", False, False), 5: ("t5", False, False)}
+    kept = review.apply_adjudication(rows, state, include_rejected=True)
+    assert {r.row_id: r.accepted for r in kept.collect()}[2] is True

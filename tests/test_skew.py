@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from credline.operators import batch, common, frames, review
+from tests.conftest import uncoalesced
 
 
 def _skewed_frames(spark, n=3000, seed=4):
@@ -19,17 +20,17 @@ def _skewed_frames(spark, n=3000, seed=4):
 
 def test_prev_match_and_rank_on_hot_key(spark):
     rows, df = _skewed_frames(spark)
-    chunk = 128
-    hot_chunks = df.filter("guid = 'hot'").select(F.floor(F.col("frame_num") / chunk)).distinct().count()
-    assert hot_chunks > 5  # the hot guid is spread over many window partitions
-    got = {(r.guid, r.frame_num): r.p for r in common.prev_match(
-        df, "guid", "frame_num", {"p": (F.col("ok"), False)}, chunk=chunk).collect()}
+    with uncoalesced(spark):
+        pieces = common._ranged(df, ["guid", "frame_num"], "t", "pid").filter("guid = 'hot'").groupBy("pid").count().collect()
+        assert len(pieces) > 2 and max(r["count"] for r in pieces) < 1000  # the hot guid is cut by its rows
+        got = {(r.guid, r.frame_num): r.p for r in common.prev_match(
+            df, "guid", "frame_num", {"p": (F.col("ok"), False)}).collect()}
+        rk = {(r.guid, r.frame_num): r.o for r in common.rank_within(df, "guid", "frame_num", "o").collect()}
     last = {}
     for g, f, ok in sorted(rows, key=lambda r: (r[0], r[1])):
         assert got[(g, f)] == last.get(g), (g, f)
         if ok:
             last[g] = f
-    rk = {(r.guid, r.frame_num): r.o for r in common.rank_within(df, "guid", "frame_num", "o", chunk=chunk).collect()}
     hot = sorted(f for g, f, _ in rows if g == "hot")
     assert [rk[("hot", f)] for f in hot] == list(range(len(hot)))
 
@@ -63,15 +64,10 @@ def test_global_index_on_skewed_keys(spark):
     assert [idx[k] for k in order] == list(range(len(order)))
 
 
-def test_sized_broadcast_checks_rows_and_bytes(spark):
-    small = spark.createDataFrame([("g", "/p")], "guid string, path string")
-    wide = spark.createDataFrame([("g", "x" * 5000)] * 20, "guid string, path string")
-    probe = spark.createDataFrame([("g",)], "guid string")
-
-    def is_broadcast(side, **kw):
-        plan = probe.join(common.sized_broadcast(side, **kw), "guid")._jdf.queryExecution().logical().toString()
-        return "broadcast" in plan.lower()
-
-    assert is_broadcast(small)
-    assert not is_broadcast(small, max_rows=0)
-    assert not is_broadcast(wide, max_bytes=10_000)
+def test_review_fold_deals_a_hot_row(spark):
+    """The joins of the fold are keyed by (row, salt): no task reads a hot row's whole log."""
+    df = spark.createDataFrame([(0, i, "reject") for i in range(4000)] + [(0, 4001, "submit")], "row_id long, seq long, action string")
+    plan = review.fold_review(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(row_id") and "_salt" in plan
+    salted = df.select(F.pmod("seq", F.lit(review.SALT)).alias("s")).groupBy("s").count().collect()
+    assert max(r["count"] for r in salted) < 300
