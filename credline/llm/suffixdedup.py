@@ -47,7 +47,7 @@ WIDTH = 50
 GRAM = 24
 LEFT = WIDTH - GRAM
 ROW = 80  # suffix, reversed left context, their two lengths, padding: ten 8-byte words
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SEGMENT = 1 << 20
 BUCKET_GRAMS = 2_000_000
 RANGE_BYTES = 16 << 20
