@@ -92,15 +92,17 @@ def fit_fm(rows: list[np.ndarray], y: np.ndarray, n_terms: int, prior: float,
     n = len(rows)
     p = {"w0": np.full(1, np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))), "w": np.zeros(n_terms) if start is None else start.copy(), "v": rng.normal(0, 0.05, (n_terms, factors))}
     seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    by_row = lambda x: np.stack([np.bincount(at, x[:, f], n) for f in range(x.shape[1])], 1)
-    by_term = lambda x: np.stack([np.bincount(ix, x[:, f], n_terms) for f in range(x.shape[1])], 1)
     for _ in range(steps):
-        own = p["v"][ix]
-        total = by_row(own)
-        z = p["w0"][0] + np.bincount(at, p["w"][ix], n) + 0.5 * ((total**2).sum(1) - np.bincount(at, (own**2).sum(1), n))
+        z = p["w0"][0] + np.bincount(at, p["w"][ix], n)
+        totals = []
+        for f in range(factors):  # one factor at a time: no array is larger than the sample's terms
+            own = p["v"][ix, f]
+            totals.append(np.bincount(at, own, n))
+            z += 0.5 * (totals[f]**2 - np.bincount(at, own**2, n))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        slope = np.stack([np.bincount(ix, g[at] * (totals[f][at] - p["v"][ix, f]), n_terms) for f in range(factors)], 1)
         grads = {"w0": np.array([g.sum()]), "w": np.bincount(ix, g[at], n_terms),
-                 "v": by_term(g[at, None] * (total[at] - own)) + l2 * p["v"] / n_terms}
+                 "v": slope + l2 * p["v"] / n_terms}
         for k, d in grads.items():
             seen[k] += d**2
             p[k] = p[k] - RATE * d / np.sqrt(seen[k])
