@@ -45,17 +45,40 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-class Encoder:
-    """Token ids (little-endian uint32 bytes) of whole texts.
+class _Parts(dict):
+    """Ids of the parts of plain words, from the tokenizer's model."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.model = tok.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.ids = [i.to_bytes(4, "little") for i in range(tok.get_vocab_size())]
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(self.letters)
+        ids = self.ids
+        self[part] = out = b"".join([ids[t.id] for t in self.model.tokenize(letters)])
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies use for each byte: visible
+    Latin-1 characters stand for themselves, the others for 256, 257, ... in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+class Encoder(dict):
+    """Token ids (little-endian uint32 bytes) of whole texts; as a dict, of the words met.
 
     The tokenizer's normaliser and splitter never join characters across a blank or a line
     feed, so a text's ids are those of its blank-separated words in order. Words repeat, so
     their ids are kept in a bounded cache. A new word of ASCII and precomposed Latin letters
     is lower-cased and split here by the tokenizer's own rule, and its parts (cached as
-    well) go to the tokenizer's model. Other new words go through the whole tokenizer, many
-    in one string, with a blank-separated mark between them whose single id tells them
-    apart; a word that holds the mark is encoded alone, a text that holds the opening of a
-    special token whole. The plain path is used only if the tokenizer agrees on a probe.
+    well) go to the tokenizer's model, provided the tokenizer agrees on a probe; any other
+    word goes through the whole tokenizer, and so does a text that holds the opening of a
+    special token.
     """
 
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -63,86 +86,38 @@ class Encoder:
                        "|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
     PROBE = "Ab,c 12 it's \u00c9t\u00e9 \u00df'd (x_y) don't 3.5% we'll"
 
-    MARK = "\u00a7"
-    PART = 2_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.parts: dict[str, bytes] = {}
-        self.letters = {b: c for b, c in enumerate(self._byte_letters())}
-        self.plain = True
-        probe = self.PROBE.split(" ")
-        self.plain = [self._plain(w) for w in probe] == [x.tobytes() for x in self._encode(probe)]
-
-    @staticmethod
-    def _byte_letters() -> list[str]:
-        """The printable letter that byte-level vocabularies use for each byte: visible
-        Latin-1 characters stand for themselves, the others for 256, 257, ... in order."""
-        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = iter(range(256, 512))
-        return [chr(b if b in own else next(rest)) for b in range(256)]
-
-    def _part(self, part: str) -> bytes:
-        letters = part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(letters)])
-        self.parts[part] = ids
-        return ids
+        self.parts = _Parts(self.tok)
+        self.plain = all(self._plain(w) == self._whole(w) for w in self.PROBE.split(" "))
 
-    def _plain(self, word: str) -> bytes:
-        parts = self.parts
-        return b"".join([parts[p] if p in parts else self._part(p) for p in self.PARTS(word.lower())])
-
-    def _encode(self, strings: list[str]) -> list:
+    def _whole(self, text: str) -> bytes:
         import numpy as np
 
-        found = self.tok.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4") for e in found]
+        found, = self.tok.encode_batch_fast([text], add_special_tokens=False)
+        return np.asarray(found.ids, dtype="<u4").tobytes()
 
-    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        import numpy as np
+    def _plain(self, word: str) -> bytes:
+        parts = self.parts
+        return b"".join([parts[p] for p in self.PARTS(word.lower())])
 
-        if self.plain:
-            if len(self.parts) > 2 * CACHE_WORDS:
-                self.parts = {}
-            other = []
-            for w in words:
-                if self.PLAIN(w):
-                    yield w, self._plain(w)
-                else:
-                    other.append(w)
-            words = other
-        alone = [w for w in words if self.mark is None or self.MARK in w]
-        if alone:
-            yield from zip(alone, (x.tobytes() for x in self._encode(alone)))
-            words = [w for w in words if self.MARK not in w] if self.mark is not None else []
-        parts = [words[at:at + self.PART] for at in range(0, len(words), self.PART)]
-        for part, ids in zip(parts, self._encode([f" {self.MARK} ".join(p) for p in parts])):
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                yield w, data[at:end]
-                at = end + 4
+    def __missing__(self, word: str) -> bytes:
+        ids = self._plain(word) if self.plain and self.PLAIN(word) else self._whole(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        words = self.words
-        split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        long = {}
-        for w, ids in self._new(list({w for ws in split if ws for w in ws if w not in words})):
-            (words if len(w) <= CACHED_LENGTH else long)[w] = ids
-        for t, ws in zip(texts, split):
-            if ws is None:
-                yield self._encode([t])[0].tobytes()
-            elif long:
-                yield b"".join([words[w] if w in words else long[w] for w in ws])
-            else:
-                yield b"".join([words[w] for w in ws])
+        for t in texts:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+                self[""] = b""
+            if len(self.parts) > 2 * CACHE_WORDS:
+                self.parts.clear()
+            yield self._whole(t) if "<|" in t else b"".join([self[w] for w in t.replace("\n", " ").split(" ")])
 
 
 def cuts(length: int, capacity: int, slack: int) -> Iterator[tuple[int, int]]:
