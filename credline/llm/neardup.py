@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = stored(sizes.join(total, "root").select("root", "node", "k", "total"), "minhash-groups")
     texts = (docs.select(row_key(id_col, text_col).alias("k"),
                          F.col(text_col).cast("string").alias("text"))
-             .join(chosen, "k"))
+             .join(chosen.hint("merge"), "k"))  # the same plan at every size
     grouped = _dealt(texts, "root", F.ceil(F.col("total") / GROUP), "node", "text")
     links = grouped.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_confirm(threshold), "a long, b long")
     roots = components(links)
