@@ -141,10 +141,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             .orderBy(F.desc("g"), "term").limit(TERMS).select("term", "a", "b").collect())
     odds = np.array([np.log((r["a"] + 0.5) / (n1 + 1)) - np.log((r["b"] + 0.5) / (n0 + 1)) for r in kept])
     index = {r["term"]: j for j, r in enumerate(kept)}
-    listed = F.array(*[F.lit(x) for x in index]) if index else F.array().cast("array<long>")
-    found = sample.orderBy("i").select("y", F.array_intersect("terms", listed).alias("terms")).collect()
-    fit = fit_fm([np.array([index[x] for x in r["terms"]], np.int64) for r in found],
-                 np.array([r["y"] for r in found], float), len(index),
+    at = np.argsort(np.fromiter(index, np.int64, len(index)))
+    known = np.fromiter(index, np.int64, len(index))[at]
+
+    def keep(batches):
+        """The kept terms of each row as packed indices: a few bytes a term for the driver."""
+        for batch in batches:
+            packed = []
+            for terms_of in batch.column(2):
+                x = terms_of.values.to_numpy()
+                x = x[np.isin(x, known)]
+                packed.append(at[np.searchsorted(known, x)].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["i", "y", "ix"])
+
+    found = sample.select("i", "y", "terms").mapInArrow(keep, "i long, y int, ix binary").orderBy("i").collect()
+    fit = fit_fm([np.frombuffer(r["ix"], "<i4") for r in found], np.array([r["y"] for r in found], float), len(index),
                  float(np.log(counts[1] / counts[0]) - np.log(n1 / n0)), start=np.maximum(odds, 0) / 2)
     return {"terms": index, **fit}
 
