@@ -105,7 +105,14 @@ class Encoder(dict):
         return b"".join([parts[p] for p in self.PARTS(word.lower())])
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._plain(word) if self.plain and self.PLAIN(word) else self._whole(word)
+        if not (self.plain and (word.isascii() and word.isprintable() or self.PLAIN(word))):
+            ids = self._whole(word)
+        elif word.isalpha():  # most words are letters, or letters and one sign: no pattern needed
+            ids = self.parts[word.lower()]
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            ids = self.parts[word[:-1].lower()] + self.parts[word[-1]]
+        else:
+            ids = self._plain(word)
         if len(word) <= CACHED_LENGTH:
             self[word] = ids
         return ids
