@@ -10,14 +10,18 @@ term t and an entity e:
 * bits(t, e) = log2(P(e | t) / P(e)), the information t gives away about e.
 
 A pair seen in at least ``SUPPORT`` different contexts, with disclosure of ``GENERALISE`` or
-more and at least ``BITS`` bits, gives e away even where e itself is blanked. Such terms become
-further spans (kind ``term``) in the contexts of e; the sanitised text removes them from
-``REMOVE`` disclosure on and writes a general mark below that. Base spans always stay.
+more and at least ``BITS`` bits, gives e away even where e itself is blanked, and most of all where e does not
+stand. Such terms become further spans (kind ``term``) wherever they stand as whole words
+outside base spans, in every document; the sanitised text removes those whose largest disclosure
+is ``REMOVE`` or more and writes a general mark for the others. Base spans always stay.
+Co-occurrence is counted within ``CONTEXT`` characters: a term that stands further from e in all
+of its documents is no candidate.
 
 Corpus counts are taken in two steps: contexts first (few rows), whose pair counts bound the
 disclosure from above; the words of the whole corpus are then counted only for terms that can
 still pass (broadcast after a check of their number; beyond it the join shuffles words already
-made distinct per document). Entities and terms travel as pre-aggregated counts, so an address
+made distinct per document). A second pass finds the documents that hold a passing term, in the same
+way, and only their texts are searched for the places. Entities and terms travel as pre-aggregated counts, so an address
 in a third of all documents is no hot group. Equal contexts (copies) count as one towards
 ``SUPPORT``; equal rows count as one document.
 
@@ -48,6 +52,7 @@ GENERALISE = 0.5
 REMOVE = 0.9
 BITS = 3.0
 BROADCAST_ROWS = 1_000_000
+BLOCK = 256  # words whose places are found in one go
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -106,6 +111,47 @@ def _contexts(found: DataFrame) -> DataFrame:
     return rows.filter(free).drop("taken")
 
 
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
+
+
+def _checked(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if their number allows it."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """k, places (start, kind, stop, removed; sorted) of the ``hits`` (term, removed) of each text
+    of ``found`` (k, text, spans, hits) outside its base spans. Lengths are summed up per block of
+    words and then over the blocks, so a text of many words takes no quadratic time."""
+    held = lambda word: F.filter("hits", lambda h: h["term"] == word)
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["p"])
+        stop = start + F.length(x["m"])
+        place = F.struct(start.alias("start"), stop.alias("stop"), F.lower(x["m"]).alias("word"))
+        return F.struct(stop.alias("at"), F.when(F.size(held(F.lower(x["m"]))) > 0, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,word:string>>").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words"), F.lit(1)), F.lit(BLOCK)),
+                         lambda i: F.aggregate(F.slice("__words", i, BLOCK), zero, step))
+    begins = F.aggregate("__blocks", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+
+    def placed(b, j):
+        at = F.get("__begins", j)
+        return F.transform(b["out"], lambda o: F.struct((at + o["start"]).alias("start"), F.lit(4).alias("kind"), (at + o["stop"]).alias("stop"),
+                                                        F.get(held(o["word"]), F.lit(0))["removed"].alias("removed")))
+
+    rows = (found.withColumns({"__m": F.regexp_extract_all("text", F.lit(TERM), 0), "__p": F.split("text", TERM, -1)})
+            .withColumn("__words", F.arrays_zip(F.col("__m").alias("m"), F.slice("__p", 1, F.size("__m")).alias("p")))
+            .withColumn("__blocks", blocks).withColumn("__begins", begins))
+    free = F.filter(F.flatten(F.transform("__blocks", placed)),
+                    lambda t: ~F.exists("spans", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
+    return (rows.select("k", free.alias("places")).filter(F.size("places") > 0)
+            .groupBy("k").agg(F.first("places").alias("places")))
+
+
 def disclosures(docs: DataFrame, contexts: DataFrame, text_col: str) -> DataFrame:
     """term, e, disclosure of the pairs that pass; ``docs`` has one row per document."""
     seen = contexts.select("k", "e", "term").distinct()
@@ -114,10 +160,8 @@ def disclosures(docs: DataFrame, contexts: DataFrame, text_col: str) -> DataFram
              .filter(F.col("support") >= SUPPORT))
     in_ctx = seen.select("k", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_ctx"))
     pairs = stored(pairs.join(in_ctx, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_ctx")), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), 0))
+    wanted = _checked(pairs.select("term").distinct())
+    words = _words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = (docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi")
           .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     of_e = contexts.select("k", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
@@ -129,19 +173,25 @@ def disclosures(docs: DataFrame, contexts: DataFrame, text_col: str) -> DataFram
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (row key), doc_id, spans (base), terms (array of start, kind, stop, removed): one row
-    per document."""
+    """k (row key), doc_id, spans (base), terms (array of start, kind, stop, removed: the passing
+    terms in contexts of the entity they give away), places (the same of all occurrences of
+    passing terms, removed by the term's largest disclosure): one row per document."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                         row_key(id_col, text_col).alias("k"))
     based = base_spans(texts, "text", "spans")
     own = stored(based.select("doc_id", "k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans")), "pii-spans")
     ctx = stored(_contexts(based.select("k", "text", "spans")), "pii-contexts")
-    told = disclosures(docs, ctx, text_col)
+    told = stored(disclosures(docs, ctx, text_col), "pii-told")
+    largest = _checked(told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")))
+    hits = (texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(largest, "term").distinct()
+            .groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits")))
+    places = _places(base_spans(texts.join(hits, "k"), "text", "spans").select("k", "text", "spans", "hits"))
     extra = (ctx.join(told, ["term", "e"]).groupBy("k", "start", "stop").agg(F.max("disclosure").alias("d"))
              .groupBy("k").agg(F.array_sort(F.collect_list(F.struct(
                  "start", F.lit(4).alias("kind"), "stop", (F.col("d") >= REMOVE).alias("removed")))).alias("terms")))
-    return own.join(extra, "k", "left").withColumn(
-        "terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,stop:int,removed:boolean>>")))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int,removed:boolean>>")
+    return own.join(extra, "k", "left").join(places, "k", "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("terms", "places")})
 
 
 def spans_text(spans: Column) -> Column:
@@ -170,8 +220,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with every span blanked in the text column; the other columns are unchanged."""
     key, spans = free_name(docs, "k"), free_name(docs, "spans")
     base = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"], F.lit(False).alias("removed")))
-    found = (find(docs, id_col, text_col).filter((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["k"])
-             .select(F.col("k").alias(key), F.array_sort(F.concat(base, F.col("terms"))).alias(spans)))
+    found = (find(docs, id_col, text_col).filter((F.size("spans") > 0) | (F.size("places") > 0)).dropDuplicates(["k"])
+             .select(F.col("k").alias(key), F.array_sort(F.concat(base, F.col("places"))).alias(spans)))
     text = F.col(text_col).cast("string")
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
     return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), sanitise(text, F.col(spans))).otherwise(text)).select(*docs.columns)
@@ -181,8 +231,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def op7_pii(spark, sf_dir):
     found = find(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    plain = F.transform("terms", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
+    plain = F.transform("places", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
     return found.select(
         "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
         F.sha2(spans_text(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
-        spans_text(F.array_sort(F.concat("spans", plain))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+        spans_text(F.array_sort(F.concat("spans", plain))).alias("spans"), F.size("places").cast("long").alias("n_terms"))

@@ -79,6 +79,22 @@ def test_sanitised_texts(spark):
     assert "[TERM], [EMAIL]" in got[10] and got[30] == dict(people())[30]
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    far = "quil@air.org and Quillon" + " ." * 100 + " QUILLON, quillons, " + "x1 yy2 word " * 700 + "quillon@sea.org Quillon"
+    rows = [*people(), (200, far), (201, far), (201, far), *((300 + i, f"filler {i}") for i in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in P.find(docs).collect()}
+    assert {(s["start"], s["stop"], s["removed"]) for s in found[20]["places"]} == {(0, 7, False)}
+    own = [(s["start"], s["stop"]) for s in found[200]["places"]]
+    assert [far[a:b] for a, b in own] == ["Quillon", "QUILLON", "Quillon"] and own[2][1] == len(far)
+    for r in found.values():
+        at = {(s["start"], s["stop"]) for s in r["places"]}
+        assert {(s["start"], s["stop"]) for s in r["terms"]} <= at
+    got = {r["doc_id"]: r["text"] for r in P.sanitised(docs).collect()}
+    assert got[20] == "[TERM] seen 0" and got[102] == "[TERM]" and got[0].startswith("note 0: the captain  wrote")
+    assert got[200] == got[201] and "quillon" not in got[200].lower().replace("quillons", "") and "[TERM], quillons," in got[200]
+
+
 def test_sanitise_overlaps(spark):
     df = spark.range(1).select(F.lit("0123456789").alias("t"))
     span = lambda a, k, b, r: F.struct(F.lit(a).alias("start"), F.lit(k).alias("kind"), F.lit(b).alias("stop"), F.lit(r).alias("removed"))
