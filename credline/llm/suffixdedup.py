@@ -18,8 +18,9 @@ anchor lie within its suffix (WIDTH bytes) and the WIDTH - GRAM bytes before it.
    strings with different common prefixes with the last output the longer wins unread, equal
    ones are compared from there on, and a front-coded string arrives with its prefix known.
    Strings meet in groups of one gram, in which the smallest document of every window is found.
-   What changes for a string goes back to its chunk. A group of more than ``GROUP`` strings is
-   dealt out by its windows instead and reduced by an aggregate.
+   What changes for a string goes back to its chunk. A gram with more than ``GROUP`` occurrences
+   (counted with the bitmaps) stays out of the ranges: every chunk sends the distinct windows of
+   its strings with their smallest document, and an aggregate finds the smallest of all.
 5. Chunks apply the answers to all their occurrences and cut the texts.
 
 A passage that a third of all documents hold is one string per chunk in the exchange. Range
@@ -162,15 +163,20 @@ class Chunk:
             new = np.flatnonzero(np.concatenate(([True], (arg[1:] != arg[:-1]) | (d[1:] != d[:-1]))))
             yield arg[new] + a, s[new], s[np.append(new[1:], len(s)) - 1], d[new], h[arg[new]]
 
-    def grams(self) -> Iterator[tuple[int, bytes]]:
-        """bucket, sorted distinct gram codes in it."""
+    def grams(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """bucket, sorted distinct gram codes in it, place and number of those that occur more
+        than once."""
         low = (self.codes & _LOW).astype(np.uint32)
+        times = np.diff(np.append(self.first, len(self.order)))
         for b in np.flatnonzero(np.diff(self.borders)).tolist():
-            yield b, low[self.borders[b]:self.borders[b + 1]].tobytes()
+            n = times[self.borders[b]:self.borders[b + 1]]
+            more = np.flatnonzero(n > 1)
+            yield b, low[self.borders[b]:self.borders[b + 1]].tobytes(), np.concatenate((more, n[more])).astype(np.uint32).tobytes()
 
-    def suffixes(self, bitmaps: dict[int, bytes]) -> None:
+    def suffixes(self, bitmaps: dict[int, bytes], hot: dict[int, bytes]) -> None:
         """Sort the suffixes of the anchors that may match. Sets rows (distinct sorted strings),
-        least (their smallest document), at (occurrences, sorted) and starts (of the rows there)."""
+        least (their smallest document), at (occurrences, sorted), starts (of the rows there),
+        cold and hot (the rows that go to the ranges, and those of hot grams)."""
         shared = [np.unpackbits(np.frombuffer(bitmaps[b], np.uint8), count=int(n)) for b, n in
                   enumerate(np.diff(self.borders).tolist()) if n]
         shared = np.concatenate(shared).astype(bool) if shared else np.empty(0, bool)
@@ -199,20 +205,58 @@ class Chunk:
         self.at = at[order]
         self.rows, self.heads = rows[order][new], words[new, 0]
         self.least = np.minimum.reduceat(self.ids[self.d[self.at]], self.starts) if len(at) else np.empty(0, np.int64)
+        often = np.zeros(len(self.codes), bool)
+        for b, places in hot.items():
+            often[self.borders[b] + np.frombuffer(places, np.uint32).astype(np.int64)] = True
+        anchors = np.zeros(len(self.order), bool)
+        anchors[self.order] = np.repeat(often, times)
+        own = anchors[self.at[self.starts]]
+        self.cold, self.hot = np.flatnonzero(~own), np.flatnonzero(own)
+
+    def windows(self, t: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of the strings of hot grams, with the windows that begin t bytes before the anchor:
+        the strings that have one inside the text, the number of its window, the windows."""
+        x = self.rows[self.hot]
+        at = self.hot[(x[:, WIDTH + LEFT] >= WIDTH - t) & (x[:, WIDTH + LEFT + 1] >= t)]
+        x = self.rows[at]
+        text = np.concatenate((x[:, WIDTH:WIDTH + t][:, ::-1], x[:, :WIDTH - t]), axis=1).tobytes()
+        keys = np.empty(len(at), object)
+        keys[:] = [text[i:i + WIDTH] for i in range(0, len(text), WIDTH)]
+        number, distinct = pd.factorize(keys)
+        return at, number, distinct.tolist()
+
+    def hot_runs(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """t, windows, bytes, blob (smallest and largest document of each window, windows)."""
+        for t in range(LEFT + 1 if len(self.hot) else 0):
+            at, number, distinct = self.windows(t)
+            if distinct:
+                low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID - 1)
+                np.minimum.at(low, number, self.least[at])
+                np.maximum.at(high, number, self.least[at])
+                yield t, len(distinct), len(distinct) * WIDTH, _pack(low, high, np.frombuffer(b"".join(distinct), np.uint8))
+
+    def hot_answers(self, t: int, window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The strings whose window at t stands in a smaller document: ``doc`` is the smallest of
+        each numbered ``window``."""
+        at, number, distinct = self.windows(t)
+        best = np.full(len(distinct), NO_ID)
+        best[window] = doc
+        return at[best[number] < self.least[at]]
 
     def runs(self, borders: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
         """range, index of the first string, strings, front-coded run."""
-        if not len(self.rows):
+        rows, least = (self.rows[self.cold], self.least[self.cold]) if len(self.hot) else (self.rows, self.least)
+        if not len(rows):
             return
-        differ = self.rows[1:] != self.rows[:-1]
+        differ = rows[1:] != rows[:-1]
         lcp = np.concatenate(([0], differ.argmax(axis=1))).astype(np.uint8)
-        cut = np.searchsorted(_prefix_order(self.heads), borders)
-        for r, (i, j) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(self.rows)])):
+        cut = np.searchsorted(_prefix_order(self.heads[self.cold]), borders)
+        for r, (i, j) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(rows)])):
             if i < j:
                 own = lcp[i:j].copy()
                 own[0] = 0
-                rest = self.rows[i:j][np.arange(ROW) >= own[:, None]]
-                yield r, i, j - i, len(rest), _pack(own, self.least[i:j], rest)
+                rest = rows[i:j][np.arange(ROW) >= own[:, None]]
+                yield r, i, j - i, len(rest), _pack(own, least[i:j], rest)
 
     def cut(self, index: np.ndarray, first: np.ndarray, last: np.ndarray) -> pd.DataFrame:
         """The texts without what goes. The answers: windows from place + first to place + last
@@ -247,8 +291,9 @@ class Chunk:
 
 
 # ------------------------------------------------------------------------------- exchanges
-def _shared_grams(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for every chunk the bitmap of its grams that another chunk has too."""
+def _shared_grams(rows: pd.DataFrame, group: int) -> pd.DataFrame:
+    """Of one bucket: for every chunk the bitmap of its grams that another chunk has too, and the
+    places of those with more than ``group`` occurrences in all."""
     rows = rows.sort_values("chunk")
     lists = [np.frombuffer(x, np.uint32) for x in rows["blob"]]
     values = np.concatenate(lists)
@@ -256,9 +301,19 @@ def _shared_grams(rows: pd.DataFrame) -> pd.DataFrame:
     same = values[order][1:] == values[order][:-1]
     flag = np.zeros(len(values), bool)
     flag[order[1:][same]] = flag[order[:-1][same]] = True
-    cut = np.cumsum([len(x) for x in lists])[:-1]
+    ends = np.cumsum([len(x) for x in lists])
+    times = np.ones(len(values), np.int64)
+    for begin, more in zip([0, *ends[:-1].tolist()], rows["more"]):
+        at, n = np.frombuffer(more, np.uint32).astype(np.int64).reshape(2, -1)
+        times[begin + at] = n
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), ~same)))
+    hot = np.zeros(len(values), bool)
+    if len(values):
+        hot[order] = np.repeat(np.add.reduceat(times[order], first) > group, np.diff(np.append(first, len(values))))
+    cut = ends[:-1]
     return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "part": rows["part"].to_numpy(),
-                         "blob": [np.packbits(x).tobytes() for x in np.split(flag, cut)]})
+                         "blob": [np.packbits(x).tobytes() for x in np.split(flag, cut)],
+                         "hot": [np.flatnonzero(x).astype(np.uint32).tobytes() for x in np.split(hot, cut)]})
 
 
 def merge(runs: list[tuple[bytes, list[int], bytes]]) -> Iterator[tuple[int, bytes, int, int]]:
@@ -367,8 +422,22 @@ def _smallest(strings: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, int
 ANSWERS = "chunk long, n long, blob binary, w binary, doc long, idx long, t int"
 
 
-def _merge_range(rows: pd.DataFrame, group: int) -> pd.DataFrame:
-    """Of one range: the answers to every chunk, and the windows of groups too large to hold."""
+def _hot_windows(row) -> pd.DataFrame:
+    """The windows of one chunk's strings of hot grams at one t, one row each."""
+    n, t = int(row["n"]), int(row["first"])
+    data = _unpack(row["blob"], 16 * n + int(row["size"]))
+    text = data[16 * n:]
+    return pd.DataFrame({"chunk": row["chunk"], "n": pd.array(np.frombuffer(data, np.int64, n, 8 * n), "Int64"), "blob": None,
+                         "w": [t.to_bytes(1) + text[i:i + WIDTH] for i in range(0, len(text), WIDTH)],
+                         "doc": pd.array(np.frombuffer(data, np.int64, n), "Int64"), "idx": pd.array(np.arange(n), "Int64"),
+                         "t": pd.array(np.full(n, t), "Int32")})
+
+
+def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: the answers to every chunk. A negative number stands for the windows of one
+    chunk at one t, which are handed on (n: their largest document)."""
+    if rows["part"].iloc[0] < 0:
+        return _hot_windows(rows.iloc[0])
     rows = rows.sort_values("chunk")
     runs, docs = [], []
     for n, size, blob in zip(rows["n"], rows["size"], rows["blob"]):
@@ -378,18 +447,10 @@ def _merge_range(rows: pd.DataFrame, group: int) -> pd.DataFrame:
         docs.append(np.frombuffer(data[n:9 * n], np.int64).tolist())
     chunks, begins = rows["chunk"].tolist(), rows["first"].tolist()
     answers: list[list[tuple[int, int, int]]] = [[] for _ in runs]
-    large: list[tuple] = []
     held: list[tuple[bytes, int, int, int]] = []
     strings: dict[bytes, int] = {}
-    over = False
-
-    def spill() -> None:
-        for x, r, i, doc in held:
-            large.extend((chunks[r], w.to_bytes(1) + s, doc, begins[r] + i, w) for w, s in _windows(x))
 
     def settle() -> None:
-        if over:
-            return spill()
         if len(held) < 2:
             return
         if len(strings) == 1:
@@ -409,10 +470,6 @@ def _merge_range(rows: pd.DataFrame, group: int) -> pd.DataFrame:
     for n, x, r, i in merge(runs):
         if n < GRAM:
             settle()
-            held, strings, over = [], {}, False
-        elif len(strings) > group:
-            over = True
-            spill()
             held, strings = [], {}
         doc = docs[r][i]
         held.append((x, r, i, doc))
@@ -424,7 +481,6 @@ def _merge_range(rows: pd.DataFrame, group: int) -> pd.DataFrame:
         if found:
             idx, a, b = (np.array(v) for v in zip(*found))
             out.append((chunks[r], len(idx), _pack(idx.astype(np.int64), a.astype(np.int8), b.astype(np.int8)), None, None, None, None))
-    out += [(c, None, None, w, doc, i, t) for c, w, doc, i, t in large]
     return pd.DataFrame(out, columns=["chunk", "n", "blob", "w", "doc", "idx", "t"]).astype(
         {"n": "Int64", "doc": "Int64", "idx": "Int64", "t": "Int32"})
 
@@ -444,39 +500,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def grams(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                for part, blob in Chunk(row, buckets).grams():
-                    yield pd.DataFrame({"chunk": [row["chunk"]], "part": [part], "blob": [blob]})
+                for part, blob, more in Chunk(row, buckets).grams():
+                    yield pd.DataFrame({"chunk": [row["chunk"]], "part": [part], "blob": [blob], "more": [more]})
 
-    sent = chunks.select("chunk", "n", "ids", "known", "lens", "data").mapInPandas(grams, "chunk long, part int, blob binary")
-    bitmaps = stored(sent.groupBy("part").applyInPandas(_shared_grams, "chunk long, part int, blob binary"), "suffix-grams")
+    sent = chunks.select("chunk", "n", "ids", "known", "lens", "data").mapInPandas(grams, "chunk long, part int, blob binary, more binary")
+    bitmaps = stored(sent.groupBy("part").applyInPandas(lambda rows: _shared_grams(rows, group), "chunk long, part int, blob binary, hot binary"), "suffix-grams")
 
     def ready(row, parts) -> Chunk:
         chunk = Chunk(row, buckets)
-        chunk.suffixes(dict(zip(parts["part"], parts["blob"])))
+        chunk.suffixes(dict(zip(parts["part"], parts["blob"])), dict(zip(parts["part"], parts["hot"])))
         return chunk
 
     def runs(own, parts):
-        out = [(row["chunk"], r, i, n, size, blob) for row in own.to_dict("records")
-               for r, i, n, size, blob in ready(row, parts).runs(np.array(borders, np.int64))]
+        out = []
+        for row in own.to_dict("records"):
+            chunk = ready(row, parts)
+            out += [(row["chunk"], *run) for run in chunk.runs(np.array(borders, np.int64))]
+            out += [(row["chunk"], -1 - (row["chunk"] * (LEFT + 1) + t), t, n, size, blob) for t, n, size, blob in chunk.hot_runs()]
         return pd.DataFrame(out, columns=["chunk", "part", "first", "n", "size", "blob"])
 
     data = chunks.select("chunk", "n", "ids", "known", "lens", "data")
     sorted_runs = data.groupBy("chunk").cogroup(bitmaps.groupBy("chunk")).applyInPandas(
-        runs, "chunk long, part int, first long, n long, size long, blob binary")
-    merged = stored(sorted_runs.groupBy("part").applyInPandas(lambda rows: _merge_range(rows, group), ANSWERS), "suffix-answers")
+        runs, "chunk long, part long, first long, n long, size long, blob binary")
+    merged = stored(sorted_runs.groupBy("part").applyInPandas(_merge_range, ANSWERS), "suffix-answers")
     large = merged.filter("w is not null")
-    late = (large.join(large.groupBy("w").agg(F.min("doc").alias("m")), "w").filter("m < doc")
-            .select("chunk", F.lit(1).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"), "idx", "t"))
+    late = (large.join(large.groupBy("w").agg(F.min("doc").alias("m")), "w").filter("m < n")
+            .select("chunk", F.col("m").alias("n"), F.lit(None).cast("binary").alias("blob"), "idx", "t"))
     replies = merged.filter("blob is not null").select("chunk", "n", "blob", "idx", "t").unionByName(late).select(
-        "chunk", F.lit(None).cast("int").alias("part"), "n", "blob", "idx", "t").unionByName(
+        "chunk", F.lit(None).cast("int").alias("part"), "n", "blob", "idx", "t", F.lit(None).cast("binary").alias("hot")).unionByName(
         bitmaps.select("chunk", "part", F.lit(None).cast("long").alias("n"), "blob", F.lit(None).cast("long").alias("idx"),
-                       F.lit(None).cast("int").alias("t")))
+                       F.lit(None).cast("int").alias("t"), "hot"))
 
     def apply(own, got):
         bits = got[got["part"].notna()]
         blobs = got[got["part"].isna() & got["blob"].notna()]
         single = got[got["idx"].notna()]
-        index, first, last = [single["idx"].to_numpy(np.int64)], [-single["t"].to_numpy(np.int64)], [-single["t"].to_numpy(np.int64)]
+        index, first, last = ([np.empty(0, np.int64)] for _ in range(3))
         for n, blob in zip(blobs["n"].astype(int), blobs["blob"]):
             raw = _unpack(blob, 10 * n)
             index.append(np.frombuffer(raw, np.int64, n))
@@ -485,6 +544,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for row in own.to_dict("records"):
             chunk = ready(row, bits.assign(part=bits["part"].astype(int)))
+            index = [chunk.cold[x] for x in index]
+            for t, found in single.groupby("t"):
+                x = chunk.hot_answers(int(t), found["idx"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+                index.append(x)
+                first.append(np.full(len(x), -int(t)))
+                last.append(np.full(len(x), -int(t)))
             done = chunk.cut(np.concatenate(index), np.concatenate(first), np.concatenate(last))
             known = np.frombuffer(row["known"], np.uint8).astype(bool)
             done.insert(0, "doc_id", pd.array(chunk.ids, "Int64").copy())

@@ -57,6 +57,20 @@ def test_against_brute_force(spark, chunk, group):
         assert r["n_bytes"] - r["n_removed"] == len(kept)
 
 
+def test_hot_grams_stay_out_of_the_ranges(spark, monkeypatch):
+    passage = "the passage that one third of all documents hold, whatever stands around it, " * 2
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(30))
+    rows = [(i, f"{word()} {word()} {passage}{word()} {word()}" if i % 3 == 0 else f"{word()} {word()}") for i in range(90)]
+    stages, plain = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name, *a: stages.setdefault(name, plain(df, name, *a)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_spans"]) for r in S.remove_repeats(docs, chunk_bytes=2000, group=5).collect()}
+    assert got == brute.repeats(rows)
+    large = stages["suffix-answers"].filter("w is not null")
+    assert large.count() > 0 and large.count() == large.select("chunk", "w").distinct().count()
+
+
 def test_messy_rows(messy, messy_rows):
     got = S.remove_repeats(messy).collect()
     assert len(got) == len(messy_rows)
