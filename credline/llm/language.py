@@ -10,7 +10,9 @@ cannot change the winner.
 
 The sample: of each language's labelled rows that are not held out, the rows with the smallest
 hashes of their id in ``BUCKETS`` hash buckets, the first ``ROW_CHARS`` characters of each.
-This bound concerns learning only; every text is parsed whole.
+Every language is learned: with more than ``MAX_LANGUAGES`` of them each has fewer buckets and
+characters, so that the total stays that of ``MAX_LANGUAGES`` full samples, down to one row and
+``LEAST_CHARS`` characters (from some 40,000 languages on the total grows again). This bound concerns learning only; every text is parsed whole.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0, as is every
 text when nothing was learned; rows with a null id, text or language are not learned from, but
@@ -33,7 +35,8 @@ from credline.llm.common import fold, held_out, register, table, with_python
 SAMPLE_CHARS = 40_000
 ROW_CHARS = 1_000
 BUCKETS = 64
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 200  # with a full sample each
+LEAST_CHARS = 200
 HEAD = 256
 STEP = 4096
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -42,23 +45,25 @@ _LETTER = re.compile(r"[^\W\d_]").search
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Sample text by language: at most SAMPLE_CHARS characters for each of at most
-    MAX_LANGUAGES languages (the most frequent ones), so its size is bounded."""
+    """Sample text by language: at most SAMPLE_CHARS characters for each language, and smaller
+    samples where there are more than MAX_LANGUAGES languages, so its size is bounded."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"),
                        F.xxhash64(F.col(id_col).cast("long")).alias("h"))
     rows = rows.filter("i is not null and t is not null and l is not null").filter(fold("i") != 2)
-    lowest = rows.groupBy("l", F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
-    per = lowest.groupBy("l").agg(F.sum("n").alias("n"), F.collect_list("h").alias("hs"))
-    top = per.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    if not top:
+    n = rows.select("l").distinct().count()
+    if not n:
         return {}
-    chosen = sorted({h for r in top for h in r["hs"]})
-    found = (rows.filter(F.col("h").isin(chosen)).groupBy("l", "h")
+    buckets = max(1, min(BUCKETS, BUCKETS * MAX_LANGUAGES // n))
+    chars = max(LEAST_CHARS, min(SAMPLE_CHARS, SAMPLE_CHARS * MAX_LANGUAGES // n))
+    lowest = rows.groupBy("l", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min("h").alias("h"))
+    hashes = {(r["l"], r["h"]) for r in lowest.select("l", "h").collect()}
+    found = (rows.filter(F.col("h").isin(sorted({h for _, h in hashes}))).groupBy("l", "h")
              .agg(F.min(F.substring("t", 1, ROW_CHARS)).alias("t")).collect())
-    out = {}
-    for r in top:
-        texts = sorted({(x["h"], x["t"]) for x in found if x["l"] == r["l"] and x["h"] in set(r["hs"])})
-        out[r["l"]] = "\0".join(t.lower() for _, t in texts)[:SAMPLE_CHARS]
+    texts: dict[str, list] = {}
+    for r in found:
+        if (r["l"], r["h"]) in hashes:
+            texts.setdefault(r["l"], []).append((r["h"], r["t"]))
+    out = {k: "\0".join(t.lower() for _, t in sorted(v))[:chars] for k, v in texts.items()}
     return {k: v for k, v in out.items() if v}
 
 

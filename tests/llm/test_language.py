@@ -72,6 +72,19 @@ def test_learning_is_bounded_and_repeats_do_not_count_twice(spark, documents):
     assert model == L.learn(documents) and max(map(len, model.values())) <= L.SAMPLE_CHARS
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(100 * j + i, f"{c * 3} {c * 2} {i} " * 40, f"l{c}") for j, c in enumerate("abcdefg") for i in range(20 - j)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    full = L.learn(docs)
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 3)
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 1_000)
+    model = L.learn(docs)
+    assert set(model) == set(full) == {f"l{c}" for c in "abcdefg"}
+    assert sum(map(len, model.values())) <= 3 * 1_000
+    got = L.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
 @pytest.mark.parametrize("text", [None, "", "12 %%", "\n"])
 def test_no_letter(text):
     assert L.Parser({"en": "the and"})(text) == ("und", 0.0)
