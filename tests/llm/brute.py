@@ -1,7 +1,10 @@
 """Plain restatements of the contracts, used to check the operators on small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -40,7 +43,7 @@ def shingles(text) -> set:
     return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else ({tuple(ws)} if ws else set())
 
 
-def near_dup(rows) -> dict:
+def near_dup(rows, least=75) -> dict:
     """{doc_id: (n, component)} for (doc_id, text) rows with distinct ids."""
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
@@ -56,7 +59,7 @@ def near_dup(rows) -> dict:
     pairs = {(a, b) for ds in by.values() for a in ds for b in ds if a < b}
     for a, b in pairs:
         i = len(sets[a] & sets[b])
-        if 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
+        if 100 * i >= least * (len(sets[a]) + len(sets[b]) - i):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}
@@ -77,3 +80,55 @@ def repeats(rows, width=50) -> dict:
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         out[d] = (bytes(x for x, g in zip(b, gone) if not g), spans)
     return out
+
+
+def rebuilt(turns) -> dict:
+    """{conv_id: [(role, text), ...]} for (conv_id, turn, role, text) rows."""
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - int(math.fmod(c, 5)), [])[:h] + ts[h:]
+    return out
+
+
+def trie(turns) -> set:
+    """The nodes of the prefix trie as (conv_id, depth, parent, n_convs, n_children, n_leaves, saved, ends)."""
+    convs = rebuilt(turns)
+    members = {}
+    for c, ts in convs.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    out = set()
+    for p, cs in members.items():
+        below = [q for q in members if q[:len(p)] == p]
+        kids = [q for q in below if len(q) == len(p) + 1]
+        leaves = [q for q in below if not any(x[:len(q)] == q and len(x) > len(q) for x in below)]
+        saved = sum((len(members[q]) - 1) * len(q[-1][1].encode()) for q in below if q)
+        ends = ",".join(map(str, sorted(c for c in cs if len(convs[c]) == len(p))))
+        out.add((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), len(kids), len(leaves), saved, sha(ends)))
+    return out
+
+
+def ranked(docs, items, k=10) -> list:
+    """(item_id, rank, doc_id, score) rows, an item a row of ``items``."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(d, Counter(words(t))) for d, t in docs]
+    bags = [(d, b) for d, b in bags if b]
+    n_docs, length = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        found = []
+        for d, b in bags:
+            m = 25 + (75 * sum(b.values()) * n_docs) // length
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * b[t]) // (1000 * b[t] + 8 * m))
+                        for t in words(text) if b[t])
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(sorted(found, key=lambda x: x[:3])[:k])]
+    return out
