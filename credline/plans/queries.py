@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from credline.functions.text import clean_ocr, split_lines_stripped, tag_all_o, tokens, verbatim_ok
 from credline.operators import batch, bio, boxes, frames, review
 from credline.operators.apply import annotate, routed, with_request
-from credline.operators.common import global_index
+from credline.operators.common import global_index, materialize
+from credline.operators.tagging import call_pending, tagged_rows
 from credline.plans import flows
 from credline.plans import oracle as O
 from credline.plans import views as V
@@ -25,6 +26,7 @@ from credline.session import scratch_path
 from credline.sources import annotation_json as AJ
 from credline.sources import tables
 from credline.sources.files import read_path_dim
+from credline.streaming.bounded import adjudication_state_bounded, review_state_bounded
 from credline.streaming.incremental import stage_hop
 from credline.streaming.state import adjudication_state_stream, review_state_stream
 
@@ -586,6 +588,26 @@ def q_tag_apply(spark, sf):
         "row_id", "route", "tag_status", "tag_error", "tagged")
 
 
+@register("q_tag_resume", O.with_views(["v_ocr_rows"], f"""
+, r as (select row_id, case when ocr_accepted then coalesce({O.label('scene_code')}, 'unroutable') else 'rejected' end as route,
+               {O.tokens(_ROUTE_TEXT_SQL)} as ws
+        from v_ocr_rows where {_ROUTE_TEXT_SQL} <> '')
+, t as (select row_id, route, case when route in ('chyron', 'credits') then 'ok' else route end as tag_status,
+  case when route in ('chyron', 'credits') then 1 else 0 end as calls,
+  case route when 'unroutable' then null when 'rejected' then array_to_string(list_transform(ws, lambda w: w || '@O'), ' ')
+    else array_to_string(list_transform(ws, lambda w, i: w || '@' || (case when i = 1 then 'B' else 'I' end)
+      || (case route when 'chyron' then 'F:1' else 'R:1' end)), ' ') end as tagged
+  from r)
+select * from t""".lstrip()))
+def q_tag_resume(spark, sf):
+    """Tagging stopped half way and taken up again: equal texts are called once, and nothing is
+    called twice."""
+    rows, store = materialize(_route_rows(spark, sf), "route-rows"), scratch_path(spark, "tag-store")
+    call_pending(rows, _stub_tagger, store, batches=4, stop_after=2)
+    call_pending(rows, _stub_tagger, store, batches=4)
+    return tagged_rows(rows, store).select("row_id", "route", "tag_status", "calls", "tagged")
+
+
 # =========================================================================== tagged text
 @register("q_verbatim", O.with_views(["v_tagged"], f"""
 select doc_id,
@@ -597,7 +619,7 @@ def q_verbatim(spark, sf):
 
 
 _TOK_SQL = f"""
-, tok0 as (select doc_id, unnest(generate_series(0, len(toks) - 1)) as pos, unnest(toks) as token
+, tok0 as materialized (select doc_id, unnest(generate_series(0, len(toks) - 1)) as pos, unnest(toks) as token
            from (select doc_id, {O.tokens('tagged')} as toks from v_tagged))
 , tok1 as (select doc_id, pos, token, cast(len(string_split(token, '@')) as bigint) as n_parts,
                   string_split(token, '@')[1] as word,
@@ -615,17 +637,17 @@ _PARSE_SQL = _TOK_SQL + """
                    last_value(case when is_b then name end ignore nulls) over (
              partition by doc_id order by pos rows between unbounded preceding and current row) as open_name
          from t2)
-, t4 as (select *, coalesce(n_parts <> 2 or tag = '' or (is_i and (open_name is null or open_name <> name)), true) as bad
+, t4 as materialized (select *, coalesce(n_parts <> 2 or tag = '' or (is_i and (open_name is null or open_name <> name)), true) as bad
          from t3)
-, ph as (select doc_id, phrase_pos, max(case when is_b then name end) as phrase_tag,
+, ph as materialized (select doc_id, phrase_pos, max(case when is_b then name end) as phrase_tag,
                 string_agg(word, ' ' order by pos) as phrase_text
          from t4 where is_b or (is_i and not bad) group by doc_id, phrase_pos)
 , bt as (select doc_id, bool_or(bad) as b from t4 group by doc_id)
 , bp as (select doc_id, bool_or((contains(phrase_tag, 'R') or contains(phrase_tag, 'F')) and not contains(phrase_tag, ':')) as b
          from ph group by doc_id)
-, errs as (select v.doc_id, v.tagged is null or coalesce(bt.b, false) or coalesce(bp.b, false) as parse_error
+, errs as materialized (select v.doc_id, v.tagged is null or coalesce(bt.b, false) or coalesce(bp.b, false) as parse_error
            from v_tagged v left join bt on bt.doc_id = v.doc_id left join bp on bp.doc_id = v.doc_id)
-, okph as (select * from ph where doc_id in (select doc_id from errs where not parse_error))"""
+, okph as materialized (select * from ph where doc_id in (select doc_id from errs where not parse_error))"""
 
 _BIND_SQL = _PARSE_SQL + """
 , roles as (select doc_id, phrase_text as role, phrase_pos, string_split(phrase_tag, ':')[2] as ridx,
@@ -1118,6 +1140,76 @@ def q_adjudicate_stream(spark, sf):
                         ["adjudicated", "accepted", "n_edits", "edited"])
 
 
+# Deliveries of a log in three drops: every fifth event a drop late, every 97th in the last drop however
+# old it is, every seventh twice. The allowed lateness is three eighths of the log.
+_DELIVERIES_SQL = """
+, top as (select max(seq) + 1 as m from {view})
+, came as (select e.*, case when seq % 97 = 0 then 2 else least(2, seq * 3 // m + case when seq % 5 = 0 then 1 else 0 end) end as drop_no
+           from {view} e, top)
+, deliveries as (select * from came union all select * replace (least(2, drop_no + 1) as drop_no) from came where seq % 7 = 0)
+, marks as (select drop_no, max(max(seq)) over (order by drop_no rows between unbounded preceding and 1 preceding) - m * 3 // 8 as mark
+            from deliveries, top group by drop_no, m)
+, timed as (select d.*, coalesce(mark > 0 and seq <= mark, false) as late from deliveries d join marks using (drop_no))
+, in_time as (select distinct * exclude (drop_no, late) from timed where not late)
+, n_late as (select row_id, count(*) filter (where late) as n_late from timed group by row_id)"""
+
+
+def _bounded_fold(spark, sf, view, fold):
+    """Deliver a log in three drops, one ``availableNow`` pass each, to a fold with bounded state;
+    the updates land in a Parquet table. Timers wait for the next drop (no empty batches between)."""
+    base = scratch_path(spark, "bounded")
+    ev = view(spark, sf)
+    payload = F.col("payload") if "payload" in ev.columns else F.lit(None).cast("string")
+    ev = ev.select("row_id", "seq", "action", payload.alias("payload"))
+    m = ev.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+    seq = F.col("seq")
+    drop = F.when(seq % 97 == 0, 2).otherwise(F.least(F.lit(2), F.floor(seq * 3 / m) + (seq % 5 == 0).cast("int"))).cast("int")
+    came = ev.withColumn("drop_no", drop)
+    again = came.filter(seq % 7 == 0).withColumn("drop_no", F.least(F.lit(2), F.col("drop_no") + 1))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for i in range(3):
+        came.unionByName(again).filter(F.col("drop_no") == i).drop("drop_no").write.parquet(f"{base}/src/drop{i}")
+        stream = (spark.readStream.schema(_EVENT_SCHEMA).option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.parquet").parquet(f"{base}/src"))
+        q = (fold(stream, m * 3 // 8).writeStream.outputMode("update").option("checkpointLocation", f"{base}/ckpt")
+             .foreachBatch(lambda df, b: df.withColumn("batch_id", F.lit(b)).write.mode("append").parquet(f"{base}/sink"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return spark.read.parquet(f"{base}/sink")
+
+
+@register("q_review_bounded", O.with_views(["v_review_events"], _DELIVERIES_SQL.format(view="v_review_events").lstrip()
+          + _REVIEW_FOLD_SQL.replace("from v_review_events", "from in_time") + """
+select row_id, coalesce(label_adjusted, false) as label_adjusted, coalesce(deleted, false) as deleted, coalesce(annotated, false) as annotated,
+       coalesce(ocr_accepted, false) as ocr_accepted, n_late
+from n_late left join fold using (row_id)"""))
+def q_review_bounded(spark, sf):
+    """The review fold with bounded state: late events within the watermark's delay count, later
+    ones change nothing and are counted."""
+    cols = ["label_adjusted", "deleted", "annotated", "ocr_accepted", "n_late"]
+    out = _bounded_fold(spark, sf, V.v_review_events, review_state_bounded)
+    return frames.last_write(out, "row_id", "batch_id", cols).select("row_id", *cols)
+
+
+@register("q_adjudicate_bounded", O.with_views(["v_adjudication_events"],
+          _DELIVERIES_SQL.format(view="v_adjudication_events").lstrip() + """
+, fold as (select row_id,
+       coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo')) in ('accept', 'reject'), false) as adjudicated,
+       coalesce(arg_max(action, seq) filter (where action in ('accept','reject','edit','undo')) = 'accept', false) as accepted,
+       count(*) filter (where action = 'edit') as n_edits,
+       arg_max(payload, seq) filter (where action = 'edit' and payload is not null) as edited
+  from in_time group by row_id)
+select row_id, coalesce(adjudicated, false) as adjudicated, coalesce(accepted, false) as accepted, coalesce(n_edits, 0) as n_edits,
+       edited, n_late
+from n_late left join fold using (row_id)"""))
+def q_adjudicate_bounded(spark, sf):
+    """The adjudication fold with bounded state."""
+    cols = ["adjudicated", "accepted", "n_edits", "edited", "n_late"]
+    out = _bounded_fold(spark, sf, V.v_adjudication_events, adjudication_state_bounded)
+    return frames.last_write(out, "row_id", "batch_id", cols).select("row_id", *cols)
+
+
 @register("q_resume_point", O.with_views(["v_frames"], """
 , idx as (select row_number() over (order by guid, frame_num) - 1 as frame_idx, guid, frame_num, annotated
           from v_frames)
