@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from credline.functions.text import clean_ocr, split_lines_stripped, tag_all_o, tokens, verbatim_ok
 from credline.operators import batch, bio, boxes, frames, review
-from credline.operators.apply import annotate, routed, with_request
+from credline.operators.apply import annotate, ocr_frames, routed, with_request
 from credline.operators.common import global_index, materialize
 from credline.operators.tagging import call_pending, tagged_rows
 from credline.plans import flows
@@ -25,7 +25,8 @@ from credline.schemas import OCR_ROW, STAGES
 from credline.session import scratch_path
 from credline.sources import annotation_json as AJ
 from credline.sources import tables
-from credline.sources.files import read_path_dim
+from credline.sources.csv_split import read_csv_checked
+from credline.sources.files import list_frames, read_path_dim, write_frames
 from credline.streaming.bounded import adjudication_state_bounded, review_state_bounded
 from credline.streaming.incremental import stage_hop
 from credline.streaming.state import adjudication_state_stream, review_state_stream
@@ -502,6 +503,32 @@ def q_csv_mixed(spark, sf):
         "row_id", "guid", "time_point", "scene_label", "confidence", "textdocument")
 
 
+_BAD_CSV_SQL = """
+, c as (select row_id, guid, case when row_id % 11 = 3 then 'soon' else cast(time_point as varchar) end as time_point, textdocument from v_ocr_rows)"""
+
+
+@register("q_csv_quarantine", O.with_views(["v_ocr_rows"], _BAD_CSV_SQL.lstrip() + """
+select row_id, guid, time_point::bigint as time_point, textdocument, null as reason from c where row_id % 11 <> 3
+union all select row_id, null, null, null, 'time_point is no bigint: soon' from c where row_id % 11 = 3
+union all select row_id, null, null, null, 'not 4 fields' from c where row_id % 13 = 4"""))
+def q_csv_quarantine(spark, sf):
+    """Quoted multi-line CSV read in splits: values of another type and rows with a field too many
+    are set aside with the reason, all other rows come through whole."""
+    src = V.v_ocr_rows(spark, sf)
+    path = scratch_path(spark, "csv-bad")
+    time = F.when(F.col("row_id") % 11 == 3, F.lit("soon")).otherwise(F.col("time_point").cast("string"))
+    tables.write_csv(src.select("row_id", "guid", time.alias("time_point"), "textdocument"), f"{path}/a", time_header="timePoint")
+    wide = src.filter("row_id % 13 = 4").select(F.concat_ws(",", "row_id", F.lit("g"), F.lit("1"), F.lit('"a\n""b"""'), F.lit("more")).alias("value"))
+    head = spark.createDataFrame([("row_id,guid,timePoint,textdocument",)], "value string")
+    head.coalesce(1).unionByName(wide.coalesce(1)).coalesce(1).write.text(f"{path}/b")
+    schema = T.StructType([T.StructField("row_id", T.LongType())] + OCR_ROW.fields)
+    rows, bad = read_csv_checked(spark, f"{path}/*", schema)
+    none = F.lit(None)
+    return rows.select("row_id", "guid", "time_point", "textdocument", none.cast("string").alias("reason")).unionByName(bad.select(
+        F.split("record", ",")[0].cast("long").alias("row_id"), none.cast("string").alias("guid"), none.cast("long").alias("time_point"),
+        none.cast("string").alias("textdocument"), "reason"))
+
+
 @register("q_path_files", """
 with p as (select page_id % 3 as f, page_id, 'cpb-aacip-src' || cast(page_id % 15 as varchar) as guid, url from pages)
 select guid, arg_max(url, f * 1000000000 + page_id) as path from p group by guid""")
@@ -1011,6 +1038,60 @@ def _gold_view(gold: DataFrame) -> DataFrame:
                        F.when(F.size("bindings") > 0, F.array_join(pairs, ";")).alias("bindings"))
 
 
+# =========================================================================== frame images
+def _page_frames(spark, sf) -> str:
+    """Every page's html as the bytes of a frame image file."""
+    folder = scratch_path(spark, "frames")
+    p = V.table(spark, sf, "pages")
+    write_frames(p.select(F.concat(F.lit("cpb-aacip-src"), (F.col("page_id") % 15).cast("string")).alias("guid"),
+                          F.col("page_id").alias("frame_num"), F.col("html").cast("binary").alias("content")), folder)
+    return folder
+
+
+_PAGE_FRAMES_SQL = """
+with f as (select 'cpb-aacip-src' || (page_id % 15) as guid, page_id as frame_num, html from pages where html is not null)"""
+
+
+@register("q_frame_listing", _PAGE_FRAMES_SQL + """
+select guid, frame_num, guid || '.' || frame_num || '.png' as name, strlen(html) as length,
+       row_number() over (order by guid, frame_num) - 1 as frame_idx from f""")
+def q_frame_listing(spark, sf):
+    """A folder of frame images listed without reading their bytes; guid, frame and the global
+    index come from the names."""
+    listed = list_frames(spark, _page_frames(spark, sf))
+    named = listed.select("guid", "frame_num", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return frames.index_frames(named).select("guid", "frame_num", "name", "length", "frame_idx")
+
+
+def _stub_ocr():
+    """A byte model: a box per line that holds a letter or digit, as wide as the line has bytes."""
+    def read(content: bytes) -> list:
+        out = []
+        for y, line in enumerate(content.split(b"\n")):
+            if any(c.isalnum() for c in line.decode()):
+                w = len(line)
+                out.append(([(0, y), (w, y), (w, y + 1), (0, y + 1)], line.decode(), w % 100 / 100))
+        return out
+    return read
+
+
+@register("q_ocr_frames", _PAGE_FRAMES_SQL + r"""
+, l as (select guid, frame_num, unnest(range(0, len(ls))) as y, unnest(ls) as text
+        from (select *, string_split(html, chr(10)) as ls from f))
+, b as (select *, strlen(text) as w, (strlen(text) % 100)::double / 100 as confidence from l where regexp_matches(text, '[\p{L}\p{N}]'))
+select guid, frame_num, row_number() over (partition by guid, frame_num order by y) - 1 as box_pos, text, confidence,
+       case when confidence > 0.8 then 'high' when confidence > 0.5 then 'medium' else 'low' end as tier,
+       0::bigint as x0, y as y0, w as x2, y + 1 as y2 from b""")
+def q_ocr_frames(spark, sf):
+    """Frame images read as binary files, run through a byte model, exploded to boxes with their
+    tier and corners."""
+    found = ocr_frames(list_frames(spark, _page_frames(spark, sf), with_content=True), _stub_ocr)
+    cs = boxes.corners("bbox")
+    return boxes.explode_boxes(found).select(
+        "guid", "frame_num", "box_pos", "text", "confidence", boxes.confidence_tier("confidence").alias("tier"),
+        *[cs[k].cast("long").alias(k) for k in ("x0", "y0", "x2", "y2")])
+
+
 # =========================================================================== boxes
 @register("q_conf_tier", O.with_views(["v_box"], """
 select guid, frame_num, box_idx,

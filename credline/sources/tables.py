@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credline.operators.common import global_index
 from credline.schemas import OCR_ROW, STAGES
+from credline.session import ship_package
+
+# Header spellings of the time column seen in stage files.
+TIME_ALIASES = ("timePoint", "timepoint", "time_point")
 
 # CSV options that carry quoted multi-line text, outer blanks and CRLF unchanged.
 CSV_OPTIONS = {
@@ -21,9 +27,6 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
-# Header spellings of the time column seen in stage files.
-TIME_ALIASES = ("timePoint", "timepoint", "time_point")
-
 
 def write_csv(df: DataFrame, path: str, time_header: str = "timepoint") -> None:
     """Write a stage table as CSV with a header (no index column)."""
@@ -31,25 +34,48 @@ def write_csv(df: DataFrame, path: str, time_header: str = "timepoint") -> None:
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, files) of the CSV files of a path: the first line of each file, read by
-    Spark; what reaches the driver is one line per file."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"), "value")
-    first = lines.filter("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    return [(r["h"], sorted(r["fs"])) for r in first.groupBy("h").agg(F.collect_list("f").alias("fs")).orderBy("h").collect()]
+def _first_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first record of each file, of which no more than that is read."""
+    from pyarrow import fs
+
+    def first(path: str) -> str:
+        files, name = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and path[6:7] != "/" else path)
+        text = b""
+        with files.open_input_stream(name) as f:
+            while block := f.read(8192):
+                text += block
+                at = -1
+                while (at := text.find(b"\n", at + 1)) >= 0:
+                    if text.count(b'"', 0, at) % 2 == 0:
+                        return text[:at].decode().rstrip("\r")
+        return text.decode()
+
+    for pdf in batches:
+        yield pd.DataFrame({"path": pdf["path"], "header": [first(p) for p in pdf["path"]]})
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, str | list[str]]]:
+    """(header record, its files) of the CSV files of a path. The driver gets one row per
+    different header, and file names only where headers differ."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path")  # a listing: no content is read
+    first = files.mapInPandas(_first_records, "path string, header string").filter("header <> ''")
+    found = sorted(r["header"] for r in first.select("header").distinct().collect())
+    if len(found) < 2:
+        return [(h, path) for h in found]
+    return [(r["header"], sorted(r["fs"])) for r in first.groupBy("header").agg(F.collect_list("path").alias("fs")).orderBy("header").collect()]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = OCR_ROW) -> DataFrame:
     """Read stage CSV files with explicit types. The time column may be spelled either way;
     columns go by name, so the files of a folder may differ in the order or the set of their
     columns (a column that a file lacks is NULL there); columns unknown to ``schema`` are
-    strings. ``multiLine`` files are read whole: keep them to the size of an exchange batch."""
+    strings. ``multiLine`` files are one task each: keep them to the size of an exchange batch, or
+    use ``csv_split.read_csv_checked``, which reads them in splits and sets bad records aside."""
     known = {f.name: f.dataType for f in schema.fields}
     out = None
     for header, files in _headers(spark, path):
-        names = next(csv.reader([header]))
+        names = next(csv.reader(header.splitlines(keepends=True)))
         canon = ["time_point" if n in TIME_ALIASES else n for n in names]
         fields = [T.StructField(c, known.get(c, T.StringType())) for c in canon]
         part = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "true").schema(T.StructType(fields)).csv(files)

@@ -20,10 +20,12 @@ themselves, so the event time reaches them as a plain number. Stream-to-sink use
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,6 +34,10 @@ from credline.session import ship_package
 from credline.streaming.state import (ACCEPT, ADJ_CODES, DECLINE, DELETE, EDIT, REJECT, REVIEW_CODES, REVOKE, SUBMIT, SWAP,
                                       UNDO)
 
+# Spark unpickles a processor in a helper process of the driver too, which knows no ``addPyFile``
+# archives, so the classes of this module travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "n_late long, late array<struct<seq:long,action:string>>"
 REVIEW_OUT = f"row_id long, label_adjusted boolean, deleted boolean, annotated boolean, ocr_accepted boolean, {LATE}"
@@ -170,6 +176,7 @@ def _bounded(events: DataFrame, processor, out: str, lateness_s: int, at: Column
     spark = events.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the store that this operator needs
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch uploads its changes
     payload = F.col("payload") if "payload" in events.columns else F.lit(None).cast("string")
     rows = (events.withColumn("_at", F.timestamp_seconds("seq") if at is None else at).withWatermark("_at", f"{lateness_s} seconds")
             .select("row_id", "seq", "action", payload.alias("payload"), F.unix_millis("_at").alias("at_ms")))
