@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credline.functions.text import tag_all_o
+from credline.operators.common import materialize
 from credline.operators.frames import parse_frame_name
 from credline.schemas import CHYRON, CREDITS, OCR_BOX
 from credline.session import ship_package
@@ -35,8 +36,7 @@ def route() -> Column:
 def routed(df: DataFrame) -> DataFrame:
     """Drop rows without cleaned text (empty counts as missing after a stage file) and
     add the route."""
-    t = F.col("cleaned_text")
-    return df.filter(t.isNotNull() & (t != "")).withColumn("route", route())
+    return df.filter(F.col("cleaned_text") != "").withColumn("route", route())
 
 
 def with_request(df: DataFrame, templates: Mapping[str, str], text: str = "cleaned_text") -> DataFrame:
@@ -75,8 +75,9 @@ def annotate(df: DataFrame, model_factory: Callable[[], TagModel], max_retries:
              backoff_s: float = 1.0) -> DataFrame:
     """Tag every routable row. Output: input columns + route, tagged, tag_status (``ok``,
     ``rejected``, ``unroutable`` or ``failed``) and tag_error (the last error of a failed
-    row). Two branches: rows settled in the JVM, rows for the model."""
-    r = routed(df)
+    row). Two branches: rows settled in the JVM, rows for the model; the rows are written once
+    before, so that neither branch nor filter derives their texts again."""
+    r = routed(materialize(df, "to-tag"))
     rejected = F.col("route") == "rejected"
     settled = (r.filter(F.col("route").isin("rejected", "unroutable"))
                .withColumn("tagged", F.when(rejected, tag_all_o("cleaned_text")))

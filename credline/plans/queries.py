@@ -83,9 +83,11 @@ def q_scan_roundtrip(spark, sf):
 select row_number() over (order by row_id) - 1 as idx, row_id,
        {O.clean('textdocument')} as cleaned from v_ocr_rows"""))
 def q_clean_text(spark, sf):
-    """Column-pruned scan of the text, cleaning, 0-based row-number index."""
-    rows = V.v_ocr_rows(spark, sf).select("row_id", clean_ocr("textdocument").alias("cleaned"))
-    return global_index(rows, ["row_id"], "idx").select("idx", "row_id", "cleaned")
+    """Column-pruned scan of the text, cleaning, 0-based row-number index. Only the ids are sorted
+    and written for the index; the texts meet it by id and are cleaned where they are."""
+    rows = V.v_ocr_rows(spark, sf)
+    idx = global_index(rows.select("row_id"), ["row_id"], "idx")
+    return rows.select("row_id", "textdocument").join(idx, "row_id").select("idx", "row_id", clean_ocr("textdocument").alias("cleaned"))
 
 
 @register("q_token_counts", O.with_views(["v_ocr_rows"], f"""
@@ -153,7 +155,7 @@ def q_align_filter(spark, sf):
 
 
 def _ann_tables(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.documents(spark, sf)
     sid = F.col("doc_id").cast("string")
     td1 = d.select(F.col("source").alias("file"), F.concat(F.lit("v_"), "source").alias("view_id"),
                    F.lit(0).cast("long").alias("view_ord"), F.col("doc_id").alias("ann_ord"),
@@ -189,7 +191,7 @@ def q_align_join(spark, sf):
     """Two-tier id resolution of alignment targets (text) and sources (time points):
     document-wide ``view:id`` first, else the bare id in the last view holding it."""
     td, tp = _ann_tables(spark, sf)
-    d = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("file"))
+    d = V.documents(spark, sf).select("doc_id", F.col("source").alias("file"))
     al = batch.alignment_filter(V.v_alignment(spark, sf)).join(d, "doc_id")
     al = al.select(
         "doc_id", "file",
@@ -204,7 +206,7 @@ def q_align_join(spark, sf):
 
 def _annotation_json(spark, sf) -> DataFrame:
     """One annotation document per source document (JSON text, key doc_id)."""
-    d = V.table(spark, sf, "documents")
+    d = V.documents(spark, sf)
     props = lambda **kw: F.struct(*[
         (kw[f.name] if f.name in kw else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in AJ.ANNOTATION_DOC["views"].dataType.elementType["annotations"]
@@ -574,7 +576,7 @@ from v_ocr_rows where {_ROUTE_TEXT_SQL} <> ''"""))
 def q_tag_route(spark, sf):
     """Tagger routing: rows without text are dropped; rejected rows are tagged without a
     model; labels pick the request template; other labels are unroutable."""
-    return routed(_route_rows(spark, sf)).select("row_id", "route")
+    return routed(materialize(_route_rows(spark, sf), "stage-rows")).select("row_id", "route")
 
 
 _TEMPLATES = {"chyron": "Lower third, name first: {text}", "credits": "Credit roll, role first: {text} -- end"}
@@ -589,7 +591,7 @@ select row_id, case route when 'chyron' then 'Lower third, name first: ' || t
 from r where t <> ''""".lstrip()))
 def q_request(spark, sf):
     """Requests built from the user's template of each route."""
-    return with_request(routed(_route_rows(spark, sf)), _TEMPLATES).select("row_id", "request")
+    return with_request(routed(materialize(_route_rows(spark, sf), "stage-rows")), _TEMPLATES).select("row_id", "request")
 
 
 def _stub_tagger():

@@ -13,14 +13,26 @@ from credline.functions.text import tokens
 from credline.schemas import GUID_PREFIX, REASON_DUPLICATE
 
 
+SPREAD = "credline.spread"  # session setting: number of partitions for texts, unset by default
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts. A table written as one row group is one task, whatever follows; a caller who has
+    such tables sets ``credline.spread`` to a number of partitions, and the pruned columns are dealt
+    by id before any work on the texts. It is the caller's choice alone: no size is looked at."""
+    docs = table(spark, sf_dir, "documents")
+    spread = spark.conf.get(SPREAD, None)
+    return docs.repartition(int(spread), "doc_id") if spread else docs
+
+
 def v_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2/E4 rows: one OCR text per document, review flags from ``labels``."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     lab = table(spark, sf_dir, "labels").select(
         "doc_id", F.lit(True).alias("_lab"), "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
@@ -114,7 +126,7 @@ def v_adjudication_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     sid = F.col("doc_id").cast("string")
     return d.select(
         "doc_id",
@@ -142,7 +154,7 @@ def v_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged rows over whole documents: token i gets BR, IR, BF, IF, BF, O by i % 6 with
     index i // 6 + 1. Faults: doc_id % 17 = 0 tags token 3 ``IF:9`` (unparsable),
     doc_id % 13 = 0 loses token 5 from the tagged text (not verbatim)."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     toks = tokens("text")
     doc = F.col("doc_id")
     tagged = F.transform(toks, lambda t, i: F.concat(t, F.lit("@"), _tag_for(i, doc)))
