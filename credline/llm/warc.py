@@ -11,8 +11,12 @@ under its own name).
 Reading. One pass over each file in small blocks: ``zlib.decompressobj`` per member, its
 unused tail starts the next member; the header block ends at the empty line, the
 Content-Length frames the block, the payload starts after the HTTP header. Payload and block
-digests are checked as the bytes pass. A broken frame or digest gives ``valid`` = false with
-the reason. Memory: one read block and, only if ``payloads`` is asked for, one record.
+digests are checked as the bytes pass, as far as the record names them. A broken frame or
+digest, a header that is none, a missing length, broken gzip data and an archive that ends early
+each give one row with ``valid`` = false and the reason; reading goes on with the next record,
+after broken data at the next place that looks like a gzip member and holds one. Records of other
+types (``warcinfo``, ``request``) come through with their type. Memory: one read block, a header
+and, only if ``payloads`` is asked for, one record, however long the payload.
 
 Defined results: a null html is the empty payload; an empty table gives no rows; of repeated
 rows with the largest id each is a response; a null id is below every id (if a group has
@@ -38,6 +42,8 @@ from credline.session import scratch_path
 SALT = 16
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1 << 16
+MAGIC = b"\x1f\x8b\x08"
+LONGEST_HEADER = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:credline:page:"
 
@@ -121,6 +127,14 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         run, "path string, records long, bytes long")
 
 
+class Damage(Exception):
+    """What keeps a member from being read; ``head`` has the record's header, as far as it is known."""
+
+    def __init__(self, why: str, head: dict | None = None):
+        super().__init__(why)
+        self.why, self.head = why, head or {}
+
+
 class _Members:
     """The decompressed bytes of a stream of gzip members, one member at a time."""
 
@@ -138,14 +152,31 @@ class _Members:
         while not self.z.eof:
             data = self.tail or self.stream.read(BLOCK)
             if not data:
-                raise ValueError("the archive ends inside a member")
-            got = self.z.decompress(data, BLOCK)
+                self.tail = b""
+                raise Damage("the archive ends inside a member")
+            try:
+                got = self.z.decompress(data, BLOCK)
+            except zlib.error:
+                self.tail = data
+                raise Damage("broken gzip data") from None
             self.tail = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             if got:
                 return got
         return b""
 
 
+    def resync(self) -> None:
+        """Go on to the next place that looks like the start of a gzip member."""
+        data = self.tail[1:]
+        while (at := data.find(MAGIC)) < 0:
+            more = self.stream.read(BLOCK)
+            if not more:
+                self.tail = b""
+                return
+            data = data[-(len(MAGIC) - 1):] + more
+        self.tail = data[at:]
+
+
 def _headers(data: bytes) -> dict[str, str]:
     lines = data.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -157,18 +188,54 @@ def _id(value: str | None):
 
 
 def read_records(stream, payloads: bool = False) -> Iterator[dict]:
-    """The records of one archive, in order."""
-    members = _Members(stream)
+    """The records of one archive, in order. What cannot be read gives a row with the reason, and
+    reading goes on at the next member that holds a record."""
+    members, lost = _Members(stream), False
     while members.start():
-        data = b""
-        while (at := data.find(b"\r\n\r\n")) < 0:
+        try:
+            row = _record(members, payloads)
+        except Damage as e:
+            if not lost:
+                yield _row(e.head, e.why)
+            lost = True
+            members.resync()
+            continue
+        if lost and row["why"] == NO_HEADER:  # not a record: the place only looked like a start
+            continue
+        lost = False
+        yield row
+
+
+NO_HEADER = "no WARC header"
+
+
+def _row(head: dict, why: str | None, **found) -> dict:
+    return {"page_id": _id(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "payload_bytes": None,
+            "payload_digest": None, "record_type": head.get("warc-type"), "refers_to": _id(head.get("warc-refers-to")),
+            "valid": why is None, "why": why, "payload": None} | found
+
+
+def _record(members: _Members, payloads: bool) -> dict:
+    data, head = b"", {}
+
+    def drained(why: str) -> dict:
+        while members.read():
+            pass
+        return _row(head, why)
+
+    try:
+        while (at := data.find(b"\r\n\r\n", 0, LONGEST_HEADER)) < 0:
+            if not b"WARC/".startswith(data[:5]) or len(data) > LONGEST_HEADER:
+                return drained(NO_HEADER)
             more = members.read()
             if not more:
-                raise ValueError("a record ends inside its header")
+                return _row(head, "a record ends inside its header" if data.startswith(b"WARC/") else NO_HEADER)
             data += more
         if not data.startswith(b"WARC/"):
-            raise ValueError("a member does not start with a WARC header")
+            return drained(NO_HEADER)
         head, data = _headers(data[:at]), data[at + 4:]
+        if not head.get("content-length", "").isdigit():
+            return drained("no content length")
         left = int(head["content-length"])
         block, body, seen, http, kept = hashlib.sha1(), hashlib.sha1(), 0, b"", []
         in_http = head.get("content-type", "").startswith("application/http")
@@ -192,19 +259,20 @@ def read_records(stream, payloads: bool = False) -> Iterator[dict]:
                 if not data:
                     break
         while more := members.read():
-            data += more
-        revisit = head["warc-type"] == "revisit"
-        digest = head["warc-payload-digest"].removeprefix("sha1:")
-        b32 = lambda h: base64.b32encode(h.digest()).decode()
-        why = ("short block" if left else "bad end" if data != b"\r\n\r\n"
-               else "block digest" if b32(block) != head["warc-block-digest"].removeprefix("sha1:")
-               else "payload digest" if not revisit and b32(body) != digest
-               else "payload length" if not revisit and seen != int(http_head.get("content-length", seen)) else None)
-        yield {"page_id": _id(head.get("warc-record-id")), "url": head.get("warc-target-uri"),
-               "payload_bytes": int(http_head.get("content-length", seen)) if revisit else seen,
-               "payload_digest": digest, "record_type": head["warc-type"],
-               "refers_to": _id(head.get("warc-refers-to")), "valid": why is None, "why": why,
-               "payload": b"".join(kept) if payloads and not revisit else None}
+            data = (data + more)[:5]  # an end of more than four bytes is wrong, however long
+    except Damage as e:
+        raise Damage(e.why, head) from None
+    revisit = head.get("warc-type") == "revisit"
+    b32 = lambda h: base64.b32encode(h.digest()).decode()
+    told = lambda name: head[name].removeprefix("sha1:") if name in head else None
+    digest, length = told("warc-payload-digest"), http_head.get("content-length", "")
+    length = int(length) if length.isdigit() else seen
+    why = ("short block" if left else "bad end" if data != b"\r\n\r\n"
+           else "block digest" if told("warc-block-digest") not in (None, b32(block))
+           else "payload digest" if not revisit and digest not in (None, b32(body))
+           else "payload length" if not revisit and seen != length else None)
+    return _row(head, why, payload_bytes=length if revisit else seen, payload_digest=b32(body) if digest is None and not revisit else digest,
+                payload=b"".join(kept) if payloads and not revisit else None)
 
 
 RECORDS = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "

@@ -62,8 +62,33 @@ def test_damage_is_told():
     assert longer["why"] == "bad end"
     short, = W.read_records(io.BytesIO(archive(good[:-8])))
     assert short["why"] in ("short block", "bad end") and not short["valid"]
-    with pytest.raises(ValueError, match="inside a member"):
-        list(W.read_records(io.BytesIO(archive(good)[:-10])))
+
+
+def why(data):
+    return [(r["why"], r["page_id"]) for r in W.read_records(io.BytesIO(data))]
+
+
+def test_unreadable_parts_do_not_end_the_archive():
+    """Truncation, broken gzip data, garbage and incomplete headers give a row each; the records
+    around them are read."""
+    one, two = W.member(W.record(1, "u", b"payload " * 9000, None)), W.member(W.record(2, "v", b"other", None))
+    assert why(two + one[:-10]) == [(None, 2), ("the archive ends inside a member", 1)]
+    flipped = bytearray(one)
+    flipped[len(one) // 2] ^= 0xFF
+    assert [w for w, _ in why(two + bytes(flipped) + two)] in ([None, "broken gzip data", None], [None, "block digest", None])
+    assert why(two + b"no gzip at all" * 3) == [(None, 2), ("broken gzip data", None)]
+    assert why(b"\x1f\x8b\x08 a false start " + two + two) == [("broken gzip data", None), (None, 2), (None, 2)]
+    assert why(W.member(b"hello") + two + W.member(b"")) == [("no WARC header", None), (None, 2), ("no WARC header", None)]
+    assert why(W.member(b"WARC/1.1\r\nWARC-Type: response\r\n") + two) == [("a record ends inside its header", None), (None, 2)]
+    assert why(W.member(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc") + two) == [("no content length", None), (None, 2)]
+    assert why(b"") == []
+
+
+def test_other_record_types_pass_through():
+    info = W.member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n")
+    first, page = W.read_records(io.BytesIO(info + archive(W.record(1, "u", b"payload", None))))
+    assert (first["record_type"], first["page_id"], first["valid"], first["payload_bytes"]) == ("warcinfo", None, True, 9)
+    assert page["valid"] and page["record_type"] == "response"
 
 
 def test_empty_table(spark, pages):
