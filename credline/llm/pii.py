@@ -152,8 +152,8 @@ def _places(found: DataFrame) -> DataFrame:
             .groupBy("k").agg(F.first("places").alias("places")))
 
 
-def disclosures(docs: DataFrame, contexts: DataFrame, text_col: str) -> DataFrame:
-    """term, e, disclosure of the pairs that pass; ``docs`` has one row per document."""
+def disclosures(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """term, e, disclosure of the pairs that pass; equal rows of ``texts`` (k, text) are one document."""
     seen = contexts.select("k", "e", "term").distinct()
     pairs = (seen.groupBy("term", "e").agg(F.count(F.lit(1)).alias("n_te"))
              .join(contexts.select("term", "e", "c").distinct().groupBy("term", "e").agg(F.count(F.lit(1)).alias("support")), ["term", "e"])
@@ -161,11 +161,10 @@ def disclosures(docs: DataFrame, contexts: DataFrame, text_col: str) -> DataFram
     in_ctx = seen.select("k", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_ctx"))
     pairs = stored(pairs.join(in_ctx, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_ctx")), "pii-pairs")
     wanted = _checked(pairs.select("term").distinct())
-    words = _words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = (docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi")
-          .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    df = (texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+          .distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     of_e = contexts.select("k", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    n_all = docs.count()
+    n_all = texts.select("k").distinct().count()
     p = F.col("n_te") / F.col("n_t")
     return (pairs.join(df, "term").join(of_e, "e")
             .withColumn("disclosure", p).filter((p >= GENERALISE) & (F.log2(p * F.lit(n_all) / F.col("n_e")) >= BITS))
@@ -181,7 +180,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     based = base_spans(texts, "text", "spans")
     own = stored(based.select("doc_id", "k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans")), "pii-spans")
     ctx = stored(_contexts(based.select("k", "text", "spans")), "pii-contexts")
-    told = stored(disclosures(docs, ctx, text_col), "pii-told")
+    told = stored(disclosures(texts.select("k", "text"), ctx), "pii-told")
     largest = _checked(told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")))
     hits = (texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(largest, "term").distinct()
             .groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits")))

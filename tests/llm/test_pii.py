@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from credline.llm import pii as P
@@ -71,6 +72,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert {w for d, a, b, gone in found if not gone for w in [dict(rows)[d][a:b]]} >= {"Quillon"}
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_repeated_rows_are_one_document(spark, times):
+    """A table with every row twice or more gives every row the spans it has alone."""
+    view = lambda rows: {(r["doc_id"], tuple(r["spans"]), tuple(r["terms"]), tuple(r["places"]))
+                         for r in P.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    once = view(people())
+    assert view(people() * times) == once and any(places for *_, places in once)
+
+
 def test_sanitised_texts(spark):
     docs = spark.createDataFrame([(d, t, "z") for d, t in people()], "doc_id long, text string, spans string")
     got = {r["doc_id"]: r["text"] for r in P.sanitised(docs).collect()}
