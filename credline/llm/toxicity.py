@@ -126,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sorted(ids)  # bounded: TOXIC_ROWS + CLEAN_ROWS
     wanted = docs.sparkSession.createDataFrame([(x,) for x in chosen], "i long")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.join(F.broadcast(wanted), "i", "left_semi")
+    rows = (rows.join(F.broadcast(wanted), "i", "left_semi")  # one row an id, whatever their number
+            .groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t")))
     sample = stored(with_python(rows).mapInArrow(extract, "i long, y int, terms array<long>"), "toxicity-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
