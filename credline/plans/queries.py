@@ -24,7 +24,7 @@ from credline.plans import views as V
 from credline.schemas import OCR_ROW, STAGES
 from credline.session import scratch_path
 from credline.sources import annotation_json as AJ
-from credline.sources import tables
+from credline.sources import gold_store, tables
 from credline.sources.csv_split import read_csv_checked
 from credline.sources.files import list_frames, read_path_dim, write_frames
 from credline.streaming.bounded import adjudication_state_bounded, review_state_bounded
@@ -1040,6 +1040,38 @@ def _gold_view(gold: DataFrame) -> DataFrame:
                        F.when(F.size("bindings") > 0, F.array_join(pairs, ";")).alias("bindings"))
 
 
+@register("q_gold_upsert", O.with_views(["v_frames"], f"""
+, p as (select guid, frame_num, role, skip_reason, annotated,
+               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as chain_start from v_frames)
+select guid, frame_num, guid || '.' || frame_num as image_id,
+       case when skip_reason is null and chain_start is not null then guid || '.' || chain_start end as continued_from, skip_reason,
+       case when skip_reason is null then role || '=' || 'a ' || frame_num || '|b' end as bindings
+from p where annotated""".lstrip()))
+def q_gold_upsert(spark, sf):
+    """Gold saves merged into a snapshot in three batches: early saves, the later saves of one half of
+    the frames, of the other half; only the buckets a batch touches are rewritten."""
+    path, saves = scratch_path(spark, "gold-store"), materialize(_gold_records(spark, sf), "gold-saves")
+    half = F.pmod("frame_num", F.lit(2)) == 0
+    for batch in (saves.filter("seq = 1"), saves.filter((F.col("seq") == 2) & half), saves.filter((F.col("seq") == 2) & ~half)):
+        gold_store.upsert(batch, path, buckets=32)
+    return _gold_view(gold_store.gold_rows(gold_store.read_snapshot(spark, path)))
+
+
+@register("q_gold_files", O.with_views(["v_credits"], f"""
+select cast(guid as varchar) as guid, frame_num, cast(guid as varchar) || '.' || frame_num as image_id,
+       role || '=' || array_to_string(list_transform(string_split(filler, chr(10)), lambda x: {O.strip('x')}), '|') as bindings
+from v_credits"""))
+def q_gold_files(spark, sf):
+    """A flat folder with one indented gold record per frame, read back; guid and frame come from the
+    file names."""
+    c = V.v_credits(spark, sf)
+    folder = scratch_path(spark, "gold-files")
+    AJ.write_gold_files(c.select(F.col("guid").cast("string").alias("guid"), "frame_num", F.lit(1).alias("seq"),
+                                 F.create_map("role", split_lines_stripped("filler")).alias("bindings"),
+                                 F.create_map(F.lit("_image_id"), frames.image_id("guid", "frame_num")).alias("meta")), folder)
+    return _gold_view(AJ.read_gold_files(spark, folder)).select("guid", "frame_num", "image_id", "bindings")
+
+
 # =========================================================================== frame images
 def _page_frames(spark, sf) -> str:
     """Every page's html as the bytes of a frame image file."""
