@@ -49,6 +49,14 @@ def write_boxes(boxes: DataFrame, path: str) -> None:
      .write.parquet(path))
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys=("guid", "frame_num")) -> DataFrame:
+    """``df`` as a table bucketed and sorted by (guid, frame), one file a bucket, so that tables of
+    equal bucket numbers join without an exchange. The hash covers the frame too: a long guid is
+    spread over all buckets. Returns the table."""
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def boxes_for_frames(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Inner equi join of frames with their boxes on (guid, frame_num)."""
     return frames.join(boxes, ["guid", "frame_num"], "inner")

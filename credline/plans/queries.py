@@ -6,7 +6,9 @@ returns a DataFrame whose columns are named exactly like the oracle's.
 
 from __future__ import annotations
 
+import functools
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,7 @@ from credline.sources.csv_split import read_csv_checked
 from credline.sources.files import list_frames, read_path_dim, write_frames
 from credline.streaming.bounded import adjudication_state_bounded, review_state_bounded
 from credline.streaming.incremental import stage_hop
+from credline.streaming.progress import progress_stream, progress_table
 from credline.streaming.state import adjudication_state_stream, review_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1040,6 +1043,25 @@ def _gold_view(gold: DataFrame) -> DataFrame:
                        F.when(F.size("bindings") > 0, F.array_join(pairs, ";")).alias("bindings"))
 
 
+@register("q_gold_quarantine", O.with_views(["v_credits"], """
+select cast(guid as varchar) || '.' || frame_num as image_id,
+       case frame_num % 4 when 1 then 'no JSON object' when 2 then 'wrong kind: ' || role when 3 then 'wrong kind: _note' end as fault
+from v_credits"""))
+def q_gold_quarantine(spark, sf):
+    """Gold records as text, some cut off, some with a role that is no list or a meta key that is no
+    string: each is told with its reason."""
+    c = V.v_credits(spark, sf)
+    image = F.concat(F.col("guid").cast("string"), F.lit("."), F.col("frame_num").cast("string"))
+    text, names = F.to_json(F.array("filler")), F.concat(F.lit('","_note":"'), image, F.lit('"}'))
+    role = F.when(F.col("frame_num") % 4 == 2, F.lit('"one"')).otherwise(text)
+    head = F.concat(F.lit('{"'), F.col("role"), F.lit('":'), role, F.lit(',"_image_id":"'), image)
+    value = (F.when(F.col("frame_num") % 4 == 1, F.concat(F.lit('"'), F.col("role")))
+             .when(F.col("frame_num") % 4 == 3, F.concat(head, F.lit('","_note":["x"]}'))).otherwise(F.concat(head, names)))
+    path = scratch_path(spark, "gold-bad")
+    c.select(image.alias("image_id"), value.alias("value")).write.parquet(path)
+    return spark.read.parquet(path).select("image_id", AJ.gold_faults(F.col("value")).alias("fault"))
+
+
 @register("q_gold_upsert", O.with_views(["v_frames"], f"""
 , p as (select guid, frame_num, role, skip_reason, annotated,
                max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as chain_start from v_frames)
@@ -1175,6 +1197,17 @@ def q_box_join(spark, sf):
     return boxes.boxes_for_frames(f, stored).select("guid", "frame_num", "box_idx", "x0")
 
 
+@register("q_box_bucketed", ORACLE["q_box_join"])
+def q_box_bucketed(spark, sf):
+    """Boxes and frames as tables bucketed by (guid, frame): their join moves neither."""
+    f = V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("guid"), F.col("l_linenumber").cast("long").alias("frame_num")).distinct()
+    run = uuid.uuid4().hex
+    a, b = (boxes.write_bucketed(df, f"{name}_{run}", scratch_path(spark, f"bucketed-{name}"), 16)
+            for name, df in (("frames", f), ("boxes", V.v_box(spark, sf))))
+    return boxes.boxes_for_frames(a, b).select("guid", "frame_num", "box_idx", "x0")
+
+
 # =========================================================================== streams
 _EVENT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("seq", T.LongType()),
                               T.StructField("action", T.StringType()), T.StructField("payload", T.StringType())])
@@ -1346,15 +1379,20 @@ def q_resume_point(spark, sf):
 with d as (select doc_id, text, n_chars,
                   [cast(n_chars % 7 as double)/10.0, cast(doc_id % 4 as double)/10.0,
                    cast(n_chars % 5 as double)/10.0, cast(n_chars % 3 as double)/10.0] as s
-           from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0)
-, r as (select ['I','N','C','S'][list_position(s, list_max(s))] as scene_code,
+           , source from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0)
+, r as (select doc_id, 'cpb-aacip-' || source as guid, doc_id * 1000 as time_point,
+               ['I','N','C','S'][list_position(s, list_max(s))] as scene_code, list_max(s) as confidence,
                {O.strip("case when doc_id % 3 = 0 then text else '[v2] ' || text end")} as textdocument from d)
-select distinct textdocument from r where {O.label('scene_code')} is not null""")
+, i as (select row_number() over (order by doc_id) - 1 as row_id, *, {O.label('scene_code')} as scene_label from r
+        where {O.label('scene_code')} is not null)
+select row_id, guid, time_point, scene_label, confidence, textdocument from i
+where row_id in (select min(row_id) from i group by textdocument)""")
 def q_pip_batch(spark, sf):
-    """Batch building from annotation JSON: one row per different text."""
+    """Batch building from annotation JSON: of rows with equal text the first stays, with all its
+    fields."""
     path = scratch_path(spark, "json")
-    _annotation_json(spark, sf).select("value").write.text(path)
-    return flows.build_batch(spark, path, one_per_file=False).select("textdocument")
+    _annotation_json(spark, sf).repartitionByRange("doc_key").sortWithinPartitions("doc_key").select("value").write.text(path)
+    return flows.build_batch(spark, path, one_per_file=False)
 
 
 _PIP_REVIEW_SQL = _REVIEW_FOLD_SQL + f"""
@@ -1396,23 +1434,94 @@ def q_pip_adjudicate(spark, sf):
     return flows.adjudicate_batch(_tagged_rows(spark, sf), V.v_adjudication_events(spark, sf))[1]
 
 
-@register("q_pip_gold", O.with_views(["v_timeframes", "v_frames"], f"""
+@register("q_pip_checks", O.with_views(["v_mapped", "v_tagged", "v_adjudication_events"], _ADJUDICATED_SQL.lstrip()
+          + ", edited as (select row_id as doc_id, cleaned_text, tagged from t)" + _PARSE_SQL.replace("v_tagged", "edited") + f"""
+select doc_id as row_id, parse_error,
+       {O.tokens("regexp_replace(tagged, '@.*? |@.*$', ' ', 'g')")} = {O.tokens('cleaned_text')} as verbatim_ok
+from errs join edited using (doc_id)"""))
+def q_pip_checks(spark, sf):
+    """Adjudication: the checks of each row's last text, tags that do not parse and words that were
+    changed."""
+    return flows.adjudicate_batch(_tagged_rows(spark, sf), V.v_adjudication_events(spark, sf))[0]
+
+
+# annotations of the gold flow: every third frame goes on with the one before
+_GOLD_FLOW_SQL = """
+, a as (select *, annotated and frame_num % 3 = 0 as continuing, 'f ' || frame_num as filler from v_frames)
+, bx as (select 'cpb-aacip-' || (l_suppkey % 100) as guid, (l_orderkey * 10) % 900 + 15 * l_linenumber as frame_num, l_partkey as box_idx from lineitem)
+, pl as (select cast(guid as varchar) as guid, frame_num // 8 as frame, frame_num as seq,
+                case when frame_num % 7 = 6 then 'delete' else 'add' end as action, role,
+                case when frame_num % 5 = 4 then '' else filler end as fillers from v_credits)"""
+
+
+@register("q_pip_gold", O.with_views(["v_timeframes", "v_frames", "v_credits"], _GOLD_FLOW_SQL.lstrip() + f"""
 , s as (select distinct guid, frame_num from (select guid, unnest(range(start_frame, end_frame, 15)) as frame_num from v_timeframes))
 , td as (select guid, frame_num from s where (guid, frame_num) not in (select (guid, frame_num) from v_frames))
-, p as (select guid, frame_num, skip_reason,
-               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as source_frame from v_frames)
-select 'todo' as part, guid, frame_num, null::bigint as other from td
-union all select 'next', guid, coalesce((select min(frame_num) from td where td.guid = g.guid), max(frame_num)), count(*)
+, p as (select guid, frame_num, skip_reason, role, filler,
+               max(case when annotated and skip_reason is null then frame_num end) over ({_PREV_W}) as source_frame,
+               max(case when not continuing then frame_num end) over (
+                 partition by guid order by frame_num rows between unbounded preceding and current row) as chain_start from a)
+, ch as (select *, row_number() over (partition by guid, chain_start order by frame_num) - 1 as place from p where chain_start is not null)
+, n as (select guid, count(*) as n_total from s group by guid)
+, dn as (select guid, count(*) as n_done from v_frames group by guid)
+, st as (select guid, frame, role, max(case when action = 'delete' or fillers = '' then seq end) as rs,
+                max(case when action = 'delete' then seq end) as dl, max(case when action = 'add' then seq end) as ad
+         from pl group by all)
+, kept as (select pl.guid, pl.frame, pl.role, pl.seq, list_transform(string_split(pl.fillers, chr(10)), lambda x: {O.strip('x')}) as f
+           from pl join st using (guid, frame, role)
+           where action = 'add' and fillers <> '' and (dl is null or ad > dl) and (rs is null or seq > rs))
+select 'todo' as part, guid, frame_num, null::bigint as other, null as text from td
+union all select 'next', guid, coalesce((select min(frame_num) from td where td.guid = g.guid), max(frame_num)), count(*), null
   from s g group by guid
-union all select 'duplicate', guid, frame_num, source_frame from p where skip_reason = 'DUPLICATE'""".lstrip()))
+union all select 'duplicate', guid, frame_num, source_frame, null from p where skip_reason = 'DUPLICATE'
+union all select 'progress', guid, coalesce(n_done, 0), coalesce(n_total, 0), coalesce(n_done, 0) || '/' || coalesce(n_total, 0)
+  from n full join dn using (guid)
+union all select 'chain', guid, frame_num, chain_start, place || ':' || role || '=' || filler from ch
+union all select 'binding', guid, frame, seq, role || '=' || unnest(f) from kept
+union all select 'binding', guid, frame, null, role from st where ad is not null and (dl is null or ad > dl)
+  and not exists (select 1 from kept k where k.guid = st.guid and k.frame = st.frame and k.role = st.role)
+union all select 'box', s.guid, s.frame_num, box_idx, null from s join bx using (guid, frame_num)""".lstrip()))
 def q_pip_gold(spark, sf):
-    """Gold annotation: sampled frames still to do, each guid's next frame, sources of
-    duplicates."""
-    tf = V.v_timeframes(spark, sf)
-    out = flows.gold_frames(tf, V.v_frames(spark, sf))
-    none = F.lit(None).cast("long")
-    return (out["todo"].select(F.lit("todo").alias("part"), "guid", "frame_num", none.alias("other"))
-            .unionByName(out["next"].select(F.lit("next").alias("part"), "guid", F.col("next_frame").alias("frame_num"),
-                                            F.col("n_total").alias("other")))
-            .unionByName(out["duplicates"].select(F.lit("duplicate").alias("part"), "guid", "frame_num",
-                                                  F.col("source_frame").alias("other"))))
+    """Gold annotation: sampled frames still to do, each guid's next frame and progress, sources of
+    duplicates, continuation chains with their bindings, bindings folded from the pair log, boxes
+    of the sampled frames."""
+    c = F.col
+    ann = V.v_frames(spark, sf).withColumns({
+        "continuing": c("annotated") & (c("frame_num") % 3 == 0), "filler": F.concat(F.lit("f "), c("frame_num").cast("string"))})
+    log = _pair_log(spark, sf).withColumnRenamed("frame", "frame_num").withColumn("guid", c("guid").cast("string"))
+    bx = V.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("cpb-aacip-"), (c("l_suppkey") % 100).cast("string")).alias("guid"),
+        ((c("l_orderkey") * 10) % 900 + 15 * c("l_linenumber")).cast("long").alias("frame_num"), c("l_partkey").alias("box_idx"))
+    out = flows.gold_frames(V.v_timeframes(spark, sf), ann, log, bx)
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    part = lambda name, key, frame, other, t=text: out[key].select(
+        F.lit(name).alias("part"), "guid", c(frame).alias("frame_num"), other.alias("other"), t.alias("text"))
+    pair = F.concat_ws("=", "role", "filler")
+    parts = [part("todo", "todo", "frame_num", none), part("next", "next", "next_frame", c("n_total")),
+             part("duplicate", "duplicates", "frame_num", c("source_frame")), part("progress", "progress", "n_done", c("n_total"), c("progress")),
+             part("chain", "chains", "frame_num", c("chain_start"), F.concat(c("place").cast("string"), F.lit(":"), pair)),
+             part("binding", "bindings", "frame_num", c("seq"), pair), part("box", "boxes", "frame_num", c("box_idx"))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@register("q_live_progress", O.with_views(["v_frames"], """
+, t as (select guid, count(*) as n_total from v_frames group by guid)
+, d as (select drop_no, guid, count(*) as n_done from v_frames, (values (1), (2)) v(drop_no)
+        where annotated and (drop_no = 2 or frame_num % 2 = 0) group by drop_no, guid)
+select drop_no, t.guid, coalesce(n_done, 0) as n_done, n_total, coalesce(n_done, 0) || '/' || n_total as progress
+from t cross join (values (1), (2)) v(drop_no) left join d using (drop_no, guid)""".lstrip()))
+def q_live_progress(spark, sf):
+    """The progress table after each of two drops of saves, the second with saves of the first again:
+    equal to the batch table each time."""
+    f = V.v_frames(spark, sf)
+    base, saved = scratch_path(spark, "live"), f.filter("annotated").select("guid", "frame_num")
+    out = []
+    for i, drop in enumerate((saved.filter("frame_num % 2 = 0"), saved.filter("frame_num % 2 <> 0 or frame_num % 10 = 0")), 1):
+        drop.write.parquet(f"{base}/src/drop{i}")
+        stream = spark.readStream.schema(drop.schema).option("recursiveFileLookup", "true").parquet(f"{base}/src")
+        (progress_stream(stream, f).writeStream.outputMode("update").option("checkpointLocation", f"{base}/ckpt")
+         .foreachBatch(lambda df, b: df.withColumn("batch_id", F.lit(b)).write.mode("append").parquet(f"{base}/sink"))
+         .trigger(availableNow=True).start().awaitTermination())
+        table = progress_table(spark.read.parquet(f"{base}/sink"), f).withColumn("drop_no", F.lit(i))
+        out.append(materialize(table, "progress"))  # two reads of one folder are one to the planner
+    return out[0].unionByName(out[1])

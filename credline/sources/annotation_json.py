@@ -30,14 +30,16 @@ def read_annotation_docs(spark: SparkSession, path: str, one_per_file: bool = Tr
     ``_corrupt``).
 
     ``file`` is the key that scopes annotation ids: the file path when every file holds
-    one document, else the path plus the line's generated id (stable once the flattened
-    table is written by ``materialize_annotations``).
+    one document, else the path plus the place of the line, padded so that keys sort in the
+    order of the lines (stable once the flattened table is written by
+    ``materialize_annotations``).
     """
     df = (spark.read.schema(ANNOTATION_DOC).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", one_per_file)
           .json(path))
     key = (F.col("_metadata.file_path") if one_per_file else
-           F.concat_ws("#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))
+           F.concat_ws("#", F.col("_metadata.file_path"), *[F.lpad(c.cast("string"), 20, "0") for c in (
+               F.col("_metadata.file_block_start"), F.monotonically_increasing_id())]))
     return df.select(key.alias("file"), "documents", "views", CORRUPT)
 
 
@@ -111,21 +113,35 @@ def ocr_rows(anns: DataFrame, keep_unresolved: bool = False) -> DataFrame:
 def encode_gold(bindings: Column, meta: Column) -> Column:
     """One flat JSON object holding role keys (lists of fillers) and ``_`` meta keys
     (strings)."""
-    b = F.to_json(bindings)
-    m = F.to_json(meta)
-    b_body = F.regexp_replace(b, r"^\{|\}$", "")
-    m_body = F.regexp_replace(m, r"^\{|\}$", "")
-    sep = F.when((b_body != "") & (m_body != ""), F.lit(",")).otherwise(F.lit(""))
-    return F.concat(F.lit("{"), b_body, sep, m_body, F.lit("}"))
+    both = F.map_concat(*[F.transform_values(m, lambda k, v: v.cast("variant")) for m in (bindings, meta)])
+    return F.to_json(both)
+
+
+def _gold_entries(value: Column) -> Column:
+    """The record as map<string,variant>: parsed once, values of either kind keep theirs."""
+    return F.from_json(value, "map<string,variant>")
 
 
 def parse_gold(value: Column) -> tuple[Column, Column]:
     """(bindings map<string,array<string>>, meta map<string,string>) of a gold record;
-    keys starting with ``_`` are meta keys."""
-    m = F.from_json(value, "map<string,string>")
+    keys starting with ``_`` are meta keys. A value of another kind is NULL (see
+    ``gold_faults``)."""
+    m = _gold_entries(value)
     roles = F.map_filter(m, lambda k, v: ~k.startswith("_"))
     meta = F.map_filter(m, lambda k, v: k.startswith("_"))
-    return F.transform_values(roles, lambda k, v: F.from_json(v, "array<string>")), meta
+    return (F.transform_values(roles, lambda k, v: F.try_variant_get(v, "$", "array<string>")),
+            F.transform_values(meta, lambda k, v: F.try_variant_get(v, "$", "string")))
+
+
+def gold_faults(value: Column) -> Column:
+    """Why a text is no gold record: ``no JSON object``, or the keys whose values are of the wrong
+    kind (a role needs a list of strings, a meta key a string); NULL for a good one."""
+    m = _gold_entries(value)
+    kind = lambda v: F.schema_of_variant(v)
+    wrong = F.map_filter(m, lambda k, v: F.when(k.startswith("_"), kind(v) != "STRING").otherwise(
+        ~kind(v).isin("ARRAY<STRING>", "ARRAY<VOID>")))
+    keys = F.array_join(F.array_sort(F.map_keys(wrong)), ",")
+    return F.when(m.isNull(), F.lit("no JSON object")).when(keys != "", F.concat(F.lit("wrong kind: "), keys))
 
 
 def _latest_gold(records: DataFrame, seq: str) -> DataFrame:

@@ -45,3 +45,25 @@ def test_stage_filter_prunes_folders(spark, tmp_path):
     assert sorted(r.row_id for r in got.collect()) == [2, 3]
     plan = _plan(got)
     assert "(stage#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    from credline.plans.queries import QUERIES
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["q_box_bucketed"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" in plan and "Exchange" not in plan
+
+
+def test_spread_deals_texts_by_the_callers_setting(spark):
+    from credline.plans import views as V
+    assert "Exchange" not in V.documents(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(V.SPREAD, "5")
+    try:
+        plan = V.documents(spark, SF001).select("doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(V.SPREAD)
+    assert "hashpartitioning(doc_id" in plan and ", 5)" in plan and "n_chars" not in plan.split("ReadSchema")[-1]
