@@ -2,9 +2,9 @@
 
 One pass over the texts finds the base spans (patterns below) and further bare tokens that
 look random. Every candidate value is hashed; the hashes are counted over the whole corpus by
-distinct repositories and owners. A value that many owners hold is a widely copied example; a
-value of one owner only, which looks live (long, mixed, high entropy, no placeholder), is an
-owner-specific credential. Bare tokens of the second kind that no base span touches become
+distinct repositories and owners. A value that many owners or many repositories hold is a widely
+copied example, also where one owner has all of these; a value of one owner and few repositories,
+which looks live (long, mixed, high entropy, no placeholder), is an owner-specific credential. Bare tokens of the second kind that no base span touches become
 further spans (kind ``owned``); the base spans always stay.
 
 Here ``source`` is the owner and the document the repository; both are parameters. Values are
@@ -12,7 +12,7 @@ kept as SHA-256 digests only. Shuffled are (hash, owner, repository) keys, reduc
 candidate positions, salted against a hash that a third of all documents hold; no text moves.
 
 Defined results: a null text is empty and has no spans; a null owner counts as one owner of its
-own; a null id is kept; repeated rows are repositories of their own, unless ``repo_col`` says
+own, not with the empty one; a null id is kept; repeated rows are repositories of their own, unless ``repo_col`` says
 otherwise; other columns are ignored; an empty table gives no rows.
 """
 
@@ -38,6 +38,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 BARE = r"[A-Za-z0-9+_=-]{20,}"
 ENTROPY = 3.5
 WIDE_OWNERS = 3
+WIDE_REPOS = 20
 SALT = 8
 
 _assign = re.compile(ASSIGN, re.I | re.A).finditer
@@ -102,7 +103,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                 cands = [{"start": a, "stop": b, "kind": k, "hash": hashlib.sha256(v.encode()).digest(), "live": looks_live(v)}
                          for a, k, b, v in base + bare_tokens(text, base)]
                 n = [sum(s[1] == k for s in base) for k in range(3)]
-                rows.append({"rid": rid, "doc_id": doc, "owner": owner or "", "repo": repo if repo is not None else str(rid),
+                rows.append({"rid": rid, "doc_id": doc, "owner": "" if owner is None else f"={owner}", "repo": repo if repo is not None else str(rid),
                              "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base": spans_text(base), "cands": cands})
                 rid += 1
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -125,7 +126,8 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str | None = None, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+         repo_col: str | None = None, wide_owners: int = WIDE_OWNERS,
+         wide_repos: int = WIDE_REPOS) -> DataFrame:
     """Per row: base counts, base and all spans, and how many of its values are widely copied
     examples or live-looking values of one owner."""
     found = stored(find(docs, id_col, text_col, owner_col, repo_col), "secrets")
@@ -133,8 +135,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     seen = ownership(cands).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     judged = (cands.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALT)).cast("int"))
               .join(seen, ["hash", "salt"])
-              .withColumn("wide", F.col("owners") >= wide_owners)
-              .withColumn("specific", (F.col("owners") == 1) & F.col("live"))
+              .withColumn("wide", (F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos))
+              .withColumn("specific", (F.col("owners") == 1) & ~F.col("wide") & F.col("live"))
               .filter((F.col("kind") < 3) | F.col("specific")))
     span = F.struct("start", "kind", "stop")
     per = judged.groupBy("rid").agg(
@@ -169,7 +171,7 @@ _LIVE = f"""length(value) >= 12 and regexp_matches(value, '[0-9]') and regexp_ma
   and not regexp_matches(lower(value), '{"|".join(f"[{c}]{{5}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-")}')
   and list_entropy(list_transform(range(1, length(value) + 1), lambda i: value[i])) >= least(3.5, 0.8 * log2(length(value)))"""
 OP1_SQL = f"""
-with d as (select row_number() over () as rid, doc_id, coalesce(source, '') as owner, coalesce(text, '') as t from documents),
+with d as (select row_number() over () as rid, doc_id, coalesce('=' || source, '') as owner, coalesce(text, '') as t from documents),
 b as ({_sql_matches(0, _A + "[A-Za-z0-9+/_.=-]+", _V, f"length({_V}) >= 12")}
   union all {_sql_matches(1, "AKIA[A-Z0-9]{14,}", "m", "true")}
   union all {_sql_matches(2, "[0-9a-f]{16,}", "m", "true")}),
@@ -178,8 +180,9 @@ c as (select * from b union all
   select * from w where not exists (select 1 from b where b.rid = w.rid and b.start < w.stop and b.stop > w.start)),
 l as (select *, {_LIVE} as live from c),
 k as (select * from l where kind < 3 or live),
-o as (select value, count(distinct owner) as owners from k group by value),
-j as (select k.*, owners >= {WIDE_OWNERS} as wide, owners = 1 and live as specific from k join o using (value)),
+o as (select value, count(distinct owner) as owners, count(distinct rid) as repos from k group by value),
+j as (select k.*, owners >= {WIDE_OWNERS} or repos >= {WIDE_REPOS} as wide, owners = 1 and repos < {WIDE_REPOS} and live as specific
+  from k join o using (value)),
 p as (
   select rid, sum((kind = 0)::int)::bigint as n_assign, sum((kind = 1)::int)::bigint as n_access, sum((kind = 2)::int)::bigint as n_hex,
     string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < 3) as base,

@@ -46,5 +46,17 @@ def test_ownership_separates_examples_from_owned(spark):
     assert {(r["n_copied"], r["n_owned"]) for r in S.scan(many).collect()} == {(1, 0)}
 
 
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    """Both counts decide: a value in 500 documents of one owner is copied, one in a few is owned; a
+    null owner and an empty one are two."""
+    value, few = "q8Zx0Lk3Wv7Tn2Bm5Rd9", "k3Vb8Qn1Xc6Zl0Mp4Js7"
+    rows = [(i, f"use {value} now, token={value}", "one") for i in range(500)] + [(1000 + i, f"use {few} now", "one") for i in range(S.WIDE_REPOS - 1)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r["n_copied"], r["n_owned"], r["spans"]) for r in got if r["doc_id"] < 500} == {(1, 0, "assign:30:56")}
+    assert {(r["n_copied"], r["n_owned"], r["spans"]) for r in got if r["doc_id"] >= 1000} == {(0, 1, "owned:4:24")}
+    two = spark.createDataFrame([(1, f"use {few}", None), (2, f"use {few}", "")], "doc_id long, text string, source string")
+    assert {r["n_owned"] for r in S.scan(two).collect()} == {0}
+
+
 def test_empty_table(empty):
     assert S.scan(empty).count() == 0
