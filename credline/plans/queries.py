@@ -32,6 +32,7 @@ from credline.sources.files import list_frames, read_path_dim, write_frames
 from credline.streaming.bounded import adjudication_state_bounded, review_state_bounded
 from credline.streaming.incremental import stage_hop
 from credline.streaming.progress import progress_stream, progress_table
+from credline.streaming.session import LOG, ignored_events, last_records, replay_sessions
 from credline.streaming.state import adjudication_state_stream, review_state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1525,3 +1526,104 @@ def q_live_progress(spark, sf):
         table = progress_table(spark.read.parquet(f"{base}/sink"), f).withColumn("drop_no", F.lit(i))
         out.append(materialize(table, "progress"))  # two reads of one folder are one to the planner
     return out[0].unionByName(out[1])
+
+
+# A session log: ten conversations make up a video, two turns a frame, four actions a turn.
+_SESSION_SQL = f"""
+, turns as (select guid // 10 as video, (guid % 10) * 8 + frame_num as t, role, filler from v_credits)
+, log as (select 'video' || cast(video as varchar) as guid, t * 4 + p as seq, t // 2 as frame_num,
+       case p when 0 then 'fill' when 1 then 'fill' when 2 then case when t % 3 = 2 then 'copy' else 'add' end
+              else case when t % 7 in (0, 1) then 'next' when t % 7 in (2, 6) then 'cont' when t % 7 = 3 then 'skip'
+                        when t % 7 = 4 then 'delete' else 'copy' end end as action,
+       case p when 0 then 'role' when 1 then 'fillers' when 3 then case when t % 7 = 4 then role else '' end else '' end as name,
+       case p when 0 then role when 1 then filler
+              when 3 then case when t % 7 = 3 and t % 2 = 1 then 'DUPLICATE' else '' end else '' end as value
+  from turns, (select unnest([0, 1, 2, 3]) as p))
+, ev as (select * replace (coalesce(name, '') as name, coalesce(value, '') as value), row_number() over (partition by guid order by seq) as n
+  from (select * from log qualify row_number() over (partition by guid, seq order by name, value) = 1))
+, steps as (
+  select guid, cast(0 as bigint) as n, cast(map {{}} as map(varchar, varchar[])) as roles, '' as sr, '' as sf, cast(null as bigint) as chain,
+         cast(map {{}} as map(bigint, map(varchar, varchar[]))) as saved, cast(null as bigint) as frame_num, cast(null as bigint) as seq,
+         cast(null as bigint) as continued_from, cast(null as varchar) as skip_reason, false as wrote, cast(map {{}} as map(varchar, varchar[])) as rec
+  from (select distinct guid from ev)
+  union all
+  select guid, n,
+         case when save then map {{}}
+              when action = 'delete' then map_from_entries(list_filter(map_entries(roles), lambda e: e.key <> name))
+              when action = 'copy' and near is not null then map_concat(roles, saved[near]) else roles end,
+         sr, sf, case when save and action = 'next' then frame_num else chain end,
+         case when save then map_concat(saved, map {{frame_num: roles}})
+              when skip then map_from_entries(list_filter(map_entries(saved), lambda e: e.key <> frame_num)) else saved end,
+         frame_num, seq, case when save and action = 'cont' then chain end, case when skip then value end, save or skip,
+         case when save then roles else map {{}} end
+  from (select *, action in ('next', 'cont') and cardinality(roles) > 0 and (action = 'next' or chain is not null) as save,
+               action = 'skip' and value <> '' as skip, list_max(list_filter(map_keys(saved), lambda f: f < frame_num)) as near
+    from (select r.guid, e.n, e.seq, e.frame_num, e.action, e.name, e.value, r.chain, r.saved,
+                 case when not adds or (r.sr = '' and r.sf = '') then r.roles
+                      when r.sf = '' then map_concat(r.roles, map {{r.sr: cast([] as varchar[])}})
+                      else map_concat(r.roles, map {{r.sr: list_concat(coalesce(r.roles[r.sr], []),
+                           list_transform(string_split(r.sf, chr(10)), lambda x: {O.strip('x')}))}}) end as roles,
+                 case when adds then '' when e.action = 'fill' and e.name = 'role' then concat_ws(' ', nullif(r.sr, ''), e.value) else r.sr end as sr,
+                 case when adds then '' when e.action = 'fill' and e.name = 'fillers' then concat_ws(' ', nullif(r.sf, ''), e.value) else r.sf end as sf
+          from steps r join (select *, action in ('add', 'next', 'cont') as adds from ev) e on e.guid = r.guid and e.n = r.n + 1)))
+, last as (select * from steps where wrote qualify row_number() over (partition by guid, frame_num order by seq desc) = 1)"""
+
+
+def _session_log(spark, sf) -> DataFrame:
+    c = V.v_credits(spark, sf)
+    t = (F.col("guid") % 10) * 8 + F.col("frame_num")
+    pick = F.col("t") % 7
+    move = (F.when(pick.isin(0, 1), "next").when(pick.isin(2, 6), "cont").when(pick == 3, "skip").when(pick == 4, "delete").otherwise("copy"))
+    does = lambda p, action, name, value: F.struct(F.lit(p).alias("p"), action.alias("action"), name.alias("name"), value.alias("value"))
+    none = F.lit("")
+    acts = F.array(does(0, F.lit("fill"), F.lit("role"), F.col("role")), does(1, F.lit("fill"), F.lit("fillers"), F.col("filler")),
+                   does(2, F.when(F.col("t") % 3 == 2, "copy").otherwise("add"), none, none),
+                   does(3, move, F.when(pick == 4, F.col("role")).otherwise(none),
+                        F.when((pick == 3) & (F.col("t") % 2 == 1), "DUPLICATE").otherwise(none)))
+    rows = c.select(F.floor(F.col("guid") / 10).alias("video"), t.alias("t"), "role", "filler").select("video", "t", F.explode(acts).alias("a"))
+    return rows.select(F.concat(F.lit("video"), F.col("video").cast("string")).alias("guid"), (F.col("t") * 4 + F.col("a.p")).cast("long").alias("seq"),
+                       F.floor(F.col("t") / 2).alias("frame_num"), "a.action", "a.name", "a.value")
+
+
+def _session_records(spark, sf) -> DataFrame:
+    """The log in two drops, one ``availableNow`` pass each; the second brings every seventh
+    event of the first again."""
+    base = scratch_path(spark, "sessions")
+    log = materialize(_session_log(spark, sf), "session-log")
+    h = log.agg(F.floor((F.coalesce(F.max("seq"), F.lit(0)) + 1) / 2)).first()[0]
+    first = F.col("seq") < h
+    for i, drop in enumerate((first, ~first | (F.col("seq") % 7 == 0))):
+        log.filter(drop).write.parquet(f"{base}/src/drop{i}")
+        stream = (spark.readStream.schema(LOG).option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", "*.parquet").parquet(f"{base}/src"))
+        q = (replay_sessions(stream).writeStream.outputMode("update").option("checkpointLocation", f"{base}/ckpt")
+             .foreachBatch(lambda df, b: df.write.mode("append").parquet(f"{base}/sink")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")
+
+
+def _with_recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@register("q_session_replay", _with_recursive(O.with_views(["v_credits"], _SESSION_SQL.lstrip() + """
+, own as (select guid, frame_num, seq, continued_from, skip_reason, unnest(case when cardinality(rec) = 0 then [null] else map_entries(rec) end) as b
+          from last)
+, long as (select *, unnest(case when b is null or len(b.value) = 0 then [0] else generate_series(0, len(b.value) - 1) end) as place from own)
+select guid, frame_num, seq, continued_from, skip_reason, b.key as role,
+       case when b is not null and len(b.value) > 0 then cast(place as bigint) end as place, b.value[place + 1] as filler from long""")))
+def q_session_replay(spark, sf):
+    """Annotation sessions replayed in order (slots, pairs, resets, deletes, copies, skips, saves,
+    continuations), each frame's last record in long form."""
+    last = last_records(_session_records(spark, sf))
+    roles = last.select("guid", "frame_num", "seq", "continued_from", "skip_reason", F.explode_outer("bindings").alias("b"))
+    return roles.select("guid", "frame_num", "seq", "continued_from", "skip_reason", F.col("b.role").alias("role"),
+                        F.posexplode_outer("b.fillers").alias("place", "filler")).withColumn("place", F.col("place").cast("long"))
+
+
+@register("q_session_ignored", _with_recursive(O.with_views(["v_credits"], _SESSION_SQL[:_SESSION_SQL.index(", steps as")].lstrip() + """
+, half as (select (max(seq) + 1) // 2 as h from ev)
+select guid, count(*) filter (where seq < h and seq % 7 = 0) as n_ignored from ev, half group by guid""")))
+def q_session_ignored(spark, sf):
+    """Events of each session that came again and were not applied a second time."""
+    return ignored_events(_session_records(spark, sf)).select("guid", "n_ignored")
