@@ -65,6 +65,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
+def wide_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit row key for results that change or drop the row they find again: equal for rows of
+    equal id and text; others do not meet by chance in any table that can be stored."""
+    text = F.col(text_col).cast("string")
+    marked = F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), text))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), marked).cast("binary")))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

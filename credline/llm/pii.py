@@ -1,32 +1,36 @@
 """Personal data: base patterns plus information-theoretic sanitisation, in DataFrame
 operations only.
 
-Base spans (patterns below) name protected entities. The words around each occurrence of an
-entity (``CONTEXT`` characters to both sides) are its context terms. Over all documents, for a
-term t and an entity e:
+Base spans (patterns below) name protected entities. Over all documents, for a term t (a word
+outside base spans) and an entity e:
 
-* disclosure(t, e) = documents with t in a context of e / documents that contain t anywhere,
-  an estimate of P(e | t);
+* disclosure(t, e) = documents that hold both / documents that contain t, an estimate of P(e | t);
 * bits(t, e) = log2(P(e | t) / P(e)), the information t gives away about e.
 
-A pair seen in at least ``SUPPORT`` different contexts, with disclosure of ``GENERALISE`` or
-more and at least ``BITS`` bits, gives e away even where e itself is blanked, and most of all where e does not
-stand. Such terms become further spans (kind ``term``) wherever they stand as whole words
+A pair that at least ``SUPPORT`` differing documents hold, with disclosure of ``GENERALISE`` or more
+and at least ``BITS`` bits, gives e away even where e itself is blanked, and most of all where e does
+not stand. Such terms become further spans (kind ``term``) wherever they stand as whole words
 outside base spans, in every document; the sanitised text removes those whose largest disclosure
 is ``REMOVE`` or more and writes a general mark for the others. Base spans always stay.
-Co-occurrence is counted within ``CONTEXT`` characters: a term that stands further from e in all
-of its documents is no candidate.
 
-Corpus counts are taken in two steps: contexts first (few rows), whose pair counts bound the
-disclosure from above; the words of the whole corpus are then counted only for terms that can
-still pass (broadcast after a check of their number; beyond it the join shuffles words already
-made distinct per document). A second pass finds the documents that hold a passing term, in the same
-way, and only their texts are searched for the places. Entities and terms travel as pre-aggregated counts, so an address
-in a third of all documents is no hot group. Equal contexts (copies) count as one towards
-``SUPPORT``; equal rows count as one document.
+Co-occurrence is counted over whole documents, however far t stands from e. Copies count as one
+towards ``SUPPORT``: documents differ, as to e, by the ``CONTEXT`` characters to both sides of e (of
+several occurrences the text that sorts first). Equal rows count as one document.
+
+Corpus counts are taken in steps, each on what can still pass. Entities come first: one in fewer
+than ``SUPPORT`` differing documents, or in so many that no term can carry ``BITS`` bits about it (an
+address in a third of all documents), is out before any pair is formed. Then the words of the
+documents that hold one of the others are paired with these and counted with partial aggregates;
+their counts there bound the disclosure from above. The words of the whole corpus are looked up
+only for terms that can still pass (broadcast after a check of their number; beyond it the join
+shuffles words already made distinct per document), once for the counts and the places. Only texts
+with a passing term are searched for the places. A document pairs its own words with its own
+entities, which a very long list of addresses makes many; rows of a text find it again by 128 bits.
 
 Defined results: a null text is empty and has no spans; a null id is kept; repeated rows give
-equal rows; other columns are ignored; an empty table gives no rows.
+equal rows; other columns are ignored; an empty table gives no rows. Spans that
+start together go by kind; a term of equal disclosure for several entities is one span. Very long
+texts are searched whole.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credline.llm.common import free_name, register, row_key, stored, table
+from credline.llm.common import free_name, register, stored, table, wide_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Where a pattern can only begin at the start of a run, (?<!..) says so,
@@ -90,25 +94,13 @@ def base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     return found.drop(*[k for cols, _ in parts for k in cols])
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """k, e, c, term, start, stop: the context terms of every span of ``found`` (k, text,
-    spans), with their places in the text."""
-    around = F.transform("spans", lambda s: F.struct(
-        F.sha2(F.lower(s["value"]).cast("binary"), 256).alias("e"), F.greatest(s["start"] - CONTEXT, F.lit(0)).alias("from"),
-        F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1,
-                    s["stop"] + CONTEXT - F.greatest(s["start"] - CONTEXT, F.lit(0))).alias("ctx")))
-    rows = (found.filter(F.size("spans") > 0)
-            .select("k", F.length("text").alias("n"), F.transform("spans", lambda s: F.struct(s["start"], s["stop"])).alias("taken"),
-                    F.explode(around).alias("a")).select("k", "n", "taken", "a.*"))
-    cols, terms = _spans("ctx", TERM, 4, F.lit(True), lambda m: F.lit(True))
-    rows = rows.withColumns(cols).select("k", "n", "taken", "e", "from", F.length("ctx").alias("len"),
-                                         F.xxhash64("ctx").alias("c"), F.explode(terms).alias("t"))
-    start, stop = F.col("from") + F.col("t.start"), F.col("from") + F.col("t.stop")
-    # words cut by an end of the context are not words of the text
-    whole = ((F.col("t.start") > 0) | (F.col("from") == 0)) & ((F.col("t.stop") < F.col("len")) | (F.col("from") + F.col("len") == F.col("n")))
-    rows = rows.filter(whole).select("k", "e", "c", "taken", F.lower("t.value").alias("term"), start.alias("start"), stop.alias("stop"))
-    free = ~F.exists("taken", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    return rows.filter(free).drop("taken")
+def _entities(text: Column, spans: Column) -> Column:
+    """Of each span the entity and the text around it."""
+    def one(s):
+        start = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        return F.struct(F.sha2(F.lower(s["value"]).cast("binary"), 256).alias("e"),
+                        F.substring(text, start + 1, s["stop"] + CONTEXT - start).alias("around"))
+    return F.transform(spans, one)
 
 
 def _words(text: Column) -> Column:
@@ -152,45 +144,47 @@ def _places(found: DataFrame) -> DataFrame:
             .groupBy("k").agg(F.first("places").alias("places")))
 
 
-def disclosures(texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """term, e, disclosure of the pairs that pass; equal rows of ``texts`` (k, text) are one document."""
-    seen = contexts.select("k", "e", "term").distinct()
-    pairs = (seen.groupBy("term", "e").agg(F.count(F.lit(1)).alias("n_te"))
-             .join(contexts.select("term", "e", "c").distinct().groupBy("term", "e").agg(F.count(F.lit(1)).alias("support")), ["term", "e"])
-             .filter(F.col("support") >= SUPPORT))
-    in_ctx = seen.select("k", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_ctx"))
-    pairs = stored(pairs.join(in_ctx, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_ctx")), "pii-pairs")
+def disclosures(texts: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, e, disclosure of the pairs that pass; k, term of all documents that hold a term which
+    had a chance to). ``texts`` is k, text and ``own`` k, spans, entities; equal rows are one document."""
+    n_all = own.select("k").distinct().count()
+    marks = (own.filter(F.size("entities") > 0).select("k", F.explode("entities").alias("x"))
+             .groupBy("k", F.col("x.e").alias("e")).agg(F.xxhash64(F.min("x.around")).alias("c")))
+    of_e = (marks.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("c").alias("n_c"))
+            .filter((F.col("n_c") >= SUPPORT) & (F.log2(F.lit(n_all) / F.col("n_e")) >= BITS)).select("e", "n_e"))
+    held = marks.join(of_e, "e").groupBy("k").agg(F.collect_list(F.struct("e", "c", "n_e")).alias("es"))
+    spans = own.select("k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"], F.lit(True).alias("removed"))).alias("spans"))
+    rows = texts.join(held, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("es").alias("es"))
+    rows = rows.join(spans, "k").groupBy("k").agg(*[F.first(c).alias(c) for c in ("text", "es", "spans")])
+    words = stored(rows.select("k", "es", F.explode(_words(sanitise(F.col("text"), F.col("spans"), " "))).alias("term")), "pii-words")
+    pairs = (words.select("term", F.inline("es")).groupBy("term", "e", "n_e", "c").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("term", "e", "n_e").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT))
+    here = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_here"))
+    pairs = stored(pairs.join(here, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_here")), "pii-pairs")
     wanted = _checked(pairs.select("term").distinct())
-    df = (texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-          .distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    of_e = contexts.select("k", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    n_all = texts.select("k").distinct().count()
+    holds = stored(texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct(), "pii-holds")
+    df = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     p = F.col("n_te") / F.col("n_t")
-    return (pairs.join(df, "term").join(of_e, "e")
-            .withColumn("disclosure", p).filter((p >= GENERALISE) & (F.log2(p * F.lit(n_all) / F.col("n_e")) >= BITS))
-            .select("term", "e", "disclosure"))
+    told = (pairs.join(df, "term").withColumn("disclosure", p)
+            .filter((p >= GENERALISE) & (F.log2(p * F.lit(n_all) / F.col("n_e")) >= BITS)).select("term", "e", "disclosure"))
+    return told, holds
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (row key), doc_id, spans (base), terms (array of start, kind, stop, removed: the passing
-    terms in contexts of the entity they give away), places (the same of all occurrences of
-    passing terms, removed by the term's largest disclosure): one row per document."""
+    """k (row key), doc_id, spans (base), places (array of start, kind, stop, removed: all occurrences
+    of passing terms, removed by the term's largest disclosure): one row per document."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                        row_key(id_col, text_col).alias("k"))
-    based = base_spans(texts, "text", "spans")
-    own = stored(based.select("doc_id", "k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans")), "pii-spans")
-    ctx = stored(_contexts(based.select("k", "text", "spans")), "pii-contexts")
-    told = stored(disclosures(texts.select("k", "text"), ctx), "pii-told")
-    largest = _checked(told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")))
-    hits = (texts.select("k", F.explode(_words(F.col("text"))).alias("term")).join(largest, "term").distinct()
-            .groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits")))
-    places = _places(base_spans(texts.join(hits, "k"), "text", "spans").select("k", "text", "spans", "hits"))
-    extra = (ctx.join(told, ["term", "e"]).groupBy("k", "start", "stop").agg(F.max("disclosure").alias("d"))
-             .groupBy("k").agg(F.array_sort(F.collect_list(F.struct(
-                 "start", F.lit(4).alias("kind"), "stop", (F.col("d") >= REMOVE).alias("removed")))).alias("terms")))
+                        wide_key(id_col, text_col).alias("k"))
+    own = stored(base_spans(texts, "text", "spans").select(
+        "doc_id", "k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans"),
+        _entities(F.col("text"), F.col("spans")).alias("entities")), "pii-spans")
+    told, holds = disclosures(texts.select("k", "text"), own)
+    largest = told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed"))
+    hits = holds.join(largest, "term").groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits"))
+    places = _places(base_spans(texts.join(stored(hits, "pii-hits"), "k"), "text", "spans").select("k", "text", "spans", "hits"))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,removed:boolean>>")
-    return own.join(extra, "k", "left").join(places, "k", "left").withColumns(
-        {c: F.coalesce(c, none) for c in ("terms", "places")})
+    return (own.select("doc_id", "k", "spans").join(places, "k", "left")
+            .withColumn("places", F.coalesce("places", none)))
 
 
 def spans_text(spans: Column) -> Column:
@@ -198,14 +192,14 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
-def sanitise(text: Column, spans: Column) -> Column:
+def sanitise(text: Column, spans: Column, gone: str = "") -> Column:
     """``text`` with each span (start, kind, stop, removed; sorted) replaced by its kind's
-    mark, or removed. Spans that touch are blanked together under the first one's mark."""
+    mark, or if removed by ``gone``. Spans that touch are blanked together under the first one's mark."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
-        mark = F.when(s["removed"], F.lit("")).otherwise(F.element_at(marks, s["kind"] + 1))
+        mark = F.when(s["removed"], F.lit(gone)).otherwise(F.element_at(marks, s["kind"] + 1))
         more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
                         F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
@@ -222,7 +216,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = (find(docs, id_col, text_col).filter((F.size("spans") > 0) | (F.size("places") > 0)).dropDuplicates(["k"])
              .select(F.col("k").alias(key), F.array_sort(F.concat(base, F.col("places"))).alias(spans)))
     text = F.col(text_col).cast("string")
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
+    joined = docs.withColumn(key, wide_key(id_col, text_col)).join(found, key, "left")
     return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), sanitise(text, F.col(spans))).otherwise(text)).select(*docs.columns)
 
 
