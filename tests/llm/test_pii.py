@@ -82,7 +82,7 @@ def test_repeated_rows_are_one_document(spark, times):
 
 
 def test_a_name_far_from_its_entity_gives_it_away(spark):
-    rows = [(i, f"case {i}: far@off.org {'the long filler of a page ' * 40}{chr(97 + i) * 4} signed Ostrava") for i in range(4)]
+    rows = [(i, f"number {i}: far@off.org {'the long filler of a page ' * 40}{chr(97 + i) * 4} signed Ostrava") for i in range(4)]
     rows += [(10 + i, f"same@copy.org and Marvin, copy {'x1 ' * 40} number {chr(97 + i) * 4}") for i in range(4)]  # one context: copies
     rows += [(20 + i, f"the long filler of a page, number {i}, signed by hand; copy and number") for i in range(60)]
     got = P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
