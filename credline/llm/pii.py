@@ -179,7 +179,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "doc_id", "k", F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans"),
         _entities(F.col("text"), F.col("spans")).alias("entities")), "pii-spans")
     told, holds = disclosures(texts.select("k", "text"), own)
-    largest = told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed"))
+    largest = _checked(stored(told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "pii-told"))
     hits = holds.join(largest, "term").groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits"))
     places = _places(base_spans(texts.join(stored(hits, "pii-hits"), "k"), "text", "spans").select("k", "text", "spans", "hits"))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,removed:boolean>>")
