@@ -114,34 +114,37 @@ def _checked(terms: DataFrame) -> DataFrame:
 
 
 def _places(found: DataFrame) -> DataFrame:
-    """k, places (start, kind, stop, removed; sorted) of the ``hits`` (term, removed) of each text
-    of ``found`` (k, text, spans, hits) outside its base spans. Lengths are summed up per block of
-    words and then over the blocks, so a text of many words takes no quadratic time."""
-    held = lambda word: F.filter("hits", lambda h: h["term"] == word)
-
+    """k, places (start, kind, stop, removed; sorted) of the passing terms (``gone`` those to remove,
+    ``general`` the others) of each text of ``found`` (k, text, spans, gone, general) outside its base
+    spans. Lengths are summed up per block of words and then over the blocks, so a text of many words
+    takes no quadratic time. The columns that the lambdas use are read from storage or used twice:
+    Spark would move a column that is used once into the lambda and work it out for every word."""
     def step(acc, x):
         start = acc["at"] + F.length(x["p"])
         stop = start + F.length(x["m"])
-        place = F.struct(start.alias("start"), stop.alias("stop"), F.lower(x["m"]).alias("word"))
-        return F.struct(stop.alias("at"), F.when(F.size(held(F.lower(x["m"]))) > 0, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
+        word = F.lower(x["m"])
+        place = F.struct(start.alias("start"), stop.alias("stop"), F.array_contains("gone", word).alias("removed"))
+        hit = F.array_contains("gone", word) | F.array_contains("general", word)
+        return F.struct(stop.alias("at"), F.when(hit, F.concat(acc["out"], F.array(place))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,word:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,removed:boolean>>").alias("out"))
     blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words"), F.lit(1)), F.lit(BLOCK)),
                          lambda i: F.aggregate(F.slice("__words", i, BLOCK), zero, step))
     begins = F.aggregate("__blocks", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
 
     def placed(b, j):
         at = F.get("__begins", j)
-        return F.transform(b["out"], lambda o: F.struct((at + o["start"]).alias("start"), F.lit(4).alias("kind"), (at + o["stop"]).alias("stop"),
-                                                        F.get(held(o["word"]), F.lit(0))["removed"].alias("removed")))
+        return F.transform(b["out"], lambda o: F.struct((at + o["start"]).alias("start"), F.lit(4).alias("kind"),
+                                                        (at + o["stop"]).alias("stop"), o["removed"].alias("removed")))
 
     rows = (found.withColumns({"__m": F.regexp_extract_all("text", F.lit(TERM), 0), "__p": F.split("text", TERM, -1)})
             .withColumn("__words", F.arrays_zip(F.col("__m").alias("m"), F.slice("__p", 1, F.size("__m")).alias("p")))
             .withColumn("__blocks", blocks).withColumn("__begins", begins))
     free = F.filter(F.flatten(F.transform("__blocks", placed)),
                     lambda t: ~F.exists("spans", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
-    return (rows.select("k", free.alias("places")).filter(F.size("places") > 0)
-            .groupBy("k").agg(F.first("places").alias("places")))
+    # filtered behind the aggregate: a filter below it would find the places twice
+    return (rows.select("k", free.alias("places")).groupBy("k").agg(F.first("places").alias("places"))
+            .filter(F.size("places") > 0))
 
 
 def disclosures(texts: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,8 +183,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _entities(F.col("text"), F.col("spans")).alias("entities")), "pii-spans")
     told, holds = disclosures(texts.select("k", "text"), own)
     largest = _checked(stored(told.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "pii-told"))
-    hits = holds.join(largest, "term").groupBy("k").agg(F.collect_list(F.struct("term", "removed")).alias("hits"))
-    places = _places(base_spans(texts.join(stored(hits, "pii-hits"), "k"), "text", "spans").select("k", "text", "spans", "hits"))
+    hits = holds.join(largest, "term").groupBy("k").agg(
+        F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone"),
+        F.collect_list(F.when(~F.col("removed"), F.col("term"))).alias("general"))
+    hits = own.select("k", "spans").join(hits, "k").groupBy("k").agg(*[F.first(c).alias(c) for c in ("spans", "gone", "general")])
+    places = _places(texts.join(stored(hits, "pii-hits"), "k"))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,removed:boolean>>")
     return (own.select("doc_id", "k", "spans").join(places, "k", "left")
             .withColumn("places", F.coalesce("places", none)))

@@ -137,3 +137,16 @@ def test_messy_rows(messy, messy_rows):
 
 def test_empty_table(empty):
     assert P.find(empty).count() == 0 and P.sanitised(empty).count() == 0
+
+
+def test_places_read_their_base_spans(spark, monkeypatch):
+    """The base spans of a text are read, not worked out again for each of its words."""
+    plans, places = [], P._places
+
+    def seen(found):
+        out = places(found)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+    monkeypatch.setattr(P, "_places", seen)
+    P.find(spark.createDataFrame(people(), "doc_id long, text string"))
+    assert len(plans) == 1 and "exists(" in plans[0] and "luhn" not in plans[0]
