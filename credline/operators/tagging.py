@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ from credline.schemas import CHYRON, CREDITS
 from credline.session import ship_package
 
 STORE = "key string, tagged string, tag_status string, tag_error string, calls int, run long"
+ARROW_STORE = pa.schema([("key", pa.string()), ("tagged", pa.string()), ("tag_status", pa.string()), ("tag_error", pa.string()),
+                         ("calls", pa.int32()), ("run", pa.int64())])
+SLICE = 256  # texts of a partition that are Python strings at a time
 
 
 def request_key() -> Column:
@@ -65,6 +69,15 @@ def _calls(model_factory: Callable[[], TagModel], concurrency: int, max_retries:
     return run
 
 
+def _sliced(step):
+    """``step`` over Arrow batches, which hold as many rows as Spark likes, ``SLICE`` rows at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.slice(at, SLICE).to_pandas() for b in batches for at in range(0, b.num_rows, SLICE))
+        for out in step(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=ARROW_STORE, preserve_index=False)
+    return run
+
+
 def pending(rows: DataFrame, store: str) -> DataFrame:
     """key, route, cleaned_text: what the model has still to be called for, once per distinct key.
     A text that many rows share is one row before the shuffle."""
@@ -85,7 +98,7 @@ def call_pending(rows: DataFrame, model_factory: Callable[[], TagModel], store:
     run_no = tag_store(spark, store).agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
     step = _calls(model_factory, concurrency, max_retries, backoff_s, run_no)
     for i in left[:stop_after]:
-        todo.filter(F.col("batch") == i).drop("batch").mapInPandas(step, STORE).write.mode("append").parquet(store)
+        todo.filter(F.col("batch") == i).drop("batch").mapInArrow(_sliced(step), STORE).write.mode("append").parquet(store)
     return len(left[:stop_after])
 
 

@@ -101,3 +101,20 @@ def test_calls_run_side_by_side(spark, folder):
     t = time.time()
     out = pd.concat(step(iter([pdf])))
     assert time.time() - t < 2 and out["tagged"].tolist() == list("abcdefgh")
+
+
+def test_a_large_batch_is_called_in_slices():
+    """However many rows a batch of Spark's holds, few of them are Python strings at a time."""
+    import pyarrow as pa
+
+    sizes = []
+
+    def step(frames):
+        for pdf in frames:
+            sizes.append(len(pdf))
+            yield from T._calls(lambda: lambda text, label: text + "@O", 4, 0, 0.0, 0)(iter([pdf]))
+    n = 3 * T.SLICE + 5
+    batch = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(n)], "route": [CHYRON] * n, "cleaned_text": [f"t{i}" for i in range(n)]})
+    out = pa.Table.from_batches(list(T._sliced(step)(iter([batch, batch.slice(0, 0)]))))
+    assert max(sizes) == T.SLICE and sum(sizes) == n
+    assert out["key"].to_pylist() == [str(i) for i in range(n)] and out["tagged"].to_pylist() == [f"t{i}@O" for i in range(n)]
