@@ -14,7 +14,7 @@ from credline.functions.text import verbatim_ok
 from credline.operators import batch, bio, frames, review
 from credline.operators.apply import annotate
 from credline.operators.boxes import boxes_for_frames
-from credline.operators.common import global_index, materialize
+from credline.operators.common import global_index
 from credline.sources import annotation_json as AJ
 
 
@@ -24,7 +24,8 @@ def build_batch(spark: SparkSession, json_dir: str, one_per_file: bool = True,
     order: file, view, annotation), near-duplicates removed first when ``dedupe``, then
     exact duplicates of the text (the earliest row is kept)."""
     anns = AJ.materialize_annotations(spark, AJ.read_annotation_docs(spark, json_dir, one_per_file))
-    rows = materialize(global_index(AJ.ocr_rows(anns), ["file", "view_ord", "ann_ord"], "row_id"), "ocr-rows")
+    # the index reads rows that it has written once, so nothing above it need be written again
+    rows = global_index(AJ.ocr_rows(anns), ["file", "view_ord", "ann_ord"], "row_id")
     rows = batch.dedupe(rows, "textdocument", "row_id", ["guid", "scene_label"], normalized=dedupe)
     return rows.select("row_id", "guid", "time_point", "scene_label", "confidence", "textdocument")
 

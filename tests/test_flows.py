@@ -82,3 +82,14 @@ def test_gold_frames_with_saves_log_and_boxes(spark):
     assert sorted((r.chain_start, r.place, r.filler) for r in out["chains"].collect()) == [(0, 0, "a"), (15, 0, "x"), (15, 1, "b")]
     assert sorted((r.frame_num, r.role, r.filler) for r in out["bindings"].collect()) == [(30, "Cast", "b"), (30, "Cast", "c")]
     assert [(r.frame_num, r.text) for r in out["boxes"].collect()] == [(30, "t")]
+
+
+def test_a_batch_writes_its_rows_once(spark, monkeypatch):
+    """The rows that the index has written are not written again."""
+    from credline.operators import common
+    names, write = [], common.materialize
+    for module in (common, flows, flows.batch):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", lambda df, name: names.append(name) or write(df, name))
+    flows.build_batch(spark, _json_dir())
+    assert sorted(names) == ["dedupe-keys", "index"]
