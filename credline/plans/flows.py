@@ -49,8 +49,8 @@ def adjudicate_batch(tagged: DataFrame, events: DataFrame, include_rejected: boo
     ``include_rejected``."""
     t = review.apply_adjudication(tagged.filter(F.col("tagged").isNotNull()), review.fold_adjudication(events),
                                   include_rejected=include_rejected)
-    checks = bio.parse_errors(t, "row_id", "tagged").join(
-        t.select("row_id", verbatim_ok("tagged", "cleaned_text").alias("verbatim_ok")), "row_id")
+    same = t.withColumn("verbatim_ok", verbatim_ok("tagged", "cleaned_text"))
+    checks = bio.parse_errors(same, "row_id", "tagged", "verbatim_ok").select("row_id", "parse_error", "verbatim_ok")
     return checks, review.export_final(t)
 
 

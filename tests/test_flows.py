@@ -93,3 +93,14 @@ def test_a_batch_writes_its_rows_once(spark, monkeypatch):
             monkeypatch.setattr(module, "materialize", lambda df, name: names.append(name) or write(df, name))
     flows.build_batch(spark, _json_dir())
     assert sorted(names) == ["dedupe-keys", "index"]
+
+
+def test_checks_come_from_one_pass(spark):
+    """The checks of a row's last text are read off one parse; the texts are not joined to themselves."""
+    tagged = spark.createDataFrame([(1, "g", 1, "chyron", "a b", "a@BF:1 b@IF:1", True), (2, "g", 2, "chyron", "a b", "a@BF", True)],
+                                   "row_id long, guid string, time_point long, scene_label string, cleaned_text string, tagged string, ocr_accepted boolean")
+    events = spark.createDataFrame([(1, 1, "accept", None)], "row_id long, seq long, action string, payload string")
+    checks, _ = flows.adjudicate_batch(tagged, events)
+    assert {(r.row_id, r.parse_error, r.verbatim_ok) for r in checks.collect()} == {(1, False, True), (2, True, False)}
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # the log's last edit, and the log's state
