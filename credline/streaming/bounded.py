@@ -1,11 +1,13 @@
-"""Decision folds over endless logs with bounded state (``transformWithStateInPandas``).
+"""Decision folds over endless logs with bounded state (``transformWithState``).
 
-A row's state has two parts. Events above the watermark are open: they wait in a map state, one
-packed value per bucket of event time, so that late ones can still take their place. Once the
-watermark has passed a bucket nothing may join it, its events are folded into the settled part
-(a few numbers and the last edited text) and the bucket goes. So a row keeps what is younger than
-the allowed lateness, whatever the length of its log, and a batch writes the buckets that its
-events fall into, not the log. Rows that get no more events settle by event-time timers.
+A row's state has two parts. Events above the watermark are open: they wait in buckets of event
+time, so that late ones can still take their place. Once the watermark has passed a bucket nothing
+may join it, its events are folded into the settled part (a few numbers and the last edited text)
+and the bucket goes. Up to ``FEW`` open events lie in the same value as the settled part, which a
+batch reads and writes once; a row of more has a map state with one packed value per bucket until
+few are left. So a row keeps what is younger than the allowed lateness, whatever the
+length of its log, and a batch writes the buckets that its events fall into, not the log. Rows that
+get no more events settle by event-time timers.
 
 An event is as old as ``seq`` says (``at`` maps it to a time that rises with it). What comes at or
 below the watermark is too late: it changes no decision, is counted per row (``n_late``) and listed
@@ -22,11 +24,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,6 +46,8 @@ LATE = "n_late long, late array<struct<seq:long,action:string>>"
 REVIEW_OUT = f"row_id long, label_adjusted boolean, deleted boolean, annotated boolean, ocr_accepted boolean, {LATE}"
 ADJ_OUT = f"row_id long, adjudicated boolean, accepted boolean, n_edits long, edited string, {LATE}"
 BUCKETS = 16  # buckets of event time within the allowed lateness
+FEW = 256  # open events that a row keeps with its settled part (16 bytes each), without buckets of their own
+CHUNK = 8192  # events of a row that are taken in at a time
 
 # review decisions as bits of one number
 ADJUSTED, DELETED, ANNOTATED, PENDING, ACCEPTED = 1, 2, 4, 8, 16
@@ -78,101 +83,179 @@ def fold_adjudication(state: int, codes: np.ndarray) -> int:
 
 
 class BoundedFold(StatefulProcessor):
-    """Keeps the settled part, the open buckets and the late count of each row."""
+    """Keeps the settled part, the open events and the late count of each row."""
 
     def __init__(self, codes: dict[str, int], fold, width_ms: int):
         self.codes, self.fold, self.width = codes, fold, width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "state long, edit_seq long, edited string, n_late long")
-        self.open = handle.getMapState("open", "bucket long", "events binary, edit_seq long, edited string")
+        self.settled = handle.getValueState("settled", "state long, edit_seq long, edited string, n_late long, few binary, spread boolean, timer long")
+        self.open = handle.getMapState("open", "bucket long", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        settled = self.settled.get() if self.settled.exists() else (0, -1, None, 0)
-        late, before = [], settled
-        for pdf in rows:
-            if mark > 0:
-                gone = pdf["at_ms"] <= mark
-                late += list(zip(pdf["seq"][gone].tolist(), pdf["action"][gone]))
-                pdf = pdf[~gone]
-            self._add(pdf)
-        buckets = sorted(k[0] for k in self.open.keys())
-        settled = self._settle(settled[:3] + (settled[3] + len(late),), buckets, mark)
+        out = self.taken(key, map(_columns, rows), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({k: pd.Series([v], dtype=object if k in ("edited", "late") else None) for k, v in out.items()})
+
+    def taken(self, key, chunks: Iterator[tuple[np.ndarray, ...]], mark: int) -> dict:
+        """Take the events of a batch in; the row's update."""
+        before = self._read()
+        state, edit_seq, edited, n_late, few, spread, timer = before
+        few, late = _unpacked(few), []
+        for seq, at, action, payload in chunks:
+            if mark > 0 and (gone := at <= mark).any():
+                late += [{"seq": s, "action": a} for s, a in zip(seq[gone].tolist(), action[gone])]
+                seq, at, action, payload = (x[~gone] for x in (seq, at, action, payload))
+            code = np.fromiter((self.codes.get(a, 0) for a in action), np.int64, len(action))
+            texts = np.flatnonzero((code == self.codes.get("edit", -1)) & pd.notna(payload))
+            if len(texts) and seq[last := texts[seq[texts].argmax()]] > edit_seq:
+                edit_seq, edited = int(seq[last]), payload[last]
+            known = code > 0
+            few = _merged(few, at[known] // self.width, seq[known] * 8 + code[known])
+            if spread or few.shape[1] > FEW:
+                spread = True
+                self._add(few)
+                few = few[:, :0]
+        settled, ahead = self._settle((state, edit_seq, edited, n_late + len(late), few.tobytes(), spread, timer), mark)
         if settled != before:
             self.settled.update(settled)
-        now = settled
-        for b in buckets:
-            now = self._folded(now, self.open.getValue((b,)))
-        yield self.row(key[0], now, settled[3], late)
+        now = settled[0]
+        for events in ahead:
+            now = self.fold(now, events % 8)
+        return {"row_id": key[0], **self.row(now, settled[2]), "n_late": settled[3], "late": late}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        settled = self.settled.get() if self.settled.exists() else (0, -1, None, 0)
-        after = self._settle(settled, sorted(k[0] for k in self.open.keys()), timerValues.getCurrentWatermarkInMs())
-        if after != settled:
+        before = self._read()
+        after, _ = self._settle(before, timerValues.getCurrentWatermarkInMs(), ahead=False)
+        if after != before:
             self.settled.update(after)
         return iter(())
 
     def close(self) -> None:
         pass
 
-    def _add(self, pdf: pd.DataFrame) -> None:
+    def _read(self) -> tuple:
+        if not self.settled.exists():
+            return 0, -1, None, 0, b"", False, None
+        *rest, few, spread, timer = self.settled.get()
+        return *rest, bytes(few), spread, timer
+
+    def _add(self, few: np.ndarray) -> None:
         """The events' buckets, each written once."""
-        pdf = pdf.assign(code=pdf["action"].map(self.codes)).dropna(subset=["code"])
-        for bucket, own in pdf.groupby(pdf["at_ms"] // self.width):
-            events, edit_seq, edited = self.open.getValue((int(bucket),)) if self.open.containsKey((int(bucket),)) else (b"", -1, None)
-            packed = own["seq"].to_numpy(np.int64) * 8 + own["code"].to_numpy(np.int64)
-            merged = np.unique(np.concatenate((np.frombuffer(bytes(events), np.int64), packed))).tobytes()
-            texts = own[(own["action"] == "edit") & own["payload"].notna()]
-            if len(texts) and texts["seq"].max() > edit_seq:
-                last = texts["seq"].idxmax()
-                edit_seq, edited = int(texts["seq"][last]), texts["payload"][last]
-            if merged != bytes(events):
-                self.open.updateValue((int(bucket),), (merged, edit_seq, edited))
-
-    def _settle(self, settled: tuple, buckets: list[int], mark: int) -> tuple:
-        """Fold the buckets that the watermark has passed (they leave ``buckets``), and set a
-        timer for the next one."""
-        while buckets and (buckets[0] + 1) * self.width - 1 <= mark:
-            settled = self._folded(settled, self.open.getValue((buckets[0],)))
-            self.open.removeKey((buckets.pop(0),))
+        for bucket in np.unique(few[0]).tolist():
+            own = few[1][few[0] == bucket]
+            if self.open.containsKey((bucket,)):
+                events = bytes(self.open.getValue((bucket,))[0])
+                merged = np.unique(np.concatenate((np.frombuffer(events, np.int64), own))).tobytes()
+                if merged == events:
+                    continue
+            else:
+                merged = own.tobytes()
+            self.open.updateValue((bucket,), (merged,))
+
+    def _settle(self, row: tuple, mark: int, ahead: bool = True) -> tuple[tuple, list[np.ndarray]]:
+        """Fold the buckets that the watermark has passed and set a timer for the next one; the row
+        then, and its events that stay open, in order (``ahead``: not needed otherwise)."""
+        state, edit_seq, edited, n_late, few, spread, timer = row
+        if spread:
+            buckets, rest = sorted(k[0] for k in self.open.keys()), []
+            while buckets and (buckets[0] + 1) * self.width - 1 <= mark:
+                state = self.fold(state, self._bucket(buckets[0]) % 8)
+                self.open.removeKey((buckets.pop(0),))
+            if ahead:
+                rest = [self._bucket(b) for b in buckets]
+                if buckets and sum(map(len, rest)) <= FEW // 2:  # few again
+                    few = np.stack((np.repeat(np.array(buckets, np.int64), [len(x) for x in rest]), np.concatenate((_unpacked(b"")[1], *rest)))).tobytes()
+                    for b in buckets:
+                        self.open.removeKey((b,))
+            spread = bool(buckets) and not few
+        else:
+            own = _unpacked(few)
+            done = (own[0] + 1) * self.width - 1 <= mark
+            if done.any():
+                state = self.fold(state, own[1][done] % 8)
+                own = own[:, ~done]
+            few, buckets, rest = own.tobytes(), own[0][:1].tolist(), [own[1]]
         if buckets:
-            self.handle.registerTimer((buckets[0] + 1) * self.width)
-        return settled
+            due = (buckets[0] + 1) * self.width
+            if timer is None or timer <= mark or due < timer:  # else one is set that comes first
+                self.handle.registerTimer(due)
+                timer = due
+        return (state, edit_seq, edited, n_late, few, spread, timer), rest
+
+    def _bucket(self, bucket: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.open.getValue((bucket,))[0]), np.int64)
+
+
+def _columns(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """seq, at_ms, action and payload of the events that have a place in the log."""
+    if pdf["seq"].hasnans or pdf["at_ms"].hasnans:
+        pdf = pdf.dropna(subset=["seq", "at_ms"])
+    return (pdf["seq"].to_numpy(np.int64), pdf["at_ms"].to_numpy(np.int64), pdf["action"].to_numpy(object),
+            pdf["payload"].to_numpy(object))
 
-    def _folded(self, settled: tuple, bucket: tuple) -> tuple:
-        state, edit_seq, edited, n_late = settled
-        events, own_seq, own = bucket
-        state = self.fold(state, np.frombuffer(bytes(events), np.int64) % 8)
-        return (state, own_seq, own, n_late) if own_seq > edit_seq else (state, edit_seq, edited, n_late)
+
+def _unpacked(few: bytes) -> np.ndarray:
+    """The buckets (first row) and packed events (second) of a row of few open events, in order."""
+    return np.frombuffer(few, np.int64).reshape(2, -1)
+
+
+def _merged(few: np.ndarray, buckets: np.ndarray, events: np.ndarray) -> np.ndarray:
+    """With further events; what is there already is not added. Buckets rise with the events."""
+    events, first = np.unique(np.concatenate((few[1], events)), return_index=True)
+    return np.stack((np.concatenate((few[0], buckets))[first], events))
 
 
 class BoundedReview(BoundedFold):
     def __init__(self, width_ms: int):
         super().__init__(REVIEW_CODES, fold_review, width_ms)
 
-    def row(self, row_id, now, n_late, late) -> pd.DataFrame:
-        s = now[0]
-        return pd.DataFrame({"row_id": [row_id], "label_adjusted": [bool(s & ADJUSTED)], "deleted": [bool(s & DELETED)],
-                             "annotated": [bool(s & ANNOTATED)], "ocr_accepted": [bool(s & ACCEPTED)], **_late(n_late, late)})
+    def row(self, state: int, edited: str | None) -> dict:
+        return {"label_adjusted": bool(state & ADJUSTED), "deleted": bool(state & DELETED),
+                "annotated": bool(state & ANNOTATED), "ocr_accepted": bool(state & ACCEPTED)}
 
 
 class BoundedAdjudication(BoundedFold):
     def __init__(self, width_ms: int):
         super().__init__(ADJ_CODES, fold_adjudication, width_ms)
 
-    def row(self, row_id, now, n_late, late) -> pd.DataFrame:
-        last = now[0] & 7
-        return pd.DataFrame({"row_id": [row_id], "adjudicated": [last in (ACCEPT, DECLINE)], "accepted": [last == ACCEPT],
-                             "n_edits": [now[0] >> 3], "edited": pd.Series([now[2]], dtype=object), **_late(n_late, late)})
+    def row(self, state: int, edited: str | None) -> dict:
+        last = state & 7
+        return {"adjudicated": last in (ACCEPT, DECLINE), "accepted": last == ACCEPT, "n_edits": state >> 3, "edited": edited}
+
+
+class ByRow(StatefulProcessor):
+    """A fold whose events and updates are rows, not frames: a frame for each key and batch takes
+    longer than the fold of some dozens of events."""
+
+    def __init__(self, fold: BoundedFold):
+        self.fold = fold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fold.init(handle)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield Row(**self.fold.taken(key, _chunks(rows), timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self.fold.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def close(self) -> None:
+        self.fold.close()
 
 
-def _late(n_late: int, late: list) -> dict:
-    return {"n_late": [n_late], "late": [[{"seq": s, "action": a} for s, a in late]]}
+def _chunks(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_columns`` of some thousand rows at a time."""
+    while some := list(islice(rows, CHUNK)):
+        _, seq, action, payload, at = zip(*some)
+        if None in seq or None in at:
+            if not (some := [r for r in some if r[1] is not None and r[4] is not None]):
+                continue
+            _, seq, action, payload, at = zip(*some)
+        yield np.array(seq, np.int64), np.array(at, np.int64), np.array(action, object), np.array(payload, object)
 
 
-def _bounded(events: DataFrame, processor, out: str, lateness_s: int, at: Column | None) -> DataFrame:
+def _bounded(events: DataFrame, processor, out: str, lateness_s: int, at: Column | None, frames: bool) -> DataFrame:
     spark = events.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the store that this operator needs
@@ -180,19 +263,22 @@ def _bounded(events: DataFrame, processor, out: str, lateness_s: int, at: Column
     payload = F.col("payload") if "payload" in events.columns else F.lit(None).cast("string")
     rows = (events.withColumn("_at", F.timestamp_seconds("seq") if at is None else at).withWatermark("_at", f"{lateness_s} seconds")
             .select("row_id", "seq", "action", payload.alias("payload"), F.unix_millis("_at").alias("at_ms")))
-    return rows.groupBy("row_id").transformWithStateInPandas(
-        processor(max(1, lateness_s * 1000 // BUCKETS)), out, outputMode="Update", timeMode="EventTime")
+    fold, by_id = processor(max(1, lateness_s * 1000 // BUCKETS)), rows.groupBy("row_id")
+    if frames:
+        return by_id.transformWithStateInPandas(fold, out, outputMode="Update", timeMode="EventTime")
+    return by_id.transformWithState(ByRow(fold), out, outputMode="Update", timeMode="EventTime")
 
 
-def review_state_bounded(events: DataFrame, lateness_s: int, at: Column | None = None) -> DataFrame:
+def review_state_bounded(events: DataFrame, lateness_s: int, at: Column | None = None, frames: bool = False) -> DataFrame:
     """Streaming review fold over (row_id, seq, action) with the allowed lateness in seconds of
-    event time. Without ``at`` a ``seq`` counts as one second."""
-    return _bounded(events, BoundedReview, REVIEW_OUT, lateness_s, at)
+    event time. Without ``at`` a ``seq`` counts as one second. ``frames``: the events of a row reach
+    the fold as pandas frames, for logs that bring thousands of events of a row at a time."""
+    return _bounded(events, BoundedReview, REVIEW_OUT, lateness_s, at, frames)
 
 
-def adjudication_state_bounded(events: DataFrame, lateness_s: int, at: Column | None = None) -> DataFrame:
+def adjudication_state_bounded(events: DataFrame, lateness_s: int, at: Column | None = None, frames: bool = False) -> DataFrame:
     """Streaming adjudication fold over (row_id, seq, action[, payload])."""
-    return _bounded(events, BoundedAdjudication, ADJ_OUT, lateness_s, at)
+    return _bounded(events, BoundedAdjudication, ADJ_OUT, lateness_s, at, frames)
 
 
 def late_events(updates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from credline.streaming import bounded as B
@@ -152,3 +153,101 @@ def test_adjudication_stream_keeps_the_last_edit(spark):
 
 def test_codes_of_both_logs_fit_their_packing():
     assert max([*REVIEW_CODES.values(), *ADJ_CODES.values()]) < 8
+
+
+class CountingState(FakeState):
+    """Counts the calls that reach the state store."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def _counted(self, state):
+        def call(name):
+            def counted(*args):
+                self.calls += 1
+                return getattr(state, name)(*args)
+            return counted
+        return type("Counted", (), {"__getattr__": lambda _, name: call(name)})()
+
+    def getValueState(self, *args):
+        return self._counted(super().getValueState(*args))
+
+    def getMapState(self, *args):
+        return self._counted(super().getMapState(*args))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        super().registerTimer(at)
+
+
+def _take(fold, events, mark):
+    """A batch of (seq, action, payload) as rows, as ``transformWithState`` hands them over."""
+    rows = [Row(row_id=7, seq=s, action=a, payload=p, at_ms=s * 1000) for s, a, p in events]
+    (out,) = B.ByRow(fold).handleInputRows((7,), iter(rows), Mark(mark))
+    return out
+
+
+def test_a_short_row_costs_a_few_state_calls_a_batch():
+    """Twenty events far apart lie in one value: no call for each bucket of event time."""
+    fold, state = B.BoundedReview(1000 * 1000), CountingState()
+    fold.init(state)
+    for i in range(10):
+        _take(fold, [(i * 4_000 + j * 700, ACTIONS[j % 5], None) for j in range(20)], max(0, (i - 4) * 4_000_000))
+    assert state.calls <= 4 * 10 and not state.map
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_rows_settle_alike_in_one_value_and_in_buckets(seed):
+    """Batches below and above ``FEW`` events, by turns: the row grows into buckets and comes back."""
+    rnd = random.Random(seed)
+    fold, state, seq, log, mark = B.BoundedAdjudication(40_000), FakeState(), 0, [], 0
+    fold.init(state)
+    held, spread = [], []
+    for i in range(30):
+        n = rnd.choice([1, 5, 30, B.FEW, 3 * B.FEW]) if 3 <= i < 20 else 30
+        new = [(s, a := rnd.choice([*ADJ_CODES, "other"]), f"t{s}" if a == "edit" and s % 3 else None) for s in range(seq, seq + n)]
+        late = [e for e in held if e[0] * 1000 <= mark]
+        batch, held = new[: n - n // 8] + held + new[: n // 10], new[n - n // 8:]
+        seq += n
+        rnd.shuffle(batch)
+        log += [e for e in batch if e not in late]
+        out = _take(fold, batch, mark)
+        assert [(x["seq"], x["action"]) for x in out.late] == [e[:2] for e in batch if e in late]
+        own = sorted(set(log), key=lambda e: e[0])
+        last = [e[1] for e in own if e[1] in ADJ_CODES][-1:]
+        texts = [e[2] for e in own if e[2]][-1:] or [None]
+        assert (out.adjudicated, out.accepted, out.n_edits, out.edited) == (
+            last in (["accept"], ["reject"]), last == ["accept"], sum(e[1] == "edit" for e in own), texts[0])
+        spread.append(bool(state.map))
+        mark = max(mark, (max(e[0] for e in batch) - 100) * 1000)
+    assert not spread[0] and any(spread) and not spread[-1]
+
+
+@pytest.mark.parametrize("n", [20, 2 * B.FEW])
+def test_an_idle_row_settles_by_its_timers(n):
+    fold, state = B.BoundedReview(50_000), FakeState()
+    fold.init(state)
+    events = [(s, ACTIONS[s * 7 % 5], None) for s in range(0, 10 * n, 10)]
+    out = _take(fold, events, 0)
+    while state.timers:
+        at = min(state.timers)
+        state.timers.remove(at)
+        assert list(fold.handleExpiredTimer((7,), Mark(at), None)) == []
+    assert not state.map and not state.value[4] and not state.value[5]
+    again = _take(fold, [], at)
+    at_once = B.BoundedReview(50_000)  # or by a batch that comes after them
+    at_once.init(own := FakeState())
+    _take(at_once, events, 0)
+    after = _take(at_once, [], at)
+    assert own.value[:6] == state.value[:6] and not own.map
+    assert out[1:5] == again[1:5] == after[1:5] == _replay([(7, *e[:2]) for e in events])[7]
+
+
+def test_frames_and_rows_give_the_same_updates(spark):
+    events = [(s % 9 - 4, s, random.Random(s).choice(ACTIONS), None) for s in range(2400)]
+    drops = _drops(events, 3, 8) + [[(None, 2400, "swap", None), (1, None, "swap", None), (1, 2401, None, None)]]
+    schema = "row_id long, seq long, action string, payload string"
+    rows, late = _run(spark, drops, schema, B.review_state_bounded, 600)
+    frames, late_too = _run(spark, drops, schema, lambda e, s: B.review_state_bounded(e, s, frames=True), 600)
+    assert late == late_too and rows == frames and len(rows) == 10
