@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component: of the rows that name it the first. Rows
     without words link with nothing and all stay."""
-    found = near_duplicates(docs, id_col, text_col, threshold).filter("kept")
+    # written once: read five times below, each a copy of the joins in the driver's plan otherwise
+    found = stored(near_duplicates(docs, id_col, text_col, threshold).filter("kept").select("rid", "k", "component", "n_shingles"), "minhash-kept")
     named = found.filter("n_shingles > 0")
     stay = named.join(named.groupBy("component").agg(F.min("rid").alias("rid")), "rid", "left_semi").select("k")
     key = free_name(docs, "k")

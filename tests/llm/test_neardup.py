@@ -100,3 +100,10 @@ def test_one_row_of_repeated_ones_stays(spark):
 
 def test_empty_table(empty):
     assert N.near_duplicates(empty).count() == 0 and N.one_of_each(empty).count() == 0
+
+
+def test_choosing_a_row_does_not_repeat_the_search(spark):
+    """The plan that keeps one row each joins what was found, not the joins that found it."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")], "doc_id long, text string")
+    plan = N.one_of_each(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 6
